@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from banditframe.llm import decontaminate, mixing, ogg, pii, quality, simhash, tokens, wrappers
+from banditframe.llm import decontaminate, licenses, mixing, ogg, pii, quality, simhash, tokens, urls, wrappers
 from banditframe.llm.common import table
 
 
@@ -29,6 +29,13 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths of their own: source, language and each thousand of ids stand for directories."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 1000).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.scan(docs.select("doc_id", path.alias("path"), "text"))
+
+
 def op6_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.main_text(table(spark, sf_dir, "pages"))
 
@@ -44,15 +51,59 @@ def op8_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.features(ogg.media(sized)).drop("text")
 
 
+def _number(text, digits: int = 7):
+    return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
+
+
+def url_list(pages: DataFrame) -> DataFrame:
+    """A dated list drawn from the pages themselves: hosts, their parent domains and first path segments, each with up to
+    four changes at times that follow from their MD5."""
+    host = F.regexp_extract("url", "//([^/?#]+)", 1)
+    parent = F.regexp_replace(host, r"^[^.]+\.(?=[^.]+\.[^.]+\.)", "")
+    head = F.concat(host, F.lit("/"), F.regexp_extract("url", "//[^/?#]+/([^/?#]+)", 1))
+    names = pages.select(F.explode(F.array(host, parent, head)).alias("pattern")).distinct()
+    names = names.filter(_number(F.concat(F.lit("in:"), "pattern")) % 3 == 0).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    code = F.concat("pattern", F.lit(":"), F.col("k").cast("string"))
+    at = F.timestamp_seconds(F.lit(1704067200) + _number(code) % (366 * 86400))
+    action = F.when(F.col("k") % 2 == 0, "add").otherwise("remove")
+    kind = F.when(_number(F.concat(F.lit("kind:"), "pattern")) % 2 == 0, "spam").otherwise("adult")
+    return names.select("pattern", kind.alias("category"), action.alias("action"), at.alias("at"))
+
+
+def op9_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a capture, fetched in 2024 at a time that follows from its id."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    fetched = F.timestamp_seconds(F.lit(1704067200) + _number(F.concat(F.lit("page:"), F.col("page_id").cast("string"))) % (366 * 86400))
+    return urls.listed(pages.withColumn("fetched", fetched), url_list(pages))
+
+
+OP9_SQL = r"""
+WITH p AS (SELECT page_id, url, make_timestamp((1704067200 + ('0x' || substr(md5('page:' || page_id), 1, 7))::BIGINT % (366 * 86400)) * 1000000) AS fetched,
+    lower(regexp_extract(url, '//([^/?#]+)', 1)) AS host, string_split(regexp_extract(url, '//[^/?#]+/([^?#]*)', 1), '/') AS seg FROM pages),
+names AS (SELECT DISTINCT unnest([regexp_extract(url, '//([^/?#]+)', 1), regexp_replace(regexp_extract(url, '//([^/?#]+)', 1), '^[^.]+\.([^.]+\.[^.]+\.)', '\1'),
+    regexp_extract(url, '//([^/?#]+)', 1) || '/' || regexp_extract(url, '//[^/?#]+/([^/?#]+)', 1)]) AS pattern FROM pages),
+e AS (SELECT pattern, CASE WHEN ('0x' || substr(md5('kind:' || pattern), 1, 7))::BIGINT % 2 = 0 THEN 'spam' ELSE 'adult' END AS category,
+    CASE WHEN k % 2 = 0 THEN 'add' ELSE 'remove' END AS action,
+    make_timestamp((1704067200 + ('0x' || substr(md5(pattern || ':' || k), 1, 7))::BIGINT % (366 * 86400)) * 1000000) AS changed
+    FROM names, range(4) r(k) WHERE ('0x' || substr(md5('in:' || pattern), 1, 7))::BIGINT % 3 = 0),
+one AS (SELECT pattern, changed, max(action) AS action, any_value(category) AS category FROM e GROUP BY pattern, changed),
+v AS (SELECT pattern, category, action, changed AS since, lead(changed) OVER (PARTITION BY pattern ORDER BY changed) AS until FROM one),
+m AS (SELECT p.page_id, v.*, row_number() OVER (PARTITION BY p.page_id ORDER BY length(v.pattern) DESC, v.pattern DESC) AS rk FROM p JOIN v
+    ON (v.pattern = p.host OR ends_with(p.host, '.' || v.pattern) OR (starts_with(v.pattern, p.host || '/') AND v.pattern = p.host || '/' || p.seg[1]))
+    WHERE v.action = 'add' AND v.since <= p.fetched AND (v.until IS NULL OR p.fetched < v.until))
+SELECT p.page_id, p.url, p.fetched, m.pattern IS NOT NULL AS listed, m.pattern, m.category, m.since FROM p LEFT JOIN m ON p.page_id = m.page_id AND m.rk = 1
+"""
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality.judge(docs, labels, keep_text=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_mixing, op2_token_counts, op3_pii, op4_simhash, op6_wrappers, op7_decontamination, op8_ogg, op10_quality]
+    found = [op1_mixing, op2_token_counts, op3_pii, op4_simhash, op5_licenses, op6_wrappers, op7_decontamination, op8_ogg, op9_url_lists, op10_quality]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_url_lists": OP9_SQL}
