@@ -2,40 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A word, as every contract of this subpackage counts it: ASCII white space separates, nothing else does.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+from banditframe.plans.tables import cut, shared_dir, table
 
+__all__ = ["WORD", "cut", "n_words", "shared_dir", "table"]
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and read again.
-
-    Unlike cached or locally checkpointed blocks, the files outlive any executor, and their known size lets Catalyst
-    choose between a broadcast and a shuffled join under spark.sql.autoBroadcastJoinThreshold.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A word, as every contract of this subpackage counts it: ASCII white space separates, nothing else does.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
