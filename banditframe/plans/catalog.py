@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from banditframe.plans import q_results
+from banditframe.plans import q_interactions, q_results
 
-GROUPS = [q_results]
+GROUPS = [q_results, q_interactions]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
