@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from banditframe.plans import q_interactions, q_results
+from banditframe.plans import q_interactions, q_policies, q_results
 
-GROUPS = [q_results, q_interactions]
+GROUPS = [q_results, q_interactions, q_policies]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
