@@ -360,7 +360,7 @@ def from_logged(rows: DataFrame, env_params: list[str], lrn_params: list[str], o
     envs = first_appearance(rows, env_params, order, ENV)
     lrns = first_appearance(rows, lrn_params, order, LRN)
     keep = rows.join(envs, env_params).join(lrns, lrn_params).withColumn(VAL, F.lit(0))
-    keep = keep.withColumn(INDEX, F.row_number().over(Window.partitionBy(*TRIPLE).orderBy(*order)))
+    keep = keep.withColumn(INDEX, F.row_number().over(Window.partitionBy(*TRIPLE).orderBy(*order)).cast("long"))
     gone = {"context", "actions", "rewards", *env_params, *lrn_params} | (set() if include_prob else {"probability"})
     facts = keep.select(*TRIPLE, INDEX, *[c for c in keep.columns if c not in gone and c not in (*TRIPLE, INDEX)])
     vals = rows.sparkSession.range(1).select(F.lit(0).alias(VAL), F.lit(evaluator).alias("eval_type"))
