@@ -1,7 +1,7 @@
 """Benchmark decontamination by template windows, in DataFrame functions only.
 
-Words are canonicalised: numbers, capitalised words and units become typed placeholders, others are lower-cased and lose their
-punctuation. Windows of a document's canonical words are looked up among those of the benchmark items. Matches that lie on
+Words are numbers and runs of letters, so punctuation does not count. They are canonicalised: numbers, capitalised words and
+units become typed placeholders, others are lower-cased. Windows of a document's canonical words are looked up among those of the benchmark items. Matches that lie on
 about one diagonal are a run; a run is a leak if it covers enough of the item's words and its slots are consistent: the words
 under placeholders pair one to one, as in a question asked again with other numbers and names.
 
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from banditframe.llm.common import WORD, cut
+from banditframe.llm.common import cut
 
 #: Fixed list of units.
 UNITS = ["mm", "cm", "m", "km", "in", "inch", "inches", "ft", "feet", "foot", "yd", "yard", "yards", "mile", "miles", "mg", "g", "kg", "lb", "lbs", "oz", "ton", "tons", "ml", "l", "litre", "litres", "liter", "liters", "s", "sec", "second", "seconds", "min", "minute", "minutes", "h", "hr", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "usd", "eur", "dollar", "dollars", "euro", "euros", "cent", "cents", "percent", "kmh", "mph", "degrees", "watt", "watts", "kw", "kwh", "volt", "volts", "amp", "amps", "hz", "mb", "gb"]
@@ -24,19 +24,23 @@ BITS = 20
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
+    """Numbers, with the separators inside them, and runs of letters and digits that begin with a letter."""
+    return F.regexp_extract_all(text, F.lit(r"(\p{N}+(?:[.,:/]\p{N}+)*|\p{L}[\p{L}\p{N}]*)"), F.lit(1))
 
 
-def canonical(raw: Column) -> Column:
-    """The canonical words of an array of words, one for each."""
+def canonical(rows: DataFrame) -> DataFrame:
+    """rows with an array raw of words -> the same with canon, one canonical word for each. What a lambda looks up is a column
+    of the step before, so that no array is made again for each of its elements."""
 
     def one(w: Column) -> Column:
-        bare = F.regexp_replace(w, r"[^\p{L}\p{N}]", "")
-        return F.when(w.rlike(r"^\p{Ll}+$"), w).when(bare.rlike(r"^\p{N}"), F.lit(NUM)).when(bare.rlike(r"^\p{Lu}"), F.lit(NAME)).otherwise(F.lower(bare))
+        # in byte order digits come before ":", capitals before "[", small letters before "{", and other alphabets after
+        first = F.substring(w, 1, 1)
+        return F.when(w < ":", F.lit(NUM)).when(w < "[", F.lit(NAME)).when(w < "{", F.lower(w)).when(first != F.lower(first), F.lit(NAME)).otherwise(F.lower(w))
 
-    typed = F.transform(raw, one)
-    units = F.create_map(*[x for u in UNITS for x in (F.lit(u), F.lit(True))])
-    return F.transform(typed, lambda w, i: F.when(units[w].isNotNull() & (i > 0) & (F.get(typed, i - 1) == NUM), F.lit(UNIT)).otherwise(w))
+    typed = rows.withColumn("__typed", F.transform("raw", one))
+    unit = lambda w, i: F.when((i > 0) & (F.get("__typed", i - 1) == NUM) & w.isin(UNITS), F.lit(UNIT)).otherwise(w)
+    canon = F.when(F.array_contains("__typed", NUM), F.transform("__typed", unit)).otherwise(F.col("__typed"))
+    return typed.withColumn("canon", canon).drop("__typed")
 
 
 def windows(rows: DataFrame, width: int) -> DataFrame:
@@ -66,10 +70,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     Only windows that may be the benchmark's are kept from the documents, by a bitmap of fixed size; the join is exact.
     """
     items = benchmark.select(F.col(item_col).alias("item"), words(F.col(item_text)).alias("raw")).filter(F.size("raw") >= least_words)
-    items = cut(items.select(F.struct("item", F.size("raw").alias("n")).alias("key"), "raw", canonical(F.col("raw")).alias("canon")).distinct())
+    items = cut(canonical(items.select(F.struct("item", F.size("raw").alias("n")).alias("key"), "raw").distinct()))
     short = [r[0] for r in items.filter(F.size("canon") < width).select(F.size("canon").alias("n")).distinct().collect()]
-    texts = docs.select(F.struct(F.col(id_col).alias("id")).alias("key"), words(F.col(text_col)).alias("raw"))
-    texts = texts.select("key", "raw", canonical(F.col("raw")).alias("canon"))
+    texts = canonical(docs.select(F.struct(F.col(id_col).alias("id")).alias("key"), words(F.col(text_col)).alias("raw")))
     found = None
     for w in [width, *sorted(short)]:
         theirs = windows(items.filter(F.size("canon") == w if w < width else F.size("canon") >= width), w)
@@ -83,7 +86,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         ours = ours.select("hash", "key.id", "at", F.slice("canon", F.col("at") + 1, w).alias("seen"), F.slice("raw", F.col("at") + 1, w).alias("said"))
         met = ours.join(theirs, "hash").filter("seen = canon").select("id", "item", "n", F.lit(w).alias("width"), "at", "pos", "canon", "said", "asked")
         found = met if found is None else found.union(met)
-    clean = lambda a: F.transform(a, lambda x: F.lower(F.regexp_replace(x, r"[^\p{L}\p{N}]", "")))
+    clean = lambda a: F.transform(a, F.lower)
     pairs = F.arrays_zip("canon", clean("asked").alias("asked"), clean("said").alias("said"))
     slots = F.transform(F.filter(pairs, lambda p: p["canon"].isin(NUM, NAME, UNIT)), lambda p: F.struct(p["asked"].alias("asked"), p["said"].alias("said")))
     band = F.floor((F.col("at") - F.col("pos")) / 32)
