@@ -34,25 +34,20 @@ def _col(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x).cast("long")
 
 
+def jump_table() -> Column:
+    return F.array(*[F.struct(F.lit(1 << b).cast("long").alias("bit"), F.lit(a).cast("long").alias("a"), F.lit(c).cast("long").alias("c")) for b, (a, c) in enumerate(jumps())])
+
+
 def state(seed, k) -> Column:
     """The integer behind draw k (from 1) of the stream of seed; both may be columns."""
     s = _col(seed if isinstance(seed, Column) else seed_of(seed)).cast("long") % F.lit(MODULUS)
     k = _col(k).cast("long")
-    for b, (a, c) in enumerate(jumps()):
-        s = F.when(k.bitwiseAND(F.lit(1 << b)) != 0, (s * a + c).bitwiseAND(F.lit(MODULUS - 1))).otherwise(s)
-    return s
-
-
-def jump_table() -> Column:
-    return F.array(*[F.struct(F.lit(1 << b).cast("long").alias("bit"), F.lit(a).cast("long").alias("a"), F.lit(c).cast("long").alias("c")) for b, (a, c) in enumerate(jumps())])
+    return F.aggregate(jump_table(), s, lambda acc, p: F.when(k.bitwiseAND(p["bit"]) != 0, (acc * p["a"] + p["c"]).bitwiseAND(F.lit(MODULUS - 1))).otherwise(acc))
 
 
 def u(seed, k) -> Column:
     """Draw k (from 1) in [0, 1)."""
-    s = _col(seed if isinstance(seed, Column) else seed_of(seed)).cast("long") % F.lit(MODULUS)
-    k = _col(k).cast("long")
-    end = F.aggregate(jump_table(), s, lambda acc, p: F.when(k.bitwiseAND(p["bit"]) != 0, (acc * p["a"] + p["c"]).bitwiseAND(F.lit(MODULUS - 1))).otherwise(acc))
-    return end / F.lit(float(MODULUS))
+    return state(seed, k) / F.lit(float(MODULUS))
 
 
 def random(seed, k, low: float = 0.0, high: float = 1.0) -> Column:

@@ -109,9 +109,10 @@ def arff_dense(rows: DataFrame, header: ArffHeader, column: str = "value", sep:
     cell = rf"""\s*('(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*"|[^{re.escape(sep)}]*?)\s*(?:{re.escape(sep)}|$)"""
     found = F.regexp_extract_all(F.concat(F.col(column)), F.lit(cell), F.lit(1))
     n = len(header.names)
-    # the pattern also finds an empty cell at the line's end
+    # after a last cell that is not empty the pattern finds one more at the line's end
     text = _data(rows, column).withColumn("__cells", found)
-    ok = F.when((F.size("__cells") == n) | (F.size("__cells") == n + 1), F.col("__cells")).otherwise(F.raise_error(F.concat(F.lit(f"a line has not {n} cells: "), F.col(column))))
+    width = F.size("__cells") - F.when(F.endswith(F.col(column), F.lit(sep)), 0).otherwise(1)
+    ok = F.when(width == n, F.col("__cells")).otherwise(F.raise_error(F.concat(F.lit(f"a line has not {n} cells: "), F.col(column))))
     clean = F.transform(ok, lambda c: F.when(c == "?", None).when(c.rlike(r"""^(['"]).*\1$"""), F.regexp_replace(F.substring(c, F.lit(2), F.length(c) - 2), r"\\(.)", "$1")).otherwise(c))
     cells = text.withColumn("__cells", clean)
     typed = [F.get("__cells", F.lit(i)).cast("double").alias(x) if k == "numeric" else F.get("__cells", F.lit(i)).alias(x, metadata={"levels": lv} if lv else {}) for i, (x, k, lv) in enumerate(zip(header.names, header.kinds, header.levels))]
