@@ -2,7 +2,7 @@
 
 Words are numbers and runs of letters, so punctuation does not count. They are canonicalised: numbers, capitalised words and
 units become typed placeholders, others are lower-cased. Windows of a document's canonical words are looked up among those of the benchmark items. Matches that lie on
-about one diagonal are a run; a run is a leak if it covers enough of the item's words and its slots are consistent: the words
+one diagonal, or on about one, are a run; a run is a leak if it covers enough of the item's words and its slots are consistent: the words
 under placeholders pair one to one, as in a question asked again with other numbers and names.
 
 Cases: null and empty texts have no windows; items of fewer words than a window are looked up as they are, in windows of
@@ -89,8 +89,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     clean = lambda a: F.transform(a, F.lower)
     pairs = F.arrays_zip("canon", clean("asked").alias("asked"), clean("said").alias("said"))
     slots = F.transform(F.filter(pairs, lambda p: p["canon"].isin(NUM, NAME, UNIT)), lambda p: F.struct(p["asked"].alias("asked"), p["said"].alias("said")))
-    band = F.floor((F.col("at") - F.col("pos")) / 32)
-    run = found.select("id", "item", "n", "width", "pos", slots.alias("slots"), F.explode(F.array(band, band + 1)).alias("band"))
+    diagonal = F.col("at") - F.col("pos")
+    band = F.floor(diagonal / 32)
+    # one diagonal alone keeps a template that repeats inside an item apart; bands of diagonals bear words put in or left out
+    ways = F.array(F.struct(F.lit(True).alias("one"), diagonal.cast("long").alias("at")), *[F.struct(F.lit(False).alias("one"), b.cast("long").alias("at")) for b in (band, band + 1)])
+    run = found.select("id", "item", "n", "width", "pos", slots.alias("slots"), F.explode(ways).alias("band"))
     run = run.groupBy("id", "item", "n", "band").agg(F.collect_set(F.struct("pos", "width")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["pos"], s["pos"] + s["width"] - 1)))))
     distinct = lambda name: F.size(F.array_distinct(F.transform("slots", lambda s: s[name])))

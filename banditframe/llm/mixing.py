@@ -63,7 +63,8 @@ def _plan(rows: DataFrame, targets: DataFrame, rounds: int) -> DataFrame:
     """One row a source: target, whole copies, and the bands of the Pareto order that are drawn.
 
     A band is all rows with order in (low, high] and size up to big. The first band ends where the words due would be
-    exceeded; each later one passes over the document that did not fit and fills what is left with smaller ones. Sums run
+    exceeded; each later one passes over the document that did not fit and fills what is left with smaller ones. At last, one more
+    document is taken where that leaves a smaller error. Sums run
     over sqrt(n) buckets of the order and then inside one bucket, so no task holds a source.
     """
     f = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -78,18 +79,28 @@ def _plan(rows: DataFrame, targets: DataFrame, rounds: int) -> DataFrame:
         before = Window.partitionBy(_SRC).orderBy("bucket")
         sums = due.groupBy(_SRC, "bucket").agg(F.sum(_SIZE).alias("words"), F.max("order").alias("top"), F.first("gap").alias("gap"))
         sums = sums.withColumns({"sum": F.sum("words").over(before), "reach": F.lag("top").over(before)})
+        whole = cut(sums.groupBy(F.col(_SRC).alias("w")).agg(F.sum("words").alias("all")))
         full = sums.filter("sum > gap").groupBy(_SRC).agg(F.min_by(F.struct("bucket", (F.col("sum") - F.col("words")).alias("base"), "reach"), "bucket").alias("at"))
         full = cut(full.select(F.col(_SRC).alias("s"), "at.*"))
         inside = due.join(full, due[_SRC].eqNullSafe(full["s"]) & (due["bucket"] == full["bucket"]))
         run = F.sum(_SIZE).over(Window.partitionBy(_SRC).orderBy("order")) + F.col("base")
         inside = inside.withColumn("run", run).filter("run <= gap").groupBy(_SRC).agg(F.max("order").alias("high"), F.max("run").alias("run"))
         ends = full.join(inside, full["s"].eqNullSafe(inside[_SRC]), "left").select("s", F.coalesce("high", "reach", F.lit(-1.0)).alias("high"), F.coalesce("run", "base").alias("used"))
-        plan = plan.join(ends, plan[_SRC].eqNullSafe(ends["s"]), "left")
+        plan = plan.join(ends, plan[_SRC].eqNullSafe(ends["s"]), "left").join(whole, plan[_SRC].eqNullSafe(whole["w"]), "left")
         live = (F.col("rest") > 0) & (F.col("low") < 1)
         high = F.when(F.col("high").isNull(), 1.0).otherwise(F.greatest("high", "low"))
         band = F.struct("low", high.alias("high"), F.col("gap").alias("big"))
-        plan = cut(plan.select(_SRC, "n", "source_size", "target", "whole", "rest", "buckets", F.when(live, F.col("gap") - F.coalesce("used", F.lit(0.0))).otherwise(0.0).alias("gap"), F.when(live, high).otherwise(F.col("low")).alias("low"), F.when(live, F.concat("bands", F.array(band))).otherwise(F.col("bands")).alias("bands")))
-    return plan
+        plan = cut(plan.select(_SRC, "n", "source_size", "target", "whole", "rest", "buckets", F.when(live, F.col("gap") - F.coalesce("used", "all", F.lit(0.0))).otherwise(F.col("gap")).alias("gap"), F.when(live, high).otherwise(F.col("low")).alias("low"), F.when(live, F.concat("bands", F.array(band))).otherwise(F.col("bands")).alias("bands")))
+    # the document that brings a source nearest to its target, if any brings it nearer
+    due = rows.join(plan.filter("gap > 0").select(F.col(_SRC).alias("s"), "rest", "gap", "bands"), rows[_SRC].eqNullSafe(F.col("s")))
+    due = due.withColumn("order", order(F.col("rest"))).filter(~_drawn(F.col("bands"), F.col("order")) & (F.col("order") < 2) & (F.col(_SIZE) > 0))
+    due = due.withColumn("off", F.abs(F.col(_SIZE) - F.col("gap"))).filter(F.col("off") < F.col("gap"))
+    last = due.groupBy(F.col(_SRC).alias("s")).agg(F.min(F.struct("off", "order")).alias("m")).select("s", F.col("m.order").alias("last"))
+    return cut(plan.join(last, plan[_SRC].eqNullSafe(last["s"]), "left").drop("s"))
+
+
+def _drawn(bands: Column, at: Column) -> Column:
+    return F.exists(bands, lambda b: (at > b["low"]) & (at <= b["high"]) & (F.col(_SIZE) <= b["big"]))
 
 
 def order(mean: Column) -> Column:
@@ -110,9 +121,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = docs.withColumns(cols)
     small = cut(rows.select(_SRC, _SIZE, _U, _P))
     plan = _plan(small, source_targets(small.groupBy(_SRC).agg(F.count("*").alias("n"), F.sum(_SIZE).alias("source_size")), weights, share, most), rounds)
-    plan = plan.select(F.col(_SRC).alias("__s"), F.col("source_size").alias("__all"), F.col("target").alias("__target"), F.col("whole").alias("__whole"), F.col("rest").alias("__rest"), F.col("bands").alias("__bands"))
+    plan = plan.select(F.col(_SRC).alias("__s"), F.col("source_size").alias("__all"), F.col("target").alias("__target"), F.col("whole").alias("__whole"), F.col("rest").alias("__rest"), F.col("bands").alias("__bands"), F.col("last").alias("__last"))
     out = rows.join(plan, rows[_SRC].eqNullSafe(plan["__s"])).withColumn("__order", order(F.col("__rest")))
-    drawn = F.exists("__bands", lambda b: (F.col("__order") > b["low"]) & (F.col("__order") <= b["high"]) & (F.col(_SIZE) <= b["big"]))
+    drawn = _drawn(F.col("__bands"), F.col("__order")) | F.col("__order").eqNullSafe(F.col("__last"))
     copies = (F.col("__whole") + F.when((F.col("__rest") > 0) & (F.col(_SIZE) > 0) & drawn, 1).otherwise(0)).cast("long")
     keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
     return out.withColumn("__copies", copies).select(*keep, F.col(_SIZE).alias("size"), F.col("__all").alias("source_size"), F.col("__target").alias("target"), F.col("__copies").alias("copies"), (F.col("__copies") * F.col(_SIZE)).alias("taken"))

@@ -130,14 +130,12 @@ def describe(media: bytes) -> dict:
     return {"payload_bytes": len(data), "payload_sha256": hashlib.sha256(data).hexdigest(), "tail_crc32": zlib.crc32(data[-BLOCK:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": feature}
 
 
-@F.pandas_udf("binary")
-def to_ogg(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _to_ogg(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         yield pd.Series([encode(payload(t)) for t in s], dtype=object)
 
 
-@F.pandas_udf(INFO)
-def ogg_info(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def _info(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     names = [x.split()[0] for x in INFO.split(", ")]
     for s in batches:
         yield pd.DataFrame([describe(m) if m is not None else dict.fromkeys(names) for m in s], columns=names)
@@ -145,10 +143,10 @@ def ogg_info(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 def media(docs: DataFrame, text_col: str = "text", out: str = "media") -> DataFrame:
     """docs with the Ogg file of every text."""
-    return docs.withColumn(out, to_ogg(F.col(text_col)))
+    return docs.withColumn(out, F.pandas_udf(_to_ogg, "binary")(F.col(text_col)))
 
 
 def features(rows: DataFrame, media_col: str = "media") -> DataFrame:
     """rows without their media, but with what is read back from them."""
-    rest = [c for c in rows.columns if c != media_col]
-    return rows.select(*rest, ogg_info(F.col(media_col)).alias("__info")).select(*rest, "__info.*")
+    rest = [c for c in rows.columns if c != media_col and c not in {x.split()[0] for x in INFO.split(", ")}]
+    return rows.select(*rest, F.pandas_udf(_info, INFO)(F.col(media_col)).alias("__info")).select(*rest, "__info.*")

@@ -77,18 +77,18 @@ def _strength(mean: Column, spread: Column) -> Column:
 
 
 def sites(rows: DataFrame, host: str, path: str) -> DataFrame:
-    """(host, path, global, host and path posteriors, and the path's sums) of rows (host, path, p)."""
+    """(host, path, whole share, host and path posteriors, and the path's sums) of rows (host, path, p)."""
     paths = cut(rows.groupBy(host, path).agg(F.count("*").alias("n"), F.sum("p").alias("s")))
     total = paths.agg((F.sum("s") / F.sum("n")).alias("mean"), F.sum("n").alias("n")).first()
     mean = min(max(float(total["mean"] if total["mean"] is not None else 0.5), 1e-6), 1 - 1e-6)
     hosts = paths.groupBy(host).agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
     inside = lambda n, m: F.greatest(n * F.pow(m - mean, 2) - mean * (1 - mean), F.lit(0.0))  # noqa: E731  what sampling alone doesn't explain
     k0 = hosts.agg(_strength(F.lit(mean), F.sum(inside(F.col("hn"), F.col("hs") / F.col("hn"))) / F.sum("hn"))).first()[0]
-    hosts = hosts.select(F.col(host).alias("h"), ((k0 * mean + F.col("hs")) / (k0 + F.col("hn"))).alias("host_posterior"))
-    both = cut(paths.join(hosts, paths[host].eqNullSafe(hosts["h"])).drop("h"))
+    hosts = hosts.select(F.col(host).alias("__of"), ((k0 * mean + F.col("hs")) / (k0 + F.col("hn"))).alias("host_posterior"))
+    both = cut(paths.join(hosts, paths[host].eqNullSafe(hosts["__of"])).drop("__of"))
     off = F.greatest(F.col("n") * F.pow(F.col("s") / F.col("n") - F.col("host_posterior"), 2) - F.col("host_posterior") * (1 - F.col("host_posterior")), F.lit(0.0))
     k1 = both.agg(_strength(F.lit(mean), F.sum(off) / F.sum("n"))).first()[0]
-    return cut(both.select(F.col(host).alias("__h"), F.col(path).alias("__d"), "n", "s", F.lit(mean).alias("global"), F.lit(k1).alias("k"), "host_posterior", ((k1 * F.col("host_posterior") + F.col("s")) / (k1 + F.col("n"))).alias("path_posterior")))
+    return cut(both.select(F.col(host).alias("__h"), F.col(path).alias("__d"), F.col("n").alias("__n"), F.col("s").alias("__s"), F.lit(mean).alias("__global"), F.lit(k1).alias("__k"), "host_posterior", ((k1 * F.col("host_posterior") + F.col("s")) / (k1 + F.col("n"))).alias("path_posterior")))
 
 
 def _logit(p: Column) -> Column:
@@ -105,8 +105,8 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = sites(small.select("__host", "__path", p.alias("p")), "__host", "__path")
     rows = (marked if keep_text else small.select(F.col(id_col), F.col("__host").alias(host), F.col("__path").alias(path), "__f")).withColumn("evidence", p)
     rows = rows.join(known, rows[host].eqNullSafe(known["__h"]) & rows[path].eqNullSafe(known["__d"]))
-    others = (F.col("k") * F.col("host_posterior") + F.col("s") - F.col("evidence")) / (F.col("k") + F.col("n") - 1)
-    z = _logit(F.col("evidence")) + _logit(others) - _logit(F.col("global"))
+    others = (F.col("__k") * F.col("host_posterior") + F.col("__s") - F.col("evidence")) / (F.col("__k") + F.col("__n") - 1)
+    z = _logit(F.col("evidence")) + _logit(others) - _logit(F.col("__global"))
     rows = rows.withColumn("posterior", F.when(F.col("__f.n_words") > 0, 1 / (1 + F.exp(-z))).otherwise(0.0))
     rest = [c for c in docs.columns if keep_text or c in (id_col, host, path)]
     return rows.select(*rest, "evidence", "host_posterior", "path_posterior", "posterior", (F.col("posterior") >= threshold).alias("keep"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,9 +12,17 @@ from banditframe.llm import decontaminate, mixing, pii, quality, simhash
 from banditframe.llm.common import cut, shared_dir, table
 
 
+def _apart(docs: DataFrame, names: list[str], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """stage of docs, whose own columns of these names stand aside meanwhile."""
+    own = {c: f"__own_{c}" for c in docs.columns if c in names}
+    out = stage(docs.withColumnsRenamed(own))
+    return out.drop(*own).withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
+
+
 def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
-    return quality.judge(docs, table(spark, sf_dir, "labels")).filter("keep").select(*docs.columns)
+    labels = table(spark, sf_dir, "labels")
+    return _apart(docs, quality.RESULTS, lambda d: quality.judge(d, labels).filter("keep"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,13 +39,12 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with surrogates for personal data, and their length after that."""
-    out = pii.pseudonymize(docs).withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    return _apart(docs, ["n_entities"], lambda d: pii.pseudonymize(d).withColumn("n_chars", F.length("text").cast("long")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix, with the copies that it takes of each."""
-    return mixing.mix(docs).filter("copies > 0").select(*docs.columns, "size", "source_size", "target", "copies", "taken")
+    return mixing.mix(docs).filter("copies > 0")
 
 
 STAGES = [
