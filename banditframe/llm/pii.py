@@ -28,17 +28,27 @@ GIVEN = {
 SYLLABLES = {"latin": ["bar", "cor", "del", "fen", "gal", "har", "jon", "kel", "lan", "mor", "nel", "pol", "ros", "sal", "tor", "wen"], "cyrillic": ["бар", "вол", "гор", "дан", "кар", "лен", "мор", "нев", "пол", "рад", "сав", "тар", "ул", "фом", "хар", "чер"]}
 TITLES = {"f": ["Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Mme", "Г-жа", "Госпожа"], "m": ["Mr", "Mister", "Herr", "Señor", "Monsieur", "Г-н", "Господин"]}
 
-MAIL = r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"
-SECRET = r"(?<=\b(?:token|secret|password|passwd|api_key|apikey|api-key)\s{0,2}[=:]\s{0,2}[\"']{0,1})[A-Za-z0-9_+/=.-]{8,}|\b[0-9a-fA-F]{32,}\b|\b(?:AKIA|ghp_|sk-|xox[bp]-)[A-Za-z0-9_-]{12,}"
-IP = r"(?<![\p{L}\p{N}.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"
-CARD = r"(?<![\p{L}\p{N}])(?:[0-9]{4}[ -]){3}[0-9]{1,7}(?![0-9])|(?<![\p{L}\p{N}])[0-9]{13,19}(?![0-9])"
-PHONE = r"(?<![\p{L}\p{N}])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9])|(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+#: What stands before a secret and stays.
+_LABEL = r"(?:[a-z_-]+\s{0,2}[=:]\s{0,2}[\"']?)"
+# Each pattern begins with what fails fast: a run's start, one class of characters, or a word boundary.
+_RUN = r"[\p{L}\p{N}._%+-]"
+MAIL = rf"(?<!{_RUN}){_RUN}++@[\p{{L}}\p{{N}}-]+(?:\.[\p{{L}}\p{{N}}-]+)+"
+KEYED = r"(?=[tspa])\b(?:token|secret|password|passwd|api_key|apikey|api-key)\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9_+/=.-]{8,}"
+BARE = r"(?=[A-Fa-f0-9])\b(?=[A-Fa-f]*[0-9])[0-9a-fA-F]{32,}\b|(?=[Agsx])\b(?:AKIA|ghp_|sk-|xox[bp]-)(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{12,}"
+IP = r"(?=[0-9])(?<![\p{L}\p{N}.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"
+CARD = r"(?=[0-9])(?<![\p{L}\p{N}])(?:(?:[0-9]{4}[ -]){3}[0-9]{1,7}|[0-9]{13,19})(?![\p{L}\p{N}])"
+PHONE = r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?=[0-9])(?<![\p{L}\p{N}-])(?:[0-9]{3}-[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])"
 _T = "|".join(t for ts in TITLES.values() for t in ts)
 _G = "|".join(n for ns in GIVEN.values() for n in ns)
-NAME = rf"(?<![\p{{L}}])(?:{_T})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?|(?<![\p{{L}}])(?:{_G}) \p{{Lu}}\p{{Ll}}+"
-ANY = "|".join(f"(?:{p})" for p in (MAIL, SECRET, IP, CARD, PHONE, NAME))
-#: What every entity has: a text without any of these is not searched.
-HINT = rf"[0-9@]|(?:token|secret|password|passwd|api_key|apikey|api-key|AKIA|ghp_|sk-|xox)|(?:{_T})\.? \p{{Lu}}|(?:{_G}) \p{{Lu}}|[a-fA-F]{{32}}"
+_CAPITALS = "".join(sorted({x[0] for x in f"{_T}|{_G}".split("|")}))
+NAME = rf"(?=[{_CAPITALS}])(?<!\p{{L}})(?:(?:{_T})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?|(?:{_G}) \p{{Lu}}\p{{Ll}}+)"
+ANY = "|".join(f"(?:{p})" for p in (MAIL, KEYED, BARE, IP, CARD, PHONE, NAME))
+def may_hold(text: Column) -> Column:
+    """What every entity has: a digit, one of @ = :, or a title or given name. Texts without are not searched."""
+    out = text.rlike("[0-9@=:]")
+    for word in f"{_T}|{_G}".split("|"):
+        out = out | text.contains(word)
+    return out
 
 
 def find(text: Column) -> Column:
@@ -52,7 +62,7 @@ def _in(values: list[str], x: Column) -> Column:
 
 def units(entity: Column) -> Column:
     """(kind, value) of what one entity holds: a name has a given name and a surname, all others are one unit."""
-    whole = lambda kind: F.array(F.struct(F.lit(kind).alias("kind"), entity.alias("value")))
+    whole = lambda kind, value=entity: F.array(F.struct(F.lit(kind).alias("kind"), value.alias("value")))
     parts = F.split(entity, " ")
     first = F.regexp_replace(parts[0], r"\.$", "")
     sex = lambda given: F.when(_in(TITLES["f"], first) | _in(GIVEN["latin", "f"] + GIVEN["cyrillic", "f"], given), "f").otherwise("m")
@@ -68,7 +78,7 @@ def units(entity: Column) -> Column:
         .when(entity.rlike(rf"^(?:{CARD})$"), whole("card"))
         .when(entity.rlike(rf"^(?:{PHONE})$"), whole("phone"))
         .when(entity.rlike(rf"^(?:{NAME})$"), name)
-        .otherwise(whole("secret"))
+        .otherwise(whole("secret", F.regexp_extract(entity, rf"^{_LABEL}?(.*)$", 1)))
     )
 
 
@@ -129,7 +139,7 @@ def pseudonymize(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
     First surrogates are made where the text is read; only those few that clashed are looked up, by a join on the id."""
     docs = docs.drop("n_entities")
-    has = F.col(text_col).rlike(HINT)
+    has = may_hold(F.col(text_col))
     found = F.when(has, find(F.col(text_col))).otherwise(F.array().cast("array<string>"))
     holds = docs.select(id_col, F.explode(F.array_distinct(found)).alias("entity")).select(id_col, F.explode(units(F.col("entity"))).alias("u")).select(id_col, "u.kind", "u.value")
     holds = cut(holds)
@@ -143,7 +153,8 @@ def pseudonymize(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
         # a name keeps its title; its units are its last words
         head = F.when(F.size(F.split(entity, " ")) > F.size(one), F.concat(F.split(entity, " ")[0], F.lit(" "))).otherwise("")
         named = units(entity)[0]["kind"].rlike("^(given|surname)")
-        return F.when(named, F.concat(head, F.array_join(one, " "))).otherwise(one[0])
+        label = F.regexp_extract(entity, rf"^({_LABEL})?.*$", 1)
+        return F.when(named, F.concat(head, F.array_join(one, " "))).when(units(entity)[0]["kind"] == "secret", F.concat(label, one[0])).otherwise(one[0])
 
     new = F.concat(F.transform(F.col("__found"), stand_in), F.array(F.lit("")))
     whole = F.array_join(F.zip_with(F.split(F.col(text_col), ANY, -1), new, lambda a, b: F.concat(a, b)), "")
