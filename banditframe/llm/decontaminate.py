@@ -1,7 +1,7 @@
 """Benchmark decontamination by template windows, in DataFrame functions only.
 
 Words are numbers and runs of letters, so punctuation does not count. They are canonicalised: numbers, capitalised words and
-units become typed placeholders, others are lower-cased. Windows of a document's canonical words are looked up among those of the benchmark items. Matches that lie on
+units become typed placeholders; others, and words all in capitals, are lower-cased. Windows of a document's canonical words are looked up among those of the benchmark items. Matches that lie on
 one diagonal, or on about one, are a run; a run is a leak if it covers enough of the item's words and its slots are consistent: the words
 under placeholders pair one to one, as in a question asked again with other numbers and names.
 
@@ -35,7 +35,8 @@ def canonical(rows: DataFrame) -> DataFrame:
     def one(w: Column) -> Column:
         # in byte order digits come before ":", capitals before "[", small letters before "{", and other alphabets after
         first = F.substring(w, 1, 1)
-        return F.when(w < ":", F.lit(NUM)).when(w < "[", F.lit(NAME)).when(w < "{", F.lower(w)).when(first != F.lower(first), F.lit(NAME)).otherwise(F.lower(w))
+        name = F.when((F.length(w) > 1) & (w == F.upper(w)), F.lower(w)).otherwise(F.lit(NAME))
+        return F.when(w < ":", F.lit(NUM)).when(w < "[", name).when(w < "{", F.lower(w)).when(first != F.lower(first), name).otherwise(F.lower(w))
 
     typed = rows.withColumn("__typed", F.transform("raw", one))
     unit = lambda w, i: F.when((i > 0) & (F.get("__typed", i - 1) == NUM) & w.isin(UNITS), F.lit(UNIT)).otherwise(w)
