@@ -69,7 +69,7 @@ def ucb(df: DataFrame, actions: list[str], reward: str = "reward", keys: list[st
     """df with pmf of the tuned upper-confidence policy that has learned from the log before each row: actions not seen yet share
     everything; else those of the largest m + sqrt(ln t / n * min(1/4, V + sqrt(2 ln t / n))).
 
-    As the reference policy does, an action's first reward counts for m only until its second, and never for V; values are
+    An action's first reward counts for m only until its second comes, and never for V; values are
     compared at 9 decimals, as sums come in another order."""
     seen = df.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys, "action").orderBy(idx)))
     sums = {
