@@ -459,7 +459,7 @@ def o5_shuffle(spark, d):
 @query(f"WITH {LOGGED} SELECT env_id, 50::BIGINT AS n, 50::BIGINT AS different, TRUE AS mixed FROM logged GROUP BY env_id HAVING count(*) >= 50")
 def o6_reservoir(spark, d):
     log = _log(spark, d).select("env_id", "idx").withColumn("was", F.col("idx"))
-    return reshape.reservoir(log, 50, 5, strict=True).groupBy("env_id").agg(F.count("*").alias("n"), F.countDistinct("was").alias("different"), (F.max("was") > 100).alias("mixed"))
+    return reshape.reservoir(log, 50, 5, strict=True).groupBy("env_id").agg(F.count("*").alias("n"), F.countDistinct("was").alias("different"), (F.max("was") >= 50).alias("mixed"))
 
 
 @query()
