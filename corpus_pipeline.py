@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from banditframe.llm import decontaminate, mixing, pii, quality, simhash
+from banditframe.llm import decontaminate, mixing, pii, quality, resemblance
 from banditframe.llm.common import cut, shared_dir, table
 
 
@@ -26,8 +26,9 @@ def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document of the smallest id; equal rows of that id count as one."""
-    classes = simhash.near_duplicates(docs)
+    """Of each class of near-duplicates (five-word shingles, Jaccard similarity of 0.8 or more) the document of the smallest
+    id; equal rows of that id count as one."""
+    classes = resemblance.near_duplicates(docs)
     gone = cut(classes.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct())
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
 
