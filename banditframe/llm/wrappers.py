@@ -33,6 +33,8 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 OUTSIDE = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "head"}
 ASIDE = re.compile(r"(?:^|[\s_.#-])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|cookies?|consent|disclaimer|disqus|footer|masthead|menu|modal|nav\w*|newsletter|notices?|pagination|popup|promo\w*|related|reply|replies|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_.#-])", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form"}
+#: Elements deeper than this are not looked into when wrappers are merged.
+DEEPEST = 60
 ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
@@ -129,15 +131,35 @@ def stream(page: str) -> list:
     return fold(units)
 
 
-def _flat(x) -> list:
-    return x[1:] if isinstance(x, list) else [x]
+def _nodes(items: list, may: bool = False) -> list[tuple[list, bool]]:
+    """items cut into whole elements and single slots and groups, and whether each is optional."""
+    out, part, depth = [], [], 0
+    for x in items:
+        if not depth and isinstance(x, list) and x[0] == "?":
+            out += _nodes(x[1:], True)
+            continue
+        part.append(x)
+        if isinstance(x, str) and x != "#" and not x.endswith(" #>"):
+            depth += 1 if x[0] == "<" else -1
+        if depth == 0:
+            out.append((part, may))
+            part = []
+    return out
+
+
+def _join(x: list, y: list, level: int) -> list:
+    """The wrapper of two nodes of the same key."""
+    return x if x == y else [x[0], *merge(x[1:-1], y[1:-1], level + 1), x[-1]]
+
 
+def merge(a: list, b: list, level: int = 0) -> list:
+    """The wrapper of two wrappers. Items are strings, ["+", ...] repeated and ["?", ...] optional groups.
 
-def merge(a: list, b: list) -> list:
-    """The wrapper of two wrappers. Items are strings, ["+", ...] repeated and ["?", ...] optional groups."""
+    Whole elements are aligned, by their signatures, and the contents of those that met; so each path of the wrapper is one of
+    a page. Elements below a depth that only broken pages have are aligned if they are equal."""
     if a == b:
         return a
-    for x, other in ((a, 1), (b, 0)):  # a run that one side repeats and the other has once
+    for x, other in ((a, 1), (b, 0)) if level == 0 else ():  # a run that one side repeats and the other has once
         for g in [g for g in x if isinstance(g, list) and g[0] == "+"]:
             y, n, out, k = (b if other else a), len(g) - 1, [], 0
             while k < len(y):
@@ -148,28 +170,37 @@ def merge(a: list, b: list) -> list:
                     out.append(y[k])
                     k += 1
             a, b = (a, out) if other else (out, b)
-    left = [(json.dumps(y), x != y) for x in a for y in (_flat(x) if isinstance(x, list) and x[0] == "?" else [x])]
-    right = [(json.dumps(y), x != y) for x in b for y in (_flat(x) if isinstance(x, list) and x[0] == "?" else [x])]
-    if len(left) * len(right) > 4_000_000:  # too different to align in bounded memory: both, each optional
-        return [["?", *[json.loads(x) for x, _ in left]], ["?", *[json.loads(x) for x, _ in right]]]
+    left, right = _nodes(a), _nodes(b)
+    keys = [[x[0] if len(x) > 1 and level < DEEPEST else json.dumps(x) for x, _ in side] for side in (left, right)]
     n, m = len(left), len(right)
+    rows: list[tuple[list, bool]] = []
+    if n * m > 4_000_000:  # too different to align in bounded memory: both, each optional, and what both have once
+        at: dict[str, list] = {}
+        for key, (x, _) in [*zip(keys[0], left), *zip(keys[1], right)]:
+            at[key] = _join(at[key], x, level) if key in at else x
+        rows = [(x, True) for x in at.values()]
+        n = m = 0
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if left[i][0] == right[j][0] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
+            best[i][j] = best[i + 1][j + 1] + 1 if keys[0][i] == keys[1][j] else max(best[i + 1][j], best[i][j + 1])
+    i = j = 0
     while i < n or j < m:
-        if i < n and j < m and left[i][0] == right[j][0]:
-            item, may = json.loads(left[i][0]), left[i][1] or right[j][1]
+        if i < n and j < m and keys[0][i] == keys[1][j]:
+            rows.append((_join(left[i][0], right[j][0], level), left[i][1] or right[j][1]))
             i, j = i + 1, j + 1
         elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            item, may, i = json.loads(left[i][0]), True, i + 1
+            rows.append((left[i][0], True))
+            i += 1
         else:
-            item, may, j = json.loads(right[j][0]), True, j + 1
+            rows.append((right[j][0], True))
+            j += 1
+    out: list = []
+    for items, may in rows:
         if may and out and isinstance(out[-1], list) and out[-1][0] == "?":
-            out[-1].append(item)
+            out[-1] += items
         else:
-            out.append(["?", item] if may else item)
+            out += [["?", *items]] if may else items
     return out
 
 

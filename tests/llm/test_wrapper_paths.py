@@ -1,0 +1,36 @@
+"""Wrappers of pages whose elements differ: each path is one of a page, and no body is lost."""
+
+import json
+
+import pytest
+
+from banditframe.llm import wrappers
+
+PAGES = [f"<article><h1>T</h1><div {m}><p>X{k}</p></div></article>" for k, m in enumerate(["class=a", "class=b", "id=post-1", "id=post-2"])]
+
+
+def paths_of(page):
+    return set(wrappers.content_paths(json.dumps(wrappers.stream(page))))
+
+
+@pytest.mark.parametrize("pages", [PAGES[:2], PAGES[2:], PAGES, ["<article><div class=a><div><p>X0</p></div></div></article>", "<article><div class=b><p>X1</p><div><p>Y</p></div></div><p>Z</p></article>"]])
+def test_paths_are_those_of_pages(pages):
+    paths = set(wrappers.content_paths(wrappers.merged([json.dumps(wrappers.stream(p)) for p in pages])))
+    assert paths == set().union(*map(paths_of, pages))
+
+
+def test_bodies_of_differing_elements_are_kept(spark):
+    df = spark.createDataFrame([(k, f"http://a.b/{k}", p) for k, p in enumerate(PAGES)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in wrappers.main_text(df).collect()} == {k: f"T X{k}" for k in range(len(PAGES))}
+
+
+def test_pages_too_different_to_align_share_their_elements():
+    one, two = (["<article", *[x for k in range(2100) for x in (f"<div id={s}{k}", "<p #>", "#", f">div id={s}{k}")], "<h1 #>", ">article"] for s in "ab")
+    got = wrappers.merge(one, two)
+    assert json.dumps(got).count('"<h1 #>"') == 1 and len(wrappers.content_paths(json.dumps(got))) == 8401
+
+
+def test_deep_pages():
+    one, two = ("<article>" + "<div>" * 3000 + f"<p>{x}</p>" + y for x, y in (("a", ""), ("b", "<div class=c>d</div>")))
+    merged = wrappers.merge(wrappers.stream(one), wrappers.stream(two))
+    assert len(wrappers.content_paths(json.dumps(merged))) == 2
