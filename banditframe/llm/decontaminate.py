@@ -3,10 +3,11 @@
 Words are numbers and runs of letters, so punctuation does not count. They are canonicalised: numbers, capitalised words and
 units become typed placeholders; others, and words all in capitals, are lower-cased. Windows of a document's canonical words are looked up among those of the benchmark items. Matches that lie on
 one diagonal, or on about one, are a run; a run is a leak if it covers enough of the item's words and its slots are consistent: the words
-under placeholders pair one to one, as in a question asked again with other numbers and names.
+under placeholders pair one to one, as in a question asked again with other numbers and names. Windows are also looked up by
+their lower-cased words as they stand, so copies are found where placeholders would tell nothing.
 
 Cases: null and empty texts have no windows; items of fewer words than a window are looked up as they are, in windows of
-their own length, if they have least_words; repeated rows are judged alike, and rows of equal id stand or fall together;
+their own length, and those of fewer than least_words, which any text may hold, as whole documents; repeated rows are judged alike, and rows of equal id stand or fall together;
 null ids are one id; an empty table or benchmark gives no leaks; other columns are not looked at.
 """
 
@@ -44,13 +45,22 @@ def canonical(rows: DataFrame) -> DataFrame:
     return typed.withColumn("canon", canon).drop("__typed")
 
 
-def windows(rows: DataFrame, width: int) -> DataFrame:
-    """rows (key, raw, canon) -> one row a window: key, at, hash, and the arrays, which are cut only after filtering."""
+def windows(rows: DataFrame, width: int, typed: bool = True) -> DataFrame:
+    """rows (key, raw, canon) -> one row a window and hash: key, at, the arrays, which are cut only after filtering, and the hash
+    of its canonical words, if at most half are placeholders (and if typed), or else, if exact, of its lower-cased words."""
     starts = F.when(F.size("canon") >= width, F.sequence(F.lit(0), F.size("canon") - width))
-    spread = rows.withColumn("at", F.explode(starts))
-    cells = [F.get("canon", F.col("at") + k) for k in range(width)]
+    spread = rows.withColumn("low", F.transform("raw", F.lower)).withColumn("at", F.explode(starts))
+    cells, low = ([F.get(c, F.col("at") + k) for k in range(width)] for c in ("canon", "low"))
     slots = sum((F.when(c.isin(NUM, NAME, UNIT), 1).otherwise(0) for c in cells[1:]), F.when(cells[0].isin(NUM, NAME, UNIT), 1).otherwise(0))
-    return spread.filter(slots * 2 <= width).withColumn("hash", F.xxhash64(*cells))
+    # exploded, so that filters read a hash and don't make it again
+    hashes = F.array(F.when(F.lit(typed) & (slots * 2 <= width), F.xxhash64(*cells)), F.xxhash64(F.lit("="), *low))
+    return spread.select("*", F.posexplode(hashes).alias("exact", "hash")).filter(F.col("hash").isNotNull())
+
+
+def _keyed(spread: DataFrame, width: int, said: str, *names: str) -> DataFrame:
+    """Hash, the columns of names, the words that the hash was made of, and those as they stand."""
+    cells = lambda c: F.slice(c, F.col("at") + 1, width)
+    return spread.select(*names, "at", "hash", cells("raw").alias(said), F.when(F.col("exact") == 1, cells("low")).otherwise(cells("canon")).alias("canon"))
 
 
 def _bit(h: Column, half: int) -> Column:
@@ -70,21 +80,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     Only windows that may be the benchmark's are kept from the documents, by a bitmap of fixed size; the join is exact.
     """
-    items = benchmark.select(F.col(item_col).alias("item"), words(F.col(item_text)).alias("raw")).filter(F.size("raw") >= least_words)
+    items = benchmark.select(F.col(item_col).alias("item"), words(F.col(item_text)).alias("raw")).filter(F.size("raw") > 0)
     items = cut(canonical(items.select(F.struct("item", F.size("raw").alias("n")).alias("key"), "raw").distinct()))
     short = [r[0] for r in items.filter(F.size("canon") < width).select(F.size("canon").alias("n")).distinct().collect()]
     texts = canonical(docs.select(F.struct(F.col(id_col).alias("id")).alias("key"), words(F.col(text_col)).alias("raw")))
     found = None
     for w in [width, *sorted(short)]:
-        theirs = windows(items.filter(F.size("canon") == w if w < width else F.size("canon") >= width), w)
-        theirs = cut(theirs.select("hash", "key.item", "key.n", F.col("at").alias("pos"), F.slice("canon", F.col("at") + 1, w).alias("canon"), F.slice("raw", F.col("at") + 1, w).alias("asked")))
+        # an item of too few words for a passage is looked up as a whole document
+        typed, among = w >= least_words, texts if w >= least_words else texts.filter(F.size("raw") == w)
+        theirs = windows(items.filter(F.size("canon") == w if w < width else F.size("canon") >= width), w, typed)
+        theirs = cut(_keyed(theirs, w, "asked", "key.item", "key.n").withColumnRenamed("at", "pos"))
         bitmap = _bitmap(theirs.select("hash"))
-        may = [F.expr("1 = 1")]
-        for half in (0, 1):
-            bit = _bit(F.col("hash"), half)
-            may.append(F.call_function("shiftright", F.get(bitmap, F.shiftright(bit, 6).cast("int")), bit.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1)
-        ours = windows(texts, w).filter(may[1] & may[2])
-        ours = ours.select("hash", "key.id", "at", F.slice("canon", F.col("at") + 1, w).alias("seen"), F.slice("raw", F.col("at") + 1, w).alias("said"))
+
+        def may(h: Column, bitmap: Column = bitmap) -> Column:
+            bits = [_bit(h, half) for half in (0, 1)]
+            hits = [F.call_function("shiftright", F.get(bitmap, F.shiftright(bit, 6).cast("int")), bit.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1 for bit in bits]
+            return hits[0] & hits[1]
+
+        ours = windows(among, w, typed).filter(may(F.col("hash")))
+        ours = _keyed(ours, w, "said", "key.id").withColumnRenamed("canon", "seen")
         met = ours.join(theirs, "hash").filter("seen = canon").select("id", "item", "n", F.lit(w).alias("width"), "at", "pos", "canon", "said", "asked")
         found = met if found is None else found.union(met)
     clean = lambda a: F.transform(a, F.lower)
