@@ -4,7 +4,7 @@ Mail addresses, IP addresses, card and phone numbers, secrets and titled or know
 values made from a keyed hash: digits for digits, letters for letters of the same case, names for names of the same gender
 and script. One value has one surrogate in the whole table, whatever document it is in, and a surname has the same one with
 and without a first name. Surrogates that two values would share, or that are themselves values of the table, are made again
-with the next attempt number until all are distinct.
+with the next attempt number until all are distinct; later attempts are longer, so there is always one that is free.
 
 Cases: null texts stay null and empty ones empty; texts without such data are unchanged, byte for byte; texts of any length
 are read whole; repeated rows get the same text; null ids are kept; an empty table gives an empty result; a column
@@ -98,6 +98,12 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     fixed = F.when(kind == "mail", F.length(F.regexp_extract(value, r"(?:@|\.)([^.@]+\.[^.@]+)$", 1))).otherwise(0)
     lead = F.when(kind == "phone", F.length(F.regexp_extract(value, r"^(\+[0-9]{1,3})(?![0-9])", 1))).otherwise(0)
     shaped = F.array_join(F.transform(chars, lambda c, i: F.when((i < lead) | (i >= F.size(chars) - fixed), c).otherwise(same(c, i))), "")
+    # a short value has few surrogates of its length
+    more = lambda fill: F.array_join(F.transform(F.sequence(F.lit(0), attempt), lambda k: F.when(k > 3, fill(F.sha2(F.concat_ws("\x1f", seed, F.lit("more"), k.cast("string")), 256)))), "")
+    one_of = lambda parts: lambda h: F.get(F.array(*[F.lit(p) for p in parts]), F.conv(F.substring(h, 1, 4), 16, 10).cast("int") % len(parts))
+    letters, digits = more(one_of("abcdefghijklmnopqrstuvwxyz")), more(one_of("0123456789"))
+    grown = F.when(kind == "mail", F.concat(letters, shaped)).when(kind.isin("phone", "card"), F.concat(shaped, digits)).otherwise(F.concat(shaped, letters))
+    shaped = F.when(attempt > 3, grown).otherwise(shaped)
     octets = F.concat_ws(".", *[(byte(F.lit(k)) % 254 + 1).cast("string") for k in range(4)])
     out = F.when(kind == "ip", octets)
     deep = F.sha2(seed, 256)
@@ -107,12 +113,13 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
         base = F.get(F.array(*[F.lit(n) for n in names]), at(0, len(names)))
         tail = F.get(F.array(*[F.lit(n) for n in SYLLABLES[script]]), at(1, 16))
         tail2 = F.get(F.array(*[F.lit(n) for n in SYLLABLES[script]]), at(2, 16))
-        out = out.when(kind == f"given-{script}-{sex}", F.when(attempt == 0, base).when(attempt < 4, F.concat(base, tail)).otherwise(F.concat(base, tail, tail2)))
+        out = out.when(kind == f"given-{script}-{sex}", F.when(attempt == 0, base).when(attempt < 4, F.concat(base, tail)).otherwise(F.concat(base, tail, tail2, more(one_of(SYLLABLES[script])))))
     for script, parts in SYLLABLES.items():
         s = F.array(*[F.lit(p) for p in parts])
         three = F.concat(*[F.get(s, at(k, 16)) for k in range(3)])
-        more = F.concat(*[F.get(s, at(k, 16)) for k in range(3, 6)])
-        out = out.when(kind == f"surname-{script}", F.initcap(F.when(attempt < 2, three).otherwise(F.concat(three, more))))
+        six = F.concat(three, *[F.get(s, at(k, 16)) for k in range(3, 6)])
+        long = F.when(attempt > 3, F.concat(six, more(one_of(parts)))).otherwise(six)
+        out = out.when(kind == f"surname-{script}", F.initcap(F.when(attempt < 2, three).otherwise(long)))
     return out.otherwise(shaped)
 
 

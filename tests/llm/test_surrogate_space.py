@@ -1,0 +1,12 @@
+"""Values that have fewer surrogates of their own shape than there are values."""
+
+from banditframe.llm import pii
+
+
+def test_surrogates_grow_until_distinct(spark):
+    rows = [("mail", f"{c}@example.com") for c in "abcdefghijklmnopqrstuvwxyz_"] + [("given-latin-m", f"Name{k}") for k in range(5000)]
+    got = pii.assignments(spark.createDataFrame(rows, "kind string, value string"), "key").collect()
+    assert sorted((r["kind"], r["value"]) for r in got) == sorted(rows)
+    made = {(r["kind"], r["surrogate"]) for r in got}
+    assert len(made) == len(rows) and not made & set(rows)
+    assert all(r["surrogate"].endswith("@example.com") for r in got if r["kind"] == "mail")
