@@ -254,12 +254,6 @@ def test_main_text_of_other_layouts(spark):
     assert wrappers.main_text(df.filter("false")).count() == 0
 
 
-def test_wrapper_has_optional_and_repeated_groups():
-    one = wrappers.stream("<ul><li>a</li><li>b</li></ul><p>x</p>")
-    two = wrappers.stream("<ul><li>a</li></ul><p>x</p><div>more</div>")
-    assert wrappers.merge(one, two) == ["<ul", ["+", "<li #>"], ">ul", "<p #>", ["?", "<div #>"]]
-
-
 # ---- 7
 
 
