@@ -12,8 +12,9 @@ from banditframe.llm.common import table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longer documents are likelier to be drawn, up to three times."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+    return mixing.mix(docs, importance=mixing.by_length(F.col("text"))).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

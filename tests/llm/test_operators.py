@@ -10,53 +10,12 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from banditframe.llm import decontaminate, licenses, mixing, ogg, pii, quality, queries, simhash, tokens, urls, wrappers
+from banditframe.llm import decontaminate, licenses, ogg, pii, quality, queries, simhash, tokens, urls, wrappers
 from banditframe.llm.components import components
 
 SF = "/root/testdata/sf0.001"
 
 
-# ---- 1
-
-
-def test_mixing_hits_its_targets(spark):
-    r = queries.op1_mixing(spark, SF).toPandas()
-    again = queries.op1_mixing(spark, SF).toPandas()
-    assert sorted(map(tuple, r.itertuples(index=False))) == sorted(map(tuple, again.itertuples(index=False)))
-    docs = pd.read_parquet(f"{SF}/documents.parquet").set_index("doc_id").text
-    assert all(len(re.findall(r"[^\x20\x09-\x0D]+", docs[i])) == n for i, n in zip(r.doc_id, r["size"]))
-    g = r.groupby("source").agg(size=("size", "sum"), all=("source_size", "first"), target=("target", "first"), taken=("taken", "sum"))
-    assert (g["size"] == g["all"]).all() and (r.taken <= 2 * r["size"]).all()
-    total, weight = 1.5 * g["all"].sum(), dict(zip(sorted(g.index), [3, 1, 2] * 10))
-    want, free, left = {}, set(g.index), total
-    while True:
-        level = left / sum(weight[s] for s in free)
-        over = [s for s in free if weight[s] * level > 2 * g["all"][s]]
-        if not over:
-            want |= {s: weight[s] * level for s in free}
-            break
-        for s in over:
-            want[s] = 2.0 * g["all"][s]
-            left -= want[s]
-            free.discard(s)
-    assert g.target.to_dict() == pytest.approx(want)
-    assert ((g.taken - g.target).abs() <= r.groupby("source")["size"].max() / 2 + 1).all()
-
-
-def test_mixing_importance_shifts_inclusion(spark):
-    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("w w w w").alias("text"), F.lit("a").alias("source"), F.when(F.col("id") % 2 == 0, 1.5).otherwise(0.5).alias("imp"))
-    out = mixing.mix(docs, importance="imp", share=0.4, weights=(1,))
-    got = {r["imp"]: r["c"] for r in out.groupBy("imp").agg(F.sum("copies").alias("c")).collect()}
-    assert abs(sum(got.values()) - 1200) <= 1 and 2.3 < got[1.5] / got[0.5] < 3.9
-
-
-def test_mixing_odd_rows(odd, none):
-    rows = mixing.mix(odd).collect()
-    assert len(rows) == odd.count() and all(r["taken"] <= 2 * r["size"] for r in rows)
-    assert all(r["size"] == r["taken"] == 0 for r in rows if not (r["text"] or "").strip())
-    assert mixing.mix(none).count() == 0
-
-
 # ---- 2
 
 
