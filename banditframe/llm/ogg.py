@@ -4,8 +4,9 @@ A file has two logical streams. Stream 1 holds 8-bit unsigned mono samples (a he
 samples whose granule position is the number of samples so far); stream 2 holds one text packet naming the sample count.
 
 Cases: a null text is an empty text, whose payload is 64 zero bytes; a text of any length is stored whole, one row at a
-time; equal texts give equal bytes, as serial numbers depend on the stream only; null media are read as null; a damaged
-page, a gap in the page numbers or a cut-off packet raises an error in `parse`; an empty table gives an empty result.
+time; equal texts give equal bytes, as serial numbers depend on the stream only; null media are read as null, without an error; a
+damaged page, a gap in the page numbers or a cut-off packet raises an error in `parse`, and in `features` gives a row of nulls that
+says so in the column error; an empty table gives an empty result; columns of the same names as results are replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ SAMPLES, TEXT = 1, 2
 HEAD = "<4sBBqIIIB"
 _REVERSED = bytes(int(f"{x:08b}"[::-1], 2) for x in range(256))
 
-INFO = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+INFO = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
 
 
 def page_checksum(page: bytes) -> int:
@@ -79,11 +80,23 @@ def encode(data: bytes, rate: int = RATE) -> bytes:
     return b"".join([a[0], b[0], b[1], *a[1:]])  # the first pages of all streams come before any other
 
 
+def _ends(packets: list[bytes], granule: int, before: int, last: bool, frame: int) -> list[int]:
+    """Where each packet that ends in a page ends. The page's granule position is that of the last one; those before it end by
+    their samples earlier (or, in a stream's last page, which may be cut short, by theirs later than the page before)."""
+    ends, at = [], before if last else granule - sum(len(p) // frame for p in packets) if frame else granule
+    for p in packets:
+        at = min(at + (len(p) // frame if frame else 0), granule)
+        ends.append(at)
+    return [*ends[:-1], granule] if ends else []
+
+
 def parse(media: bytes) -> dict[int, list[tuple[bytes, int, float]]]:
-    """The packets of every logical stream by serial number: bytes, page granule position, seconds at the packet's end."""
+    """The packets of every logical stream by serial number: bytes, granule position and seconds at the packet's end."""
     streams: dict[int, dict] = {}
-    at = pages = 0
+    at = 0
     while at < len(media):
+        if len(media) < at + 27:
+            raise ValueError(f"cut off at byte {at}")
         magic, version, flags, granule, serial, number, crc, n = struct.unpack_from(HEAD, media, at)
         if magic != b"OggS" or version:
             raise ValueError(f"no Ogg page at byte {at}")
@@ -92,7 +105,7 @@ def parse(media: bytes) -> dict[int, list[tuple[bytes, int, float]]]:
         page = media[at:end]
         if len(page) != end - at or page_checksum(page[:22] + bytes(4) + page[26:]) != crc:
             raise ValueError(f"damaged Ogg page at byte {at}")
-        s = streams.setdefault(serial, {"next": 0, "part": None, "packets": []})
+        s = streams.setdefault(serial, {"next": 0, "part": None, "packets": [], "frame": 0, "rate": RATE, "end": 0})
         if number != s["next"] or bool(flags & 2) != (number == 0) or bool(flags & 1) != (s["part"] is not None):
             raise ValueError(f"Ogg page {number} of stream {serial} is out of order")
         s["next"] += 1
@@ -103,15 +116,15 @@ def parse(media: bytes) -> dict[int, list[tuple[bytes, int, float]]]:
             if x < 255:
                 done.append(s["part"])
                 s["part"] = None
-        s["packets"] += [(p, granule) for p in done]
-        at, pages = end, pages + 1
+        if done:
+            s["packets"] += zip(done, _ends(done, granule, s["end"], bool(flags & 4), s["frame"]))
+            s["end"] = granule
+        if number == 0 and done and done[0].startswith(b"PCM") and len(done[0]) >= 22:
+            s["rate"], s["frame"] = struct.unpack_from(">I", done[0], 16)[0] or RATE, done[0][21] or 1
+        at = end
     if any(s["part"] is not None for s in streams.values()):
         raise ValueError("a packet is cut off")
-    out = {}
-    for serial, s in streams.items():
-        rate = next((struct.unpack_from(">I", p[0], 16)[0] for p in s["packets"][:1] if p[0].startswith(b"PCM")), RATE)
-        out[serial] = [(p, g, g / rate) for p, g in s["packets"]]
-    return out
+    return {serial: [(p, g, g / s["rate"]) for p, g in s["packets"]] for serial, s in streams.items()}
 
 
 def describe(media: bytes) -> dict:
@@ -119,14 +132,16 @@ def describe(media: bytes) -> dict:
     import hashlib
 
     streams = parse(media)
+    if not {SAMPLES, TEXT} <= set(streams) or len(streams[SAMPLES]) < 2 or len(streams[TEXT]) < 2:
+        raise ValueError("a stream is missing")
     sound = streams[SAMPLES][1:]
     data = b"".join(p for p, _, _ in sound)
-    if dict(x.split(b"=") for x, _, _ in streams[TEXT][1:])[b"samples"] != str(len(data)).encode() or sound[-1][1] != len(data):
+    if dict(x.split(b"=") for x, _, _ in streams[TEXT][1:] if x.count(b"=") == 1).get(b"samples") != str(len(data)).encode() or sound[-1][1] != len(data):
         raise ValueError("samples are missing")
     x = np.frombuffer(data, np.uint8)
     total, square = int(x.sum(dtype=np.int64)), int(np.square(x, dtype=np.int64).sum())
     turns = int(np.count_nonzero(np.diff((x >= 128).view(np.int8))))
-    feature = f"streams={len(streams)};packets={len(sound)};seconds={sound[-1][2]:.6f};mean={total / len(x):.6f};rms={(square / len(x)) ** 0.5:.6f};crossings={turns};peak={int(x.max())}"
+    feature = f"streams={len(streams)};packets={len(sound)};first={sound[0][2]:.6f};seconds={sound[-1][2]:.6f};mean={total / len(x):.6f};rms={(square / len(x)) ** 0.5:.6f};crossings={turns};peak={int(x.max())}"
     return {"payload_bytes": len(data), "payload_sha256": hashlib.sha256(data).hexdigest(), "tail_crc32": zlib.crc32(data[-BLOCK:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": feature}
 
 
@@ -137,8 +152,15 @@ def _to_ogg(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def _info(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     names = [x.split()[0] for x in INFO.split(", ")]
+
+    def one(m: bytes | None) -> dict:
+        try:
+            return dict.fromkeys(names) | (describe(m) if m is not None else {})
+        except ValueError as e:
+            return dict.fromkeys(names) | {"error": str(e)}
+
     for s in batches:
-        yield pd.DataFrame([describe(m) if m is not None else dict.fromkeys(names) for m in s], columns=names)
+        yield pd.DataFrame([one(m) for m in s], columns=names).astype({n: "Int64" for n in ("payload_bytes", "tail_crc32", "media_bytes")})
 
 
 def media(docs: DataFrame, text_col: str = "text", out: str = "media") -> DataFrame:

@@ -92,7 +92,7 @@ def test_query_draws_as_the_plain_version(spark, name):
     assert dict(zip(got.doc_id, got.copies)) == dict(zip(docs.doc_id, plain_mix(rows)))
     assert dict(zip(got.doc_id, got["size"])) == {i: words(t) for i, t, _, _ in rows}
     g = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"), size=("size", "sum"), all=("source_size", "first"))
-    assert (g["size"] == g["all"]).all() and ((g.taken - g.target).abs() <= 0.01 * g.target + 5).all()
+    assert (g["size"] == g["all"]).all() and ((g.taken - g.target).abs() <= got.groupby("source")["size"].max() / 2 + 1).all()
     again = queries.op1_mixing(spark, f"/root/testdata/{name}").toPandas()
     assert sorted(map(tuple, got.itertuples(index=False))) == sorted(map(tuple, again.itertuples(index=False)))
 

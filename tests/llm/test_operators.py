@@ -253,18 +253,36 @@ def test_ogg(spark, odd, none):
         streams = ogg.parse(ogg.encode(data))
         sound = streams[ogg.SAMPLES][1:]
         assert b"".join(p for p, _, _ in sound) == data and sound[-1][1:] == (len(data), len(data) / ogg.RATE)
-    media = bytearray(ogg.encode(b"abc" * 100))
-    media[-1] ^= 1
-    with pytest.raises(ValueError, match="damaged"):
-        ogg.parse(bytes(media))
+        assert [end for _, end, _ in sound] == [min(k + ogg.PACKET, len(data)) for k in range(0, len(data), ogg.PACKET)]
+        assert [t for _, _, t in sound] == [end / ogg.RATE for _, end, _ in sound]
     rows = ogg.features(ogg.media(odd)).collect()
     for r in rows:
         pay = ogg.payload(r["text"])
         assert (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-64:]))
         assert r["media_sha256"] == hashlib.sha256(ogg.encode(pay)).hexdigest()
+        assert r["error"] is None and r["feature"]
     assert ogg.features(ogg.media(none)).count() == 0
 
 
+def test_damaged_media_are_rows(spark):
+    good = ogg.encode(ogg.payload("abc" * 100))
+    flipped = bytearray(good)
+    flipped[-1] ^= 1
+    with pytest.raises(ValueError, match="damaged"):
+        ogg.parse(bytes(flipped))
+    second = ogg._pages([(b"Text    ", 0), (b"samples=1", 1)], ogg.TEXT)
+    files = {"good": good, "flipped": bytes(flipped), "short": good[:-3], "head": good[:20], "none": None, "empty": b"", "noise": b"x" * 200, "twice": good + good, "text": b"".join(second), "skip": b"".join(p for k, p in enumerate(second) if k)}
+    df = spark.createDataFrame([(k, None if v is None else bytearray(v)) for k, v in files.items()], "name string, media binary")
+    got = {r["name"]: r for r in ogg.features(df).collect()}
+    assert {k for k, r in got.items() if r["error"] is None} == {"good", "none"} and {k for k, r in got.items() if r["payload_bytes"] is not None} == {"good"}
+
+
+def test_granules_of_a_page_that_is_cut_short():
+    head = b"PCM     " + bytes(8) + (8000).to_bytes(4, "big") + bytes([0, 1])
+    pages = ogg._pages([(head, 0), (b"a" * 100, 100), (b"b" * 100, 200), (b"c" * 100, 250)], 9)
+    assert [g for _, g, _ in ogg.parse(b"".join(pages))[9]] == [0, 100, 200, 250]
+
+
 # ---- 9
 
 
