@@ -298,6 +298,44 @@ def test_url_lists(spark):
     assert urls.listed(c.filter("false"), e).count() == 0 and not any(r["listed"] for r in urls.listed(c, e.filter("false")).collect())
 
 
+def plain_listed(captures, entries):
+    """captures (id, url, time) -> the pattern that decides, by looking at every entry for every capture."""
+    by = {}
+    for pattern, category, action, at in entries:
+        if None not in (pattern, action, at):
+            key = (pattern.lower(), at)
+            by[key] = max(by.get(key, ("", "")), (action, category))
+    out = []
+    for _, url, at in captures:
+        m = re.match(r"\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:\s]*)[^/?#]*/?([^?#]*)", (url or "").lower())
+        host, segs = (m[1], [s for s in m[2].split("/") if s]) if m else ("", [])
+        best = None
+        for p in {p for p, _ in by}:
+            h, *head = p.split("/")
+            covers = host and (host == h or host.endswith("." + h) and "." in h) and segs[: len(head)] == head
+            times = sorted(t for q, t in by if q == p and at is not None and t <= at)
+            if covers and times and by[p, times[-1]][0] == "add":
+                best = max(best or (0, ""), (len(p), p))
+        out.append(best[1] if best else None)
+    return out
+
+
+def test_url_lists_against_all_entries(spark):
+    rng = np.random.default_rng(11)
+    hosts = ["a.com", "b.a.com", "x.org", "c.b.a.com", "A.com"]
+    time = lambda: f"{rng.integers(2019, 2024)}-{rng.integers(1, 13):02d}-{rng.integers(1, 28):02d} 00:00:00"
+    entries = [(str(rng.choice(hosts)) + str(rng.choice(["", "", "/p", "/p/q", "/P"])), str(rng.choice(["k", "l"])), str(rng.choice(["add", "remove"])), time()) for _ in range(160)]
+    entries += [("Bad.com", "k", "add", "2020-01-01 00:00:00"), ("bad.com", "l", "remove", "2020-01-01 00:00:00"), ("bad.com", "k", "add", "2021-01-01 00:00:00")]
+    long = "/".join(["seg"] * 30_000)
+    caps = [(k, f"http://{rng.choice([*hosts, 'z.net', 'bad.com', 'c.d.bad.com'])}/{rng.choice(['', 'p', 'p/q/r', 'P/q', 'n'])}", time()) for k in range(300)]
+    caps += [(900, f"http://a.com/p/{long}", "2022-05-05 00:00:00"), (901, "http://bad.com/", "9999-01-01 00:00:00"), (902, "http://bad.com/", "2020-06-01 00:00:00"), *caps[:3]]
+    e = spark.createDataFrame(entries, "pattern string, category string, action string, at string").withColumn("at", F.col("at").cast("timestamp"))
+    c = spark.createDataFrame(caps, "page_id long, url string, fetched string").withColumn("fetched", F.col("fetched").cast("timestamp"))
+    got = urls.listed(c, e).select("page_id", "pattern").collect()
+    want = plain_listed(caps, entries)
+    assert sorted((r["page_id"], r["pattern"] or "") for r in got) == sorted((x[0], p or "") for x, p in zip(caps, want)) and sum(map(bool, want)) > 50
+
+
 # ---- 10
 
 
