@@ -1,24 +1,31 @@
 """Quality of documents by hierarchical empirical Bayes.
 
-A logistic model on counts of the text gives each document's evidence p. Hosts, and paths below them, get Beta posteriors of
-their share of good documents: a host is shrunk toward the whole table's share, a path toward its host's, the more so the
-fewer documents it has; the strengths come from the spread between hosts and between paths. A document's posterior odds are
-its own odds times those of its path without it, relative to the whole table's.
+A logistic model on counts of the text and on hashed n-grams of word shapes gives each document's evidence p. Hosts, and paths
+below them, get Beta posteriors of their share of good documents: a host is shrunk toward the whole table's share, a path toward
+its host's, the more so the fewer documents it has; the strengths come from the spread between hosts and between paths. A
+document's posterior odds are its own odds times those of its path, relative to the whole table's, where path, host and table are
+taken without the document itself (the strengths alone come from all).
 
 Cases: a null or blank text has evidence 0; a null host or path is a site of its own; labels that are null, or of no
 document, are left out, and of several labels of a document the mean counts; without labels of both kinds the evidence of
-every text with words is the labels' share (1 if there are none); an empty table gives an empty result; columns of the same
-names as results are replaced.
+every text with words is the labels' share (1 if there are none); a document alone in its table has the prior share 1/2; an empty
+table gives an empty result; columns of the same names as results are replaced.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from math import exp
 from operator import eq
+from zlib import crc32
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,69 +33,141 @@ from banditframe.llm.common import cut
 
 FEATURES = ["symbols", "upper", "repeats", "bars", "distinct", "digits", "length"]
 RESULTS = ["evidence", "host_posterior", "path_posterior", "posterior", "keep"]
+#: Shape n-grams are hashed to so many features.
+BUCKETS = 1 << 11
+RUN = re.compile(r"(.)\1+", re.S)
 
 
-def describe(text: str | None) -> tuple:
-    import re
+class _Classes(dict):
+    """Characters by class, for str.translate: A capitals, a other letters, 9 digits, others as they are."""
 
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        out = self[code] = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
+        return out
+
+
+class _Shapes(dict):
+    """The shape of a word: its classes of characters, runs made one. Emptied when it has many words; long words are not kept."""
+
+    classes = _Classes()
+
+    def __missing__(self, word: str) -> str:
+        shape = RUN.sub(r"\1", word.translate(self.classes))
+        if len(word) <= 64:
+            if len(self) >= 200_000:
+                self.clear()
+            self[word] = shape
+        return shape
+
+
+def describe(text: str | None, shapes: dict | None = None) -> tuple[int, list[float], Counter]:
+    """Number of words, FEATURES, and the shape n-grams (n of 1 and 2) with their counts."""
     words = (text or "").split()
     n = len(words)
     if not n:
-        return (0, *[0.0] * len(FEATURES))
+        return 0, [0.0] * len(FEATURES), Counter()
+    shapes = _Shapes() if shapes is None else shapes
     symbols = len(re.findall(r"[^\w\s.,;:'\"()-]{2,}", text))
     upper = sum(map(str.isupper, words))
     repeats = sum(map(eq, words, words[1:]))
     digits = len(re.findall(r"\d", text))
     # the share of distinct words falls with length in any text; the exponent takes that out
-    return n, symbols / n, upper / n, repeats / n, words.count("|") / n, len(set(words)) / n**0.9, digits / len(text), sum(map(len, words)) / n / 10
+    counts = [symbols / n, upper / n, repeats / n, words.count("|") / n, len(set(words)) / n**0.9, digits / len(text), sum(map(len, words)) / n / 10]
+    seen = list(map(shapes.__getitem__, words))
+    grams = Counter(seen)
+    grams.update(zip(seen, seen[1:]))
+    return n, counts, grams
+
+
+def bucket(gram: str | tuple[str, str]) -> int:
+    return crc32((gram if isinstance(gram, str) else "\x1f".join(gram)).encode("utf-8", "replace")) % BUCKETS
+
+
+def vector(text: str | None) -> SparseVector:
+    """FEATURES and the shares of the hashed n-grams."""
+    n, counts, grams = describe(text)
+    cells: dict[int, float] = dict(enumerate(counts))
+    for g, c in grams.items():
+        k = len(FEATURES) + bucket(g)
+        cells[k] = cells.get(k, 0.0) + c / n
+    return SparseVector(len(FEATURES) + BUCKETS, {k: v for k, v in cells.items() if v})
+
+
+@dataclass(frozen=True)
+class Model:
+    """A logistic model; without weights, the same share for every text."""
+
+    intercept: float
+    weights: np.ndarray | None = None
+
+    def scores(self, texts: pd.Series, shapes: dict, known: dict) -> pd.DataFrame:
+        """n_words and evidence of each text. known holds the weights of n-grams met before."""
+        out = []
+        for t in texts:
+            n, counts, grams = describe(t, shapes)
+            if not n or self.weights is None:
+                out.append((n, self.intercept if n else 0.0))
+                continue
+            if len(known) > 200_000:
+                known.clear()
+            total = 0.0
+            for g, c in grams.items():
+                if (w := known.get(g)) is None:
+                    w = known[g] = float(self.weights[len(FEATURES) + bucket(g)])
+                total += w * c
+            z = self.intercept + float(np.dot(self.weights[: len(FEATURES)], counts)) + total / n
+            out.append((n, 1 / (1 + exp(-max(min(z, 700.0), -700.0)))))
+        return pd.DataFrame(out, columns=["n_words", "evidence"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str = "text", most_labels: int = 50_000) -> Model:
+    """The model, fitted on at most about most_labels labelled rows."""
+    known = labels.filter(f"{id_col} is not null and quality is not null").groupBy(id_col).agg((F.avg("quality") >= 0.5).cast("double").alias("label"))
+    n = known.count()
+    part = F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < int((1 << 20) * min(1.0, most_labels / max(n, 1)))
+    rows = docs.select(id_col, F.col(text_col).alias("__t")).filter(F.rlike("__t", F.lit(r"\S"))).join(known.filter(part), id_col)
+    train = cut(rows.select("label", F.udf(vector, VectorUDT(), useArrow=False)("__t").alias("x")))
+    share, kinds = train.agg(F.avg("label"), F.countDistinct("label")).first()
+    if kinds < 2:
+        return Model(1.0 if share is None else float(share))
+    model = LogisticRegression(featuresCol="x", labelCol="label", regParam=1e-2, maxIter=100).fit(train)
+    return Model(float(model.intercept), model.coefficients.toArray())
 
 
-def featurize(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with n_words and FEATURES in a struct column __f."""
+def with_evidence(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs with n_words and evidence in a struct column __f."""
 
-    @F.pandas_udf("n_words long, " + ", ".join(f"{x} double" for x in FEATURES))
+    @F.pandas_udf("n_words long, evidence double")
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        shapes, known = _Shapes(), {}
         for s in batches:
-            yield pd.DataFrame([describe(t) for t in s], columns=["n_words", *FEATURES])
+            yield model.scores(s, shapes, known)
 
     return docs.withColumn("__f", udf(F.col(text_col)))
 
 
-def evidence(rows: DataFrame, labels: DataFrame, id_col: str, most_labels: int = 50_000) -> Column:
-    """The model, fitted on at most about most_labels labelled rows, as an expression over __f."""
-    known = labels.filter(f"{id_col} is not null and quality is not null").groupBy(id_col).agg((F.avg("quality") >= 0.5).cast("double").alias("label"))
-    n = known.count()
-    part = F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < int((1 << 20) * min(1.0, most_labels / max(n, 1)))
-    train = cut(rows.filter("__f.n_words > 0").join(known.filter(part), id_col).select("label", "__f.*"))
-    share, kinds = train.agg(F.avg("label"), F.countDistinct("label")).first()
-    if kinds < 2:
-        return F.when(F.col("__f.n_words") > 0, F.lit(1.0 if share is None else float(share))).otherwise(0.0)
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(train)
-    model = LogisticRegression(featuresCol="x", labelCol="label", regParam=1e-3, maxIter=60).fit(vectors)
-    z = F.lit(float(model.intercept))
-    for name, w in zip(FEATURES, model.coefficients):
-        z = z + F.col(f"__f.{name}") * F.lit(float(w))
-    return F.when(F.col("__f.n_words") > 0, 1 / (1 + F.exp(-z))).otherwise(0.0)
-
-
 def _strength(mean: Column, spread: Column) -> Column:
     """The prior's weight in documents, for means of this spread; between 1 and 10,000."""
     return F.least(F.greatest(F.coalesce(F.try_divide(mean * (1 - mean), spread) - 1, F.lit(1e4)), F.lit(1.0)), F.lit(1e4))
 
 
 def sites(rows: DataFrame, host: str, path: str) -> DataFrame:
-    """(host, path, whole share, host and path posteriors, and the path's sums) of rows (host, path, p)."""
+    """One row for each host and path of rows (host, path, p): number and sum of p of the path (__n, __s), its host (__hn, __hs) and
+    the table (__tn, __ts), the strengths (__k0, __k1), and the posteriors of host and path."""
     paths = cut(rows.groupBy(host, path).agg(F.count("*").alias("n"), F.sum("p").alias("s")))
-    total = paths.agg((F.sum("s") / F.sum("n")).alias("mean"), F.sum("n").alias("n")).first()
+    total = paths.agg((F.sum("s") / F.sum("n")).alias("mean"), F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     mean = min(max(float(total["mean"] if total["mean"] is not None else 0.5), 1e-6), 1 - 1e-6)
     hosts = paths.groupBy(host).agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
     inside = lambda n, m: F.greatest(n * F.pow(m - mean, 2) - mean * (1 - mean), F.lit(0.0))  # noqa: E731  what sampling alone doesn't explain
     k0 = hosts.agg(_strength(F.lit(mean), F.sum(inside(F.col("hn"), F.col("hs") / F.col("hn"))) / F.sum("hn"))).first()[0]
-    hosts = hosts.select(F.col(host).alias("__of"), ((k0 * mean + F.col("hs")) / (k0 + F.col("hn"))).alias("host_posterior"))
+    hosts = hosts.select(F.col(host).alias("__of"), "hn", "hs", ((k0 * mean + F.col("hs")) / (k0 + F.col("hn"))).alias("host_posterior"))
     both = cut(paths.join(hosts, paths[host].eqNullSafe(hosts["__of"])).drop("__of"))
     off = F.greatest(F.col("n") * F.pow(F.col("s") / F.col("n") - F.col("host_posterior"), 2) - F.col("host_posterior") * (1 - F.col("host_posterior")), F.lit(0.0))
     k1 = both.agg(_strength(F.lit(mean), F.sum(off) / F.sum("n"))).first()[0]
-    return cut(both.select(F.col(host).alias("__h"), F.col(path).alias("__d"), F.col("n").alias("__n"), F.col("s").alias("__s"), F.lit(mean).alias("__global"), F.lit(k1).alias("__k"), "host_posterior", ((k1 * F.col("host_posterior") + F.col("s")) / (k1 + F.col("n"))).alias("path_posterior")))
+    fixed = {"__tn": F.lit(total["n"] or 0), "__ts": F.lit(float(total["s"] or 0.0)), "__k0": F.lit(k0), "__k1": F.lit(k1)}
+    own = {"__h": host, "__d": path, "__n": "n", "__s": "s", "__hn": "hn", "__hs": "hs"}
+    return cut(both.select(*[F.col(c).alias(n) for n, c in own.items()], *[c.alias(n) for n, c in fixed.items()], "host_posterior", ((k1 * F.col("host_posterior") + F.col("s")) / (k1 + F.col("n"))).alias("path_posterior")))
 
 
 def _logit(p: Column) -> Column:
@@ -97,16 +176,20 @@ def _logit(p: Column) -> Column:
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: str = "source", path: str = "lang", threshold: float = 0.5, most_labels: int = 50_000, keep_text: bool = True) -> DataFrame:
-    """docs (without the text, if not keep_text) with RESULTS. docs are read twice, never shuffled."""
+    """docs (without the text, if not keep_text) with RESULTS. Texts are read twice, and shuffled only if the sites outgrow what Spark
+    broadcasts."""
     docs = docs.drop(*RESULTS)
-    marked = featurize(docs, text_col)
+    marked = with_evidence(docs, fit(docs, labels, id_col, text_col, most_labels), text_col)
     small = cut(marked.select(id_col, F.col(host).alias("__host"), F.col(path).alias("__path"), "__f"))
-    p = evidence(small, labels, id_col, most_labels)
-    known = sites(small.select("__host", "__path", p.alias("p")), "__host", "__path")
-    rows = (marked if keep_text else small.select(F.col(id_col), F.col("__host").alias(host), F.col("__path").alias(path), "__f")).withColumn("evidence", p)
+    known = sites(small.select("__host", "__path", F.col("__f.evidence").alias("p")), "__host", "__path")
+    rows = marked if keep_text else small.select(F.col(id_col), F.col("__host").alias(host), F.col("__path").alias(path), "__f")
     rows = rows.join(known, rows[host].eqNullSafe(known["__h"]) & rows[path].eqNullSafe(known["__d"]))
-    others = (F.col("__k") * F.col("host_posterior") + F.col("__s") - F.col("evidence")) / (F.col("__k") + F.col("__n") - 1)
-    z = _logit(F.col("evidence")) + _logit(others) - _logit(F.col("__global"))
+    e = F.col("__f.evidence")
+    # everything without the document itself
+    mean = F.least(F.greatest(F.coalesce(F.try_divide(F.col("__ts") - e, F.col("__tn") - 1), F.lit(0.5)), F.lit(1e-6)), F.lit(1 - 1e-6))
+    above = (F.col("__k0") * mean + F.col("__hs") - e) / (F.col("__k0") + F.col("__hn") - 1)
+    others = (F.col("__k1") * above + F.col("__s") - e) / (F.col("__k1") + F.col("__n") - 1)
+    z = _logit(e) + _logit(others) - _logit(mean)
     rows = rows.withColumn("posterior", F.when(F.col("__f.n_words") > 0, 1 / (1 + F.exp(-z))).otherwise(0.0))
     rest = [c for c in docs.columns if keep_text or c in (id_col, host, path)]
-    return rows.select(*rest, "evidence", "host_posterior", "path_posterior", "posterior", (F.col("posterior") >= threshold).alias("keep"))
+    return rows.select(*rest, e.alias("evidence"), "host_posterior", "path_posterior", "posterior", (F.col("posterior") >= threshold).alias("keep"))

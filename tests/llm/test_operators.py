@@ -339,17 +339,54 @@ def test_url_lists_against_all_entries(spark):
 # ---- 10
 
 
+def test_quality_of_documents_without_labels(spark):
+    """Held out: the model sees four of five labels."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    r = quality.judge(docs, labels.filter("doc_id % 5 > 0"), keep_text=False)
+    both = r.join(labels.filter("doc_id % 5 = 0"), "doc_id").toPandas()
+    assert len(both) > 500 and (both.keep.astype(int) == both.quality).mean() > 0.985
+
+
 def test_quality(spark, odd, none):
     r = queries.op10_quality(spark, "/root/testdata/sf0.01").toPandas()
-    labels = pd.read_parquet("/root/testdata/sf0.01/labels.parquet")
-    both = r.merge(labels, on="doc_id")
-    assert ((both.keep.astype(int) == both.quality).mean()) > 0.98 and len(r) == 1000
+    assert len(r) == 1000
     lab = spark.createDataFrame([(1, 1), (2, 1), (8, 0), (None, 1), (6, None), (99, 1)], "doc_id long, quality int")
     rows = quality.judge(odd, lab).collect()
     assert len(rows) == odd.count() and not any(r["keep"] for r in rows if not (r["text"] or "").strip())
     assert quality.judge(none, lab).count() == 0 and quality.judge(odd, lab.filter("false")).filter("keep").count() == 8
 
 
+def test_posteriors_leave_the_document_out(spark):
+    r = queries.op10_quality(spark, SF).toPandas()
+    logit = lambda p: np.log(np.clip(p, 1e-9, 1 - 1e-9) / (1 - np.clip(p, 1e-9, 1 - 1e-9)))
+    p, m = r.evidence, r.evidence.mean()
+    strength = lambda spread: min(max(m * (1 - m) / spread - 1 if spread else 1e4, 1.0), 1e4)
+    h = r.groupby("source").evidence.agg(["size", "sum"])
+    k0 = strength((np.maximum(h["size"] * (h["sum"] / h["size"] - m) ** 2 - m * (1 - m), 0)).sum() / len(r))
+    post = (k0 * m + h["sum"]) / (k0 + h["size"])
+    d = r.groupby(["source", "lang"]).evidence.agg(["size", "sum"])
+    b = post.reindex(d.index.get_level_values(0)).to_numpy()
+    k1 = strength((np.maximum(d["size"] * (d["sum"] / d["size"] - b) ** 2 - b * (1 - b), 0)).sum() / len(r))
+    assert r.host_posterior.to_numpy() == pytest.approx(post.reindex(r.source).to_numpy())
+    for i in range(0, len(r), 7):
+        rest = r.drop(index=i)
+        mean = rest.evidence.mean()
+        host = rest[rest.source == r.source[i]].evidence
+        path = rest[(rest.source == r.source[i]) & (rest.lang == r.lang[i])].evidence
+        above = (k0 * mean + host.sum()) / (k0 + len(host))
+        others = (k1 * above + path.sum()) / (k1 + len(path))
+        z = logit(p[i]) + logit(others) - logit(mean)
+        assert r.posterior[i] == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-6, abs=1e-9)
+
+
+def test_evidence_is_the_models(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels, "doc_id")
+    for r in quality.with_evidence(docs, model).limit(40).collect():
+        x = quality.vector(r["text"]).toArray()
+        assert r["__f"]["evidence"] == pytest.approx(1 / (1 + np.exp(-(model.intercept + x @ model.weights))), rel=1e-6, abs=1e-9)
+
+
 def test_sparse_sites_shrink(spark):
     rows = spark.createDataFrame([("big", "p", 0.9)] * 400 + [("bad", "p", 0.1)] * 400 + [("one", "p", 0.1)], "h string, d string, p double")
     got = {r["__h"]: r for r in quality.sites(rows, "h", "d").collect()}
