@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import exp
 from operator import eq
@@ -61,12 +61,12 @@ class _Shapes(dict):
         return shape
 
 
-def describe(text: str | None, shapes: dict | None = None) -> tuple[int, list[float], Counter]:
-    """Number of words, FEATURES, and the shape n-grams (n of 1 and 2) with their counts."""
+def describe(text: str | None, shapes: dict | None = None) -> tuple[int, list[float], list[str]]:
+    """Number of words, FEATURES, and the words' shapes."""
     words = (text or "").split()
     n = len(words)
     if not n:
-        return 0, [0.0] * len(FEATURES), Counter()
+        return 0, [0.0] * len(FEATURES), []
     shapes = _Shapes() if shapes is None else shapes
     symbols = len(re.findall(r"[^\w\s.,;:'\"()-]{2,}", text))
     upper = sum(map(str.isupper, words))
@@ -74,10 +74,7 @@ def describe(text: str | None, shapes: dict | None = None) -> tuple[int, list[fl
     digits = len(re.findall(r"\d", text))
     # the share of distinct words falls with length in any text; the exponent takes that out
     counts = [symbols / n, upper / n, repeats / n, words.count("|") / n, len(set(words)) / n**0.9, digits / len(text), sum(map(len, words)) / n / 10]
-    seen = list(map(shapes.__getitem__, words))
-    grams = Counter(seen)
-    grams.update(zip(seen, seen[1:]))
-    return n, counts, grams
+    return n, counts, list(map(shapes.__getitem__, words))
 
 
 def bucket(gram: str | tuple[str, str]) -> int:
@@ -85,15 +82,29 @@ def bucket(gram: str | tuple[str, str]) -> int:
 
 
 def vector(text: str | None) -> SparseVector:
-    """FEATURES and the shares of the hashed n-grams."""
-    n, counts, grams = describe(text)
+    """FEATURES and the shares of the hashed shape n-grams (n of 1 and 2)."""
+    n, counts, seen = describe(text)
     cells: dict[int, float] = dict(enumerate(counts))
-    for g, c in grams.items():
+    for g, c in Counter([*seen, *zip(seen, seen[1:])]).items():
         k = len(FEATURES) + bucket(g)
         cells[k] = cells.get(k, 0.0) + c / n
     return SparseVector(len(FEATURES) + BUCKETS, {k: v for k, v in cells.items() if v})
 
 
+class _Weights(dict):
+    """The weights of n-grams, kept by n-gram; emptied when there are many."""
+
+    def __init__(self, weights: np.ndarray) -> None:
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, gram: str | tuple[str, str]) -> float:
+        if len(self) >= 200_000:
+            self.clear()
+        out = self[gram] = float(self.weights[len(FEATURES) + bucket(gram)])
+        return out
+
+
 @dataclass(frozen=True)
 class Model:
     """A logistic model; without weights, the same share for every text."""
@@ -101,32 +112,28 @@ class Model:
     intercept: float
     weights: np.ndarray | None = None
 
-    def scores(self, texts: pd.Series, shapes: dict, known: dict) -> pd.DataFrame:
-        """n_words and evidence of each text. known holds the weights of n-grams met before."""
-        out = []
-        for t in texts:
-            n, counts, grams = describe(t, shapes)
-            if not n or self.weights is None:
-                out.append((n, self.intercept if n else 0.0))
-                continue
-            if len(known) > 200_000:
-                known.clear()
-            total = 0.0
-            for g, c in grams.items():
-                if (w := known.get(g)) is None:
-                    w = known[g] = float(self.weights[len(FEATURES) + bucket(g)])
-                total += w * c
+    def scorer(self) -> Callable[[pd.Series], pd.DataFrame]:
+        """n_words and evidence of texts."""
+        shapes, grams = _Shapes(), None if self.weights is None else _Weights(self.weights)
+
+        def one(text: str | None) -> tuple[int, float]:
+            n, counts, seen = describe(text, shapes)
+            if not n or grams is None:
+                return n, self.intercept if n else 0.0
+            total = sum(map(grams.__getitem__, seen)) + sum(map(grams.__getitem__, zip(seen, seen[1:])))
             z = self.intercept + float(np.dot(self.weights[: len(FEATURES)], counts)) + total / n
-            out.append((n, 1 / (1 + exp(-max(min(z, 700.0), -700.0)))))
-        return pd.DataFrame(out, columns=["n_words", "evidence"])
+            return n, 1 / (1 + exp(-max(min(z, 700.0), -700.0)))
+
+        return lambda texts: pd.DataFrame([one(t) for t in texts], columns=["n_words", "evidence"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str = "text", most_labels: int = 50_000) -> Model:
-    """The model, fitted on at most about most_labels labelled rows."""
+    """The model, fitted on at most about most_labels labelled rows. That many ids are what is broadcast, so that no text is moved
+    that is not sampled."""
     known = labels.filter(f"{id_col} is not null and quality is not null").groupBy(id_col).agg((F.avg("quality") >= 0.5).cast("double").alias("label"))
     n = known.count()
     part = F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < int((1 << 20) * min(1.0, most_labels / max(n, 1)))
-    rows = docs.select(id_col, F.col(text_col).alias("__t")).filter(F.rlike("__t", F.lit(r"\S"))).join(known.filter(part), id_col)
+    rows = docs.select(id_col, F.col(text_col).alias("__t")).filter(F.rlike("__t", F.lit(r"\S"))).join(F.broadcast(known.filter(part)), id_col)
     train = cut(rows.select("label", F.udf(vector, VectorUDT(), useArrow=False)("__t").alias("x")))
     share, kinds = train.agg(F.avg("label"), F.countDistinct("label")).first()
     if kinds < 2:
@@ -140,9 +147,9 @@ def with_evidence(docs: DataFrame, model: Model, text_col: str = "text") -> Data
 
     @F.pandas_udf("n_words long, evidence double")
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        shapes, known = _Shapes(), {}
+        score = model.scorer()
         for s in batches:
-            yield model.scores(s, shapes, known)
+            yield score(s)
 
     return docs.withColumn("__f", udf(F.col(text_col)))
 
