@@ -1,7 +1,9 @@
-"""Near-duplicate classes by the Jaccard similarity of word shingles: candidates by MinHash bands, then exact set sizes.
+"""Near-duplicate classes by the Jaccard similarity of word shingles: candidates by fingerprints and minima, then exact set sizes.
 
-Bands of 5 of 160 minima find a pair of similarity 0.8 but for 1 in 300,000, and closer ones more surely; each candidate's
-sets are compared before it becomes a link. A band's members are compared with one of them first; after that only members
+SimHash fingerprints of the shingle sets meet in the binary trie join of `simhash`, which finds the closest pairs. A pair of
+similarity 0.8 differs in about 10 of 64 bits, and no trie prunes at a budget that would reach it, so MinHash bands find the rest:
+those of 5 of 160 minima find a pair of similarity 0.8 but for 1 in 300,000, and closer ones more surely. Each candidate's sets
+are compared before it becomes a link. A band's members are compared with one of them first; after that only members
 that are not yet of one class are compared with each other, so a large class of near copies costs no square of its size.
 
 Cases: a null or blank text has the empty set, equal to any other; a text of fewer words than a shingle is one shingle;
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from banditframe.llm.common import cut
 from banditframe.llm.components import components
-from banditframe.llm.simhash import LOWER
+from banditframe.llm.simhash import LOWER, links
 
 BANDS, ROWS = 32, 5
 _DRAWN = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64)
@@ -50,6 +52,14 @@ def leaf(hashes: np.ndarray) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """Signed 64-bit SimHash of a set: a bit is set if it is in over half of the hashes."""
+    votes = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 65536):  # bounded memory for a text of any length
+        votes += np.unpackbits(hashes[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * votes > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def bands(hashes: np.ndarray) -> np.ndarray:
     """One signed hash for each band of minima; none for the empty set."""
     from xxhash import xxh64_intdigest
@@ -71,14 +81,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return cut(both.withColumn("c", common).filter(F.col("c") / (F.size("ha") + F.size("hb") - F.col("c")) >= similarity).select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, budget: int = 3) -> DataFrame:
     """(id, component_id: the smallest id reachable over pairs of at least this Jaccard similarity)."""
 
-    @F.pandas_udf("struct<leaf:long,size:int,bands:array<long>>")
+    @F.pandas_udf("struct<leaf:long,size:int,fp:long,bands:array<long>>")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
             sets = [shingles(t, width) for t in s]
-            yield pd.DataFrame({"leaf": [leaf(x) for x in sets], "size": [len(x) for x in sets], "bands": [bands(x) for x in sets]})
+            yield pd.DataFrame({"leaf": [leaf(x) for x in sets], "size": [len(x) for x in sets], "fp": [fingerprint(x) for x in sets], "bands": [bands(x) for x in sets]})
 
     @F.pandas_udf("struct<leaf:long,hashes:array<long>>")
     def whole(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -87,27 +97,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pd.DataFrame({"leaf": [leaf(x) for x in sets], "hashes": [x.view(np.int64) for x in sets]})
 
     marked = cut(docs.select(id_col, sketch(text_col).alias("s")).select(id_col, "s.*"))
-    leaves = cut(marked.groupBy("leaf").agg(F.min(id_col).alias("least"), F.max("size").alias("size"), F.any_value("bands").alias("bands")))
+    leaves = cut(marked.groupBy("leaf").agg(F.min(id_col).alias("least"), F.max("size").alias("size"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")))
+
+    # leaves of one fingerprint, with one of them, and these of fingerprints that the trie links
+    filled = leaves.filter("size > 0").select("leaf", "fp")
+    centres = cut(filled.groupBy("fp").agg(F.min("leaf").alias("centre")))
+    same = filled.join(centres, "fp").filter("leaf <> centre").select(F.col("centre").alias("a"), F.col("leaf").alias("b"))
+    of = lambda k: centres.select(F.col("fp").alias(f"f{k}"), F.col("centre").alias(k))
+    near = links(centres.select("fp"), budget).select(F.col("a").alias("fa"), F.col("b").alias("fb")).join(of("a"), "fa").join(of("b"), "fb").select("a", "b")
+
     spread = leaves.select("leaf", "size", F.explode("bands").alias("band"))
     shared = spread.groupBy("band").agg(F.min("leaf").alias("centre"), F.count("*").alias("n")).filter("n > 1").drop("n")
     members = cut(spread.join(shared, "band"))
+    stars = cut(members.filter("leaf <> centre").select(F.col("centre").alias("a"), F.col("leaf").alias("b")).union(same).union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     # equal ids of other rows come along; their leaves are not looked up
-    ids = cut(leaves.join(members.select("leaf").distinct(), "leaf", "left_semi").select(F.col("least").alias("__least")))
+    used = stars.select(F.explode(F.array("a", "b")).alias("leaf")).union(members.select("leaf")).distinct()
+    ids = cut(leaves.join(used, "leaf", "left_semi").select(F.col("least").alias("__least")))
     sets = docs.join(ids, docs[id_col].eqNullSafe(ids["__least"]), "left_semi").select(whole(text_col).alias("s")).select("s.*")
     sets = cut(sets.dropDuplicates(["leaf"]))
 
     size_of = lambda a, b: F.least(a, b) >= F.greatest(a, b) * F.lit(similarity)
-    stars = cut(members.filter("leaf <> centre").select(F.col("centre").alias("a"), F.col("leaf").alias("b")).distinct())
-    links = _verified(stars, sets, similarity)
-    roots = components(links)
+    found = _verified(stars, sets, similarity)
+    roots = components(found)
     rooted = cut(members.join(roots, members["leaf"] == roots["node"], "left").select("band", "leaf", "size", F.coalesce("root", "leaf").alias("root")))
     open_ = rooted.groupBy("band").agg((F.min("root") != F.max("root")).alias("open")).filter("open").select("band")
     apart = cut(rooted.join(open_, "band", "left_semi"))
     x, y = (apart.select("band", F.col("leaf").alias(k), F.col("root").alias(f"r{k}"), F.col("size").alias(f"n{k}")) for k in "ab")
     rest = x.join(y, "band").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & size_of(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-    links = links.union(_verified(rest.join(stars, ["a", "b"], "left_anti"), sets, similarity))
+    found = found.union(_verified(rest.join(stars, ["a", "b"], "left_anti"), sets, similarity))
 
-    roots = components(links)
+    roots = components(found)
     rooted = cut(leaves.join(roots, leaves["leaf"] == roots["node"], "left").select("leaf", "least", F.coalesce("root", "leaf").alias("root")))
     least = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     classes = cut(rooted.join(least, "root").select(F.col("leaf").alias("of"), "component_id"))
