@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +54,16 @@ def phi(x: float) -> float:
     return (1 + math.erf(x / math.sqrt(2))) / 2
 
 
+def normal(x: Column) -> Column:
+    """phi of a column."""
+
+    @F.pandas_udf("double")
+    def each(xs: pd.Series) -> pd.Series:
+        return xs.map(phi, na_action="ignore")
+
+    return each(x.cast("double"))
+
+
 def z_of(confidence: float) -> float:
     """The two-sided normal quantile, by bisection of [-10, 10] to within 1e-4 of the probability."""
     low, high, want = -10.0, 10.0, (1 + confidence) / 2
@@ -81,49 +94,88 @@ def wilson_ci(y: Column) -> dict[str, Column]:
     return {"y": p, "lower": F.round(p - (mid - half), 5), "upper": F.round(mid + half - p, 5)}
 
 
-def clopper_pearson(k: Column, n: Column, confidence: float = 0.95, steps: int = 50) -> tuple[Column, Column]:
-    """Exact binomial bounds, by bisection of the binomial tail; k of n are ones. Terms are kept in logs."""
-    tail = (1 - confidence) / 2
+def _log_beta(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    gamma = np.vectorize(math.lgamma, otypes=[float])
+    return gamma(a) + gamma(b) - gamma(a + b)
+
+
+def incomplete_beta(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The regularised incomplete beta function, by its continued fraction on the side where that converges fast."""
+    x, a, b = np.broadcast_arrays(*(np.asarray(v, float) for v in (x, a, b)))
+    turned = x > (a + 1) / (a + b + 2)
+    x, a, b = np.where(turned, 1 - x, x), np.where(turned, b, a), np.where(turned, a, b)
+    tiny = 1e-300
+    with np.errstate(divide="ignore", invalid="ignore"):
+        front = np.exp(a * np.log(x) + b * np.log1p(-x) - _log_beta(a, b)) / a
+    guard = lambda v: np.where(np.abs(v) < tiny, tiny, v)
+    c, d = np.ones_like(x), 1 / guard(1 - (a + b) * x / (a + 1))
+    h = d
+    for m in range(1, 200 + int(10 * math.sqrt(max(1.0, float(np.max(a + b, initial=1.0)))))):
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        d, c = 1 / guard(1 + even * d), guard(1 + even / c)
+        h = h * d * c
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d, c = 1 / guard(1 + odd * d), guard(1 + odd / c)
+        h = h * d * c
+        if np.all(np.abs(d * c - 1) < 1e-14):
+            break
+    out = np.where(x <= 0, 0.0, front * h)
+    return np.where(turned, 1 - out, out)
+
+
+def beta_quantile(p: float, a: np.ndarray, b: np.ndarray, steps: int = 60) -> np.ndarray:
+    low, high = np.zeros_like(a), np.ones_like(a)
+    for _ in range(steps):
+        mid = (low + high) / 2
+        under = incomplete_beta(mid, a, b) < p
+        low, high = np.where(under, mid, low), np.where(under, high, mid)
+    return (low + high) / 2
 
-    def below(p: Column, top: Column) -> Column:
-        """P[X <= top], the terms from 0 up by their ratios in logs."""
-        first = n * F.ln(1 - p)
-        start = F.struct(first.alias("t"), F.exp(first).alias("s"))
-        step = lambda a, i: F.struct((a["t"] + F.ln((n - i + 1) / i) + F.ln(p / (1 - p))).alias("t"), (a["s"] + F.exp(a["t"] + F.ln((n - i + 1) / i) + F.ln(p / (1 - p)))).alias("s"))
-        return F.when(top < 0, 0.0).when(top == 0, F.exp(first)).otherwise(F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(top.cast("long"), F.lit(1).cast("long"))), start, step, lambda a: a["s"]))
 
-    def solve(high_if) -> Column:
-        start = F.struct(F.lit(0.0).alias("a"), F.lit(1.0).alias("b"))
-        step = lambda s, _: F.when(high_if((s["a"] + s["b"]) / 2), F.struct(s["a"].alias("a"), ((s["a"] + s["b"]) / 2).alias("b"))).otherwise(F.struct(((s["a"] + s["b"]) / 2).alias("a"), s["b"].alias("b")))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda s: (s["a"] + s["b"]) / 2)
+def clopper_pearson(k: Column, n: Column, confidence: float = 0.95) -> tuple[Column, Column]:
+    """Exact binomial bounds of k ones among n values: quantiles of beta distributions, for one row a group."""
+    tail = (1 - confidence) / 2
+
+    @F.pandas_udf("struct<low:double,high:double>")
+    def bounds(ks: pd.Series, ns: pd.Series) -> pd.DataFrame:
+        a, m = ks.to_numpy(float), ns.to_numpy(float)
+        low = np.where(a <= 0, 0.0, beta_quantile(tail, np.maximum(a, 1), m - a + 1))
+        high = np.where(a >= m, 1.0, beta_quantile(1 - tail, a + 1, np.maximum(m - a, 1)))
+        return pd.DataFrame({"low": low, "high": high})
 
-    low = F.when(k == 0, 0.0).otherwise(solve(lambda p: 1 - below(p, k - 1) >= tail))
-    high = F.when(k == n, 1.0).otherwise(solve(lambda p: below(p, k) <= tail))
-    return F.round(low, 6), F.round(high, 6)
+    both = bounds(k.cast("double"), n.cast("double"))
+    return F.round(both["low"], 6), F.round(both["high"], 6)
 
 
 def bootstrap_ci(df: DataFrame, keys: list[str], y: str, confidence: float = 0.95, reps: int = 1000, seed: int = 1) -> DataFrame:
-    """(keys, y, lower, upper): the basic bootstrap of the mean. Each row has a Poisson weight in each resample, drawn from
-    the hash of row and resample, so that resamples are sums and no row is moved. Under three values the width is zero."""
-    weights = F.transform(F.sequence(F.lit(1), F.lit(reps)), lambda r: _poisson(F.pmod(F.xxhash64(F.lit(seed), r, F.col("__row")), F.lit(1 << 30)) / float(1 << 30)))
-    rows = df.select(*keys, F.col(y).alias("__y"), F.xxhash64(*[F.col(c) for c in df.columns]).alias("__row"))
-    flat = rows.select(*keys, "__y", F.posexplode(weights).alias("__rep", "__w"))
-    means = flat.groupBy(*keys, "__rep").agg(F.try_divide(F.sum(F.col("__w") * F.col("__y")), F.sum("__w")).alias("__m"), F.avg("__y").alias("__y"), F.count("*").alias("__n"))
+    """(keys, y, lower, upper): the basic bootstrap of the mean. In each resample a value that n rows have has a Poisson weight of
+    mean n, the sum of one weight a row, drawn from the hash of key, value and resample; so equal rows are counted first, resamples
+    are sums, and no row is moved. Under three rows the width is zero."""
+    counts = df.groupBy(*keys, F.col(y).cast("double").alias("__y")).agg(F.count("*").alias("__c"))
+    draw = lambda r, k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), r, *keys, "__y"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    flat = counts.withColumn("__rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    flat = flat.withColumn("__w", _poisson(F.col("__c"), draw(F.col("__rep"), 0), draw(F.col("__rep"), 1)))
+    sums = flat.groupBy(*keys, "__rep").agg(F.try_divide(F.sum(F.col("__w") * F.col("__y")), F.sum("__w")).alias("__m"))
+    whole = counts.groupBy(*keys).agg((F.sum(F.col("__c") * F.col("__y")) / F.sum("__c")).alias("y"), F.sum("__c").alias("__n"))
     tail = (1 - confidence) / 2
-    q = percentile(F.col("__m"), [tail, 1 - tail])
-    out = means.groupBy(*keys).agg(F.first("__y").alias("y"), F.first("__n").alias("__n"), q.alias("__q"))
-    wide = lambda c: F.when(F.col("__n") < 3, 0.0).otherwise(c)
-    return out.select(*keys, "y", wide(F.col("__q")[1] - F.col("y")).alias("lower"), wide(F.col("y") - F.col("__q")[0]).alias("upper"))
-
-
-def _poisson(x: Column) -> Column:
-    """The Poisson(1) quantile of x."""
-    out, p, total = F.when(x < math.exp(-1), 0), math.exp(-1), math.exp(-1)
-    for k in range(1, 9):
-        p /= k
-        total += p
-        out = out.when(x < total, k)
-    return out.otherwise(9)
+    ends = sums.groupBy(*keys).agg(percentile(F.col("__m"), [tail, 1 - tail]).alias("__q"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & whole[k].eqNullSafe(ends[k])
+    out = whole.join(ends, same) if keys else whole.crossJoin(ends)
+    wide = lambda c: F.when(F.col("__n") < 3, 0.0).otherwise(F.greatest(c, F.lit(0.0)))
+    return out.select(*[whole[k] for k in keys], "y", wide(F.col("__q")[1] - F.col("y")).alias("lower"), wide(F.col("y") - F.col("__q")[0]).alias("upper"))
+
+
+def _poisson(n: Column, u: Column, v: Column) -> Column:
+    """A Poisson weight of mean n from two uniform numbers: by its quantile up to a mean of 30, beyond by the normal one with the
+    correction for skewness."""
+    step = lambda a, k: F.struct((a["p"] * n / k).alias("p"), (a["s"] + a["p"] * n / k).alias("s"), (a["k"] + (u > a["s"]).cast("int")).alias("k"))
+    first = F.exp(-n.cast("double"))
+    start = F.struct(first.alias("p"), first.alias("s"), F.lit(0).alias("k"))
+    small = F.aggregate(F.sequence(F.lit(1), (2 * n + 30).cast("int")), start, step, lambda a: a["k"])
+    z = F.sqrt(-2 * F.ln(u)) * F.cos(2 * math.pi * v)
+    return F.when(n <= 30, small).otherwise(F.greatest(F.round(n + F.sqrt(n) * z + (z * z - 1) / 6), F.lit(0.0)))
 
 
 INTERVALS = {"se": stderr_ci, "sd": stddev_ci, "bi": wilson_ci}
@@ -134,3 +186,10 @@ def interval(err: str | None, y: Column) -> dict[str, Column]:
     if err is None:
         return {"y": F.avg(y), "lower": F.lit(0.0), "upper": F.lit(0.0)}
     return err(y) if callable(err) else INTERVALS[err](y)
+
+
+def points(df: DataFrame, keys: list[str], y: str, err: Any = None) -> DataFrame:
+    """(keys, y, lower, upper) by the short name of an interval: se, sd, bi or bs, None, or a function of a column."""
+    if err == "bs":
+        return bootstrap_ci(df.select(*keys, y), keys, y)
+    return df.groupBy(*keys).agg(*[c.alias(n) for n, c in interval(err, F.col(y)).items()])

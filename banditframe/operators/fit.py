@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from banditframe.functions import stats
+from banditframe.plans.ranks import percentiles
 from banditframe.plans.tables import cut
 
 
@@ -18,10 +19,10 @@ def _usable(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
-def _shift(how: float | str, y: Column, n: Column | None = None) -> Column:
+def _shift(how: float | str, y: Column) -> Column:
     if not isinstance(how, str):
         return F.lit(float(how))
-    return {"min": -F.min(y), "mean": -F.avg(y), "med": -F.median(y)}[how]
+    return {"min": -F.min(y), "mean": -F.avg(y), "med": F.when(F.count(y) > 0, F.lit(0.0))}[how]
 
 
 def scale(df: DataFrame, shift: float | str = 0, scale_: float | str = "minmax", using: int | None = None, target: str = "context", keys: list[str] = ("env_id",), idx: str = "idx") -> DataFrame:
@@ -47,13 +48,18 @@ def scale(df: DataFrame, shift: float | str = 0, scale_: float | str = "minmax",
     else:
         rows = rows.withColumn("times", F.lit(1).cast("long"))
     x, t = F.col("x"), F.col("times")
-    moved = rows.groupBy(*keys, "f").agg(_shift(shift, x).alias("shift"), F.min(x).alias("low"), F.max(x).alias("high"), F.sum(x * t).alias("s"), F.sum(F.when(x.isNotNull(), t)).alias("n"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.75)), t).alias("q"))
+    moved = rows.groupBy(*keys, "f").agg(_shift(shift, x).alias("shift"), F.min(x).alias("low"), F.max(x).alias("high"), F.sum(x * t).alias("s"), F.sum(F.when(x.isNotNull(), t)).alias("n"))
+    if shift == "med" or scale_ == "iqr":
+        quarters = percentiles(rows, [*keys, "f"], "x", [0.25, 0.5, 0.75], "q", t)
+        moved = moved.join(quarters, [*keys, "f"], "left")
+        if shift == "med":
+            moved = moved.withColumn("shift", -F.col("q")[1])
     if scale_ == "std":
         two = rows.join(moved.select(*keys, "f", (F.col("s") / F.col("n")).alias("m")), [*keys, "f"]).groupBy(*keys, "f").agg(F.sum((x - F.col("m")) * (x - F.col("m")) * t).alias("ss"))
         moved = moved.join(two, [*keys, "f"])
     width = {
         "minmax": F.col("high") - F.col("low"),
-        "iqr": F.when(F.col("n") > 1, F.col("q")[1] - F.col("q")[0]).otherwise(0.0),
+        "iqr": F.when(F.col("n") > 1, F.col("q")[2] - F.col("q")[0]).otherwise(0.0) if scale_ == "iqr" else None,
         "maxabs": F.greatest(F.abs(F.col("low") + F.col("shift")), F.abs(F.col("high") + F.col("shift"))),
     }
     if scale_ == "std":
@@ -85,7 +91,10 @@ def impute(df: DataFrame, stat: str = "mean", indicator: bool = True, using: int
         rows = fit.select(*keys, idx, F.posexplode(target).alias("f", "x"))
     else:
         rows = fit.select(*keys, idx, F.lit(0).alias("f"), F.col(target).alias("x"))
-    gaps = rows.groupBy(*keys, "f").agg((F.count("*") > F.count("x")).alias("gap"), (F.median("x") if stat == "median" else F.avg("x")).alias("v"))
+    gaps = rows.groupBy(*keys, "f").agg((F.count("*") > F.count("x")).alias("gap"), F.avg("x").alias("v"))
+    if stat == "median":
+        middle = percentiles(rows, [*keys, "f"], "x", [0.5], "__m").select(*keys, "f", F.col("__m")[0].alias("v"))
+        gaps = gaps.drop("v").join(middle, [*keys, "f"], "left")
     if stat == "mode":
         modes = stats.mode_first(rows.filter("x is not null"), [*keys, "f"], "x", idx).withColumnRenamed("x", "v")
         gaps = gaps.drop("v").join(modes, [*keys, "f"], "left")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from banditframe.functions import rand
 from banditframe.operators import policy
+from banditframe.plans.index import with_index
 from banditframe.plans.prefix import running
 from banditframe.plans.tables import cut
 
@@ -18,11 +19,15 @@ KEYS = ["env_id"]
 NEEDS = {"on": ["actions", "rewards"], "ips": ["action", "reward"], "dm": ["context", "actions", "action", "reward"], "dr": ["context", "actions", "action", "reward"], "rejection": ["context", "action", "reward", "actions", "probability"]}
 
 
+def lacking(df: DataFrame, mode: str) -> list[str]:
+    """The columns that an evaluation needs and df has not."""
+    return [c for c in NEEDS[mode] if c not in df.columns]
+
+
 def require(df: DataFrame, mode: str) -> None:
     """An error that names the columns an evaluation lacks, before any job runs."""
-    lacking = [c for c in NEEDS[mode] if c not in df.columns]
-    if lacking:
-        raise ValueError(f"{mode} evaluation needs the columns {', '.join(lacking)}")
+    if names := lacking(df, mode):
+        raise ValueError(f"{mode} evaluation needs the columns {', '.join(names)}")
 
 
 def ips(action: Column, logged: Column = None, reward: Column = None, probability: Column = None) -> Column:
@@ -165,11 +170,14 @@ def rejection_adaptive(df: DataFrame, cpct: float = 0.005, cmax: float = 1.0, bl
     ratio = F.col("probability") / F.col("on_prob")
     width = 20.0 / bins
     cells = rows.filter("on_prob > 0").groupBy(*keys, "__block", F.floor((F.ln(ratio) + 10) / width).alias("bin")).agg(F.count("*").alias("n"))
-    later = rows.select(*keys, F.col("__block").alias("at")).distinct()
-    past = cells.join(later, keys).filter(F.col("__block") < F.col("at")).groupBy(*keys, "at", "bin").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy(*keys, "at")
+    # each block with each bin of its environment: a running sum for each bin, then one over the bins of each block
+    cells = cut(cells)
+    blocks = rows.select(*keys, "__block").distinct().join(cells.select(*keys, "bin").distinct(), keys)
+    before = Window.partitionBy(*keys, "bin").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    past = blocks.join(cells, [*keys, "__block", "bin"], "left").withColumn("n", F.sum("n").over(before)).filter("n > 0")
+    w = Window.partitionBy(*keys, "__block")
     seen = past.withColumns({"upto": F.sum("n").over(w.orderBy("bin")), "all": F.sum("n").over(w)})
-    c = seen.filter(F.col("upto") > cpct * (F.col("all") - 1)).groupBy(*keys, F.col("at").alias("__block")).agg(F.least(F.exp(F.min("bin") * width - 10), F.lit(cmax)).alias("__c"))
+    c = seen.filter(F.col("upto") > cpct * (F.col("all") - 1)).groupBy(*keys, "__block").agg(F.least(F.exp(F.min("bin") * width - 10), F.lit(cmax)).alias("__c"))
     first = rows.filter("__block = 0").groupBy(*keys).agg(F.least(F.min("probability"), F.lit(cmax)).alias("__c0"))
     rows = rows.join(c, [*keys, "__block"], "left").join(first, keys).withColumn("__c", F.coalesce("__c", "__c0"))
     return rows.filter(rand.u(seed, F.col(idx) + 1) <= F.col("__c") * F.col("on_prob") / F.col("probability")).withColumn("eval_reward", F.col("reward")).drop("__block", "__c", "__c0")
@@ -190,5 +198,5 @@ def evaluate(interactions: DataFrame, policies: dict[int, Callable[[DataFrame],
                 rows = rows.join(had, "env_id", "left_anti")
             made = ev(pol(rows)).select(F.col("env_id").alias("environment_id"), F.lit(lrn).alias("learner_id"), F.lit(val).alias("evaluator_id"), "idx", F.col("eval_reward").alias("reward"))
             out = made if out is None else out.unionByName(made)
-    at = Window.partitionBy("environment_id", "learner_id", "evaluator_id").orderBy("idx")
-    return out.withColumn("index", F.row_number().over(at).cast("long")).select("environment_id", "learner_id", "evaluator_id", "index", "reward")
+    out = with_index(out, ["environment_id", "learner_id", "evaluator_id"], ["idx"], "index", 1)
+    return out.select("environment_id", "learner_id", "evaluator_id", "index", "reward")

@@ -71,12 +71,14 @@ def ucb(df: DataFrame, actions: list[str], reward: str = "reward", keys: list[st
 
     An action's first reward counts for m only until its second comes, and never for V; values are
     compared at 9 decimals, as sums come in another order."""
-    seen = df.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys, "action").orderBy(idx)))
+    firsts = df.groupBy(*keys, "action").agg(F.min(idx).alias("__first"))
+    seen = df.join(firsts, [*keys, "action"])
+    late = F.col(idx) > F.col("__first")
     sums = {
         "n": lambda hit, r: F.when(hit, 1).otherwise(0),
-        "f": lambda hit, r: F.when(hit & (F.col("__nth") == 1), r).otherwise(0.0),
-        "s": lambda hit, r: F.when(hit & (F.col("__nth") > 1), r).otherwise(0.0),
-        "q": lambda hit, r: F.when(hit & (F.col("__nth") > 1), r * r).otherwise(0.0),
+        "f": lambda hit, r: F.when(hit & ~late, r).otherwise(0.0),
+        "s": lambda hit, r: F.when(hit & late, r).otherwise(0.0),
+        "q": lambda hit, r: F.when(hit & late, r * r).otherwise(0.0),
     }
     rows = _log_sums(seen, actions, sums, reward, keys, idx)
     t = F.greatest(F.col(idx), F.lit(1)).cast("double")

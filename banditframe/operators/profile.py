@@ -11,6 +11,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from banditframe.plans.ranks import percentiles
 from banditframe.plans.tables import cut
 
 
@@ -28,7 +29,7 @@ def dense(df: DataFrame, m: str, y: str = "y") -> DataFrame:
 
 def binned(cells: DataFrame, n: int) -> DataFrame:
     """cells with bin: values cut at the 5th and 95th percentile and rounded to one of about n / 10 steps."""
-    ends = cells.groupBy("f").agg(F.percentile("v", F.array(F.lit(0.05), F.lit(0.95))).alias("__p"))
+    ends = percentiles(cells, ["f"], "v", [0.05, 0.95], "__p")
     steps = n / 10 - 1
     width = F.col("__p")[1] - F.col("__p")[0]
     at = steps * (F.col("v") - F.col("__p")[0]) / F.when(width == 0, 1.0).otherwise(width)
@@ -57,7 +58,7 @@ def labels(df: DataFrame, y: str = "y") -> DataFrame:
 
 def information(cells: DataFrame) -> DataFrame:
     """(f, hx, hx_n, hxy, hxy_n, mi, levels) of binned cells."""
-    xy = cells.groupBy("f", "bin", "y").agg(F.count("*").alias("n"))
+    xy = cut(cells.groupBy("f", "bin", "y").agg(F.count("*").alias("n")))
     hxy = _entropy(xy, ["f"]).select("f", F.col("h").alias("hxy"), F.col("levels").alias("lxy"))
     hx = _entropy(xy.groupBy("f", "bin").agg(F.sum("n").alias("n")), ["f"]).select("f", F.col("h").alias("hx"), "levels")
     hy = _entropy(xy.groupBy("f", "y").agg(F.sum("n").alias("n")), ["f"]).select("f", F.col("h").alias("hy"))

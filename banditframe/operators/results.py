@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, replace
 from functools import reduce
 from operator import or_
@@ -12,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from banditframe.functions import stats
+from banditframe.plans.index import with_index
+from banditframe.plans.prefix import faded, numbered, running, sliding
 
 ENV, LRN, VAL, INDEX = "environment_id", "learner_id", "evaluator_id", "index"
 TRIPLE = [ENV, LRN, VAL]
@@ -101,42 +102,26 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
 
 def moving_average(df: DataFrame, y: str, span: int | None = None, weights: str | None = None, keys: list[str] = TRIPLE, idx: str = INDEX, out: str = "mean") -> DataFrame:
     """df with the mean of y so far (span None), or of the last span rows; weights name a column, or 'exp' for weights that
-    fade by 1 - 2/(1 + span) a row."""
-    if span == 1 and weights is None:
+    fade by 1 - 2/(1 + span) a row. Sums run in blocks of rows, so a long triple spreads over many tasks."""
+    if span == 1 and (weights is None or weights == "exp"):
         return df.withColumn(out, F.col(y).cast("double"))
-    w = Window.partitionBy(*keys).orderBy(idx).rowsBetween(Window.unboundedPreceding if span is None or weights == "exp" else -(span - 1), 0)
-    if weights is None:
-        return df.withColumn(out, F.avg(y).over(w))
-    if weights != "exp":
-        return df.withColumn(out, F.sum(F.col(weights) * F.col(y)).over(w) / F.sum(weights).over(w))
-    return exponential(df, y, span, keys, idx, out)
-
-
-def exponential(df: DataFrame, y: str, span: int, keys: list[str] = TRIPLE, idx: str = INDEX, out: str = "mean", block: int = 512) -> DataFrame:
-    """Exponential mean in blocks of rows: (sum of faded values, sum of faded ones) is kept for each row inside its block, and
-    the totals of earlier blocks reach it faded by the rows between. Blocks older than any double can tell are left out."""
-    fade = 1 - 2 / (1 + span)
-    first = F.min(idx).over(Window.partitionBy(*keys))
-    rows = df.withColumn("__pos", F.col(idx) - first).withColumn("__block", F.floor(F.col("__pos") / block))
-    lists = rows.groupBy(*keys, "__block").agg(F.sort_array(F.collect_list(F.struct(F.col("__pos"), F.col(y).cast("double").alias("v")))).alias("l"))
-    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("d"), F.array().cast("array<struct<pos:bigint,n:double,d:double>>").alias("o"))
-
-    def step(a: Column, s: Column) -> Column:
-        n, d = a["n"] * fade + s["v"], a["d"] * fade + 1
-        return F.struct(n.alias("n"), d.alias("d"), F.concat(a["o"], F.array(F.struct(s["__pos"].cast("long").alias("pos"), n.alias("n"), d.alias("d")))).alias("o"))
-
-    inside = lists.select(*keys, "__block", F.aggregate("l", start, step).alias("a"))
-    totals = inside.select(*keys, "__block", "a.n", "a.d")
-    # far blocks fade below the least double: only the last few can matter
-    reach = 1 if fade <= 0 else max(1, int(-745 / math.log(fade) / block) + 2)
-    w = Window.partitionBy(*keys).orderBy("__block").rowsBetween(-reach, -1)
-    past = F.collect_list(F.struct("__block", "n", "d")).over(w)
-    faded = lambda f: F.aggregate("past", F.lit(0.0), lambda acc, p: acc + p[f] * F.pow(F.lit(fade), (F.col("__block") - p["__block"] - 1) * block))
-    before = totals.withColumn("past", past).select(*keys, "__block", faded("n").alias("bn"), faded("d").alias("bd"))
-    flat = inside.join(before, [*keys, "__block"]).select(*keys, "bn", "bd", F.col("__block"), F.explode("a.o").alias("r"))
-    k = F.pow(F.lit(fade), F.col("r.pos") - F.col("__block") * block + 1)
-    means = flat.select(*keys, F.col("r.pos").alias("__pos"), ((F.col("r.n") + F.col("bn") * k) / (F.col("r.d") + F.col("bd") * k)).alias(out))
-    return rows.join(means, [*keys, "__pos"]).select(*df.columns, out)
+    if weights == "exp":
+        return exponential(df, y, span, keys, idx, out)
+    w = F.lit(1.0) if weights is None else F.col(weights)
+    top, low = w * F.col(y), F.when(F.col(y).isNotNull(), w)
+    if span is None:
+        rows = running(df, keys, idx, {"__s": top, "__w": low})
+    else:
+        at = numbered(df, keys, idx, "__at")
+        rows = sliding(at, keys, "__at", span, {"__s": lambda over: F.sum(top).over(over), "__w": lambda over: F.sum(low).over(over)})
+    return rows.withColumn(out, F.try_divide("__s", "__w")).select(*[c for c in df.columns if c != out], out)
+
+
+def exponential(df: DataFrame, y: str, span: int, keys: list[str] = TRIPLE, idx: str = INDEX, out: str = "mean") -> DataFrame:
+    """The exponential mean: the faded sum of the values over that of ones."""
+    at = numbered(df, keys, idx, "__at")
+    rows = faded(at, keys, "__at", {"__s": F.col(y), "__w": F.lit(1.0)}, 1 - 2 / (1 + span))
+    return rows.withColumn(out, F.col("__s") / F.col("__w")).select(*[c for c in df.columns if c != out], out)
 
 
 # ---- the four tables ------------------------------------------------------------------------------------------------
@@ -253,8 +238,8 @@ class Result:
     def removed(self, n: int | None = None, l: str | list[str] = LRN, p: str | list[str] = ENV) -> DataFrame:
         """What filter_fin takes out, as (reason, number) rows."""
         groups = self.pairing(l, p).groupBy("__p").agg(F.first("rows").alias("rows"), F.first("levels").alias("levels"))
-        out = groups.agg(F.count_if(F.expr("rows > levels")).alias("more than one existed"), F.count_if(F.expr("rows < levels")).alias("did not exist"))
-        out = out.unpivot([], ["more than one existed", "did not exist"], "reason", "number")
+        out = groups.agg(F.count_if(F.expr("rows > levels")).alias("too many"), F.count_if(F.expr("rows < levels")).alias("too few"))
+        out = out.unpivot([], ["too many", "too few"], "reason", "number")
         if n:
             sizes = self.filter_fin(None, l, p).interactions.groupBy(*TRIPLE).count()
             out = out.union(sizes.agg(F.count_if(F.col("count") < n)).select(F.lit("shorter"), "*")).union(sizes.agg(F.count_if(F.col("count") > n)).select(F.lit("shortened"), "*"))
@@ -272,13 +257,16 @@ class Result:
 
     # -- analysis tables
 
-    def _check(self, x: str | list[str], y: str) -> None:
-        if y not in self.interactions.columns:
-            raise ValueError(f"{y} is not a column of the interactions")
+    def faults(self, x: str | list[str], y: str) -> list[str]:
+        """What keeps a table of y over x from being made."""
+        out = [] if y in self.interactions.columns else [f"{y} is not a column of the interactions"]
         if INDEX in _list(x) and len(_list(x)) > 1:
-            raise ValueError("the x-axis can't be index and a parameter")
-        if self.interactions.isEmpty():
-            raise ValueError("there is no data")
+            out.append("the x-axis can't be index and a parameter")
+        return out + (["there is no data"] if self.interactions.isEmpty() else [])
+
+    def _check(self, x: str | list[str], y: str) -> None:
+        if found := self.faults(x, y):
+            raise ValueError(found[0])
 
     def grouped(self, keys: list[str], y: str, func: str | None = None, span: int | None = 1) -> DataFrame:
         """keys with the values of y: a moving average a row where a key is an interaction column, else 'last' (the mean of the
@@ -291,20 +279,25 @@ class Result:
         elif span is None:
             lists = self.interactions.groupBy(*TRIPLE).agg(F.avg(y).alias("__y"))
         else:
-            last = Window.partitionBy(*TRIPLE).orderBy(F.col(INDEX).desc())
-            lists = self.interactions.withColumn("__r", F.row_number().over(last)).filter(F.col("__r") <= span).groupBy(*TRIPLE).agg(F.avg(y).alias("__y"))
+            sizes = self.interactions.groupBy(*TRIPLE).agg(F.count("*").alias("__n"))
+            last = numbered(self.interactions, TRIPLE, INDEX, "__at").join(sizes, TRIPLE).filter(F.col("__at") >= F.col("__n") - span)
+            lists = last.groupBy(*TRIPLE).agg(F.avg(y).alias("__y"))
         return replace(self, interactions=lists).joined(keys).select(*keys, F.col("__y").alias("y"))
 
     def raw_learners(self, x: str | list[str] = INDEX, y: str = "reward", l: str | list[str] = LRN, p: str | list[str] | None = ENV, span: int | None = None, wide: bool = False) -> DataFrame:
-        """Long rows (l, x, y), or one column a label with lists of y."""
+        """Long rows (l, x, y), or one column a label with the list of y of each x, in order of environment and evaluator, or
+        [NaN] where a label has none."""
         self._check(x, y)
         even = self.filter_fin("min" if x == INDEX else None, l, p) if p else self
-        rows = even.grouped([*_list(l), *_list(x)], y, span=span)
         if not wide:
-            return rows
+            return even.grouped([*_list(l), *_list(x)], y, span=span)
+        order = [k for k in (ENV, VAL, LRN) if k not in _list(l)]
+        rows = even.grouped(list(dict.fromkeys([*_list(l), *_list(x), *order])), y, span=span)
         label = F.concat_ws(", ", *[F.col(c).cast("string") for c in _list(l)])
         out = rows.withColumn("__label", label).groupBy(*_list(x)).pivot("__label")
-        return out.agg(F.sort_array(F.collect_list("y"))).orderBy(*_list(x))
+        out = out.agg(F.sort_array(F.collect_list(F.struct(*order, "y")))["y"])
+        none = F.array(F.lit(float("nan")))
+        return out.select(*_list(x), *[F.when(F.size(F.col(f"`{c}`")) > 0, F.col(f"`{c}`")).otherwise(none).alias(c) for c in out.columns if c not in _list(x)]).orderBy(*_list(x))
 
     def raw_contrast(self, l1: Any, l2: Any, x: str | list[str] = ENV, y: str = "reward", l: str = LRN, p: str | list[str] = ENV, span: int | None = None) -> DataFrame:
         """(x, y1, y2) for each pair of rows of the two sides that agree in p; over an index also in the index."""
@@ -327,11 +320,11 @@ class Result:
     def learner_curves(self, x: str = INDEX, y: str = "reward", l: str = LRN, p: str | list[str] | None = ENV, span: int | None = None, err: Any = None, errevery: int = 1, top_n: int | None = None) -> DataFrame:
         """(l, x, y, lower, upper, rank): a point and interval for each label and x; curves are ranked by their last y."""
         rows = self.raw_learners(x, y, l, p, span)
-        points = rows.groupBy(l, x).agg(*[c.alias(n) for n, c in stats.interval(err, F.col("y")).items()])
+        points = stats.points(rows, [l, x], "y", err)
         if errevery > 1:
-            at = Window.partitionBy(l).orderBy(x)
-            shown = F.row_number().over(at) % errevery == 0
-            points = points.withColumns({"lower": F.when(shown, F.col("lower")).otherwise(0.0), "upper": F.when(shown, F.col("upper")).otherwise(0.0)})
+            shown = F.col("__at") % errevery == 0
+            points = with_index(points, [l], [x], "__at", 1)
+            points = points.withColumns({"lower": F.when(shown, F.col("lower")).otherwise(0.0), "upper": F.when(shown, F.col("upper")).otherwise(0.0)}).drop("__at")
         last = points.groupBy(l).agg(F.max_by("y", x).alias("__last"))
         ranks = last.withColumn("rank", F.row_number().over(Window.orderBy(F.col("__last").desc(), l)).cast("long")).drop("__last")
         if top_n:
@@ -343,7 +336,7 @@ class Result:
         by the interval against the boundary."""
         pairs = self.raw_contrast(l1, l2, x, y, l, p, span)
         value = F.col("y2") - F.col("y1") if mode == "diff" else (F.col("y2") > F.col("y1")).cast("int") if mode == "prob" else mode(F.col("y1"), F.col("y2"))
-        points = pairs.withColumn("v", value).groupBy("x").agg(*[c.alias(n) for n, c in stats.interval(err, F.col("v")).items()])
+        points = stats.points(pairs.withColumn("v", value), ["x"], "v", err)
         b = 0.0 if mode == "diff" else 0.5
         outcome = F.when(F.col("y") + F.col("upper") < b, "l1").when(F.col("y") - F.col("lower") > b, "l2").otherwise("tie")
         return points.withColumn("outcome", outcome)
@@ -354,13 +347,21 @@ def _list(x: str | list[str] | tuple) -> list[str]:
 
 
 def from_logged(rows: DataFrame, env_params: list[str], lrn_params: list[str], order: list[str], include_prob: bool = False, evaluator: str = "unknown") -> Result:
-    """A result of logged interactions: ids follow the first appearance of distinct parameters."""
+    """A result of logged interactions: ids follow the first appearance of distinct parameters. Environments whose column `logged`,
+    if there is one, is not true are left out; where rewards are arrays, rows are batches and their values become means."""
     from banditframe.operators.ids import first_appearance
 
+    if "logged" in rows.columns:
+        rows = rows.filter("logged").drop("logged")
+    numbers = ("array<double>", "array<float>", "array<int>", "array<bigint>")
+    batches = dict(rows.dtypes).get("reward") in numbers
+    batched = [c for c, t in rows.dtypes if batches and t in numbers and c not in ("context", "actions", "rewards", *env_params, *lrn_params, *order)]
+    mean = lambda c: F.try_divide(F.aggregate(c, F.lit(0.0), lambda s, v: s + v), F.size(c))
+    rows = rows.withColumns({c: mean(c) for c in batched})
     envs = first_appearance(rows, env_params, order, ENV)
     lrns = first_appearance(rows, lrn_params, order, LRN)
     keep = rows.join(envs, env_params).join(lrns, lrn_params).withColumn(VAL, F.lit(0))
-    keep = keep.withColumn(INDEX, F.row_number().over(Window.partitionBy(*TRIPLE).orderBy(*order)).cast("long"))
+    keep = with_index(keep, TRIPLE, order, INDEX, 1)
     gone = {"context", "actions", "rewards", *env_params, *lrn_params} | (set() if include_prob else {"probability"})
     facts = keep.select(*TRIPLE, INDEX, *[c for c in keep.columns if c not in gone and c not in (*TRIPLE, INDEX)])
     vals = rows.sparkSession.range(1).select(F.lit(0).alias(VAL), F.lit(evaluator).alias("eval_type"))

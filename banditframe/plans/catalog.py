@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from banditframe.plans import q_interactions, q_policies, q_profile, q_results, q_sources, q_streaming
+from banditframe.plans import q_interactions, q_more, q_policies, q_profile, q_results, q_sources, q_streaming
 
-GROUPS = [q_results, q_interactions, q_policies, q_profile, q_sources, q_streaming]
+GROUPS = [q_results, q_interactions, q_policies, q_profile, q_sources, q_streaming, q_more]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from banditframe.operators.results import Result
+from banditframe.plans.index import with_index
 from banditframe.plans.tables import table
 
 TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -42,8 +43,8 @@ def events_result(spark: SparkSession, d: str) -> Result:
     ev = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value")
     types = ev.select("event_type").distinct().withColumn("learner_id", F.row_number().over(Window.orderBy("event_type")))
     ev = ev.join(types, "event_type").withColumn("environment_id", (F.col("user_id") % 10).cast("int"))
-    at = Window.partitionBy("environment_id", "learner_id").orderBy("ts", "event_id")
-    ints = ev.select("environment_id", "learner_id", F.lit(0).alias("evaluator_id"), F.row_number().over(at).cast("long").alias("index"), (F.col("value") / 501).alias("reward"))
+    ev = with_index(ev.select("environment_id", "learner_id", "ts", "event_id", "value"), ["environment_id", "learner_id"], ["ts", "event_id"], "index", 1)
+    ints = ev.select("environment_id", "learner_id", F.lit(0).alias("evaluator_id"), "index", (F.col("value") / 501).alias("reward"))
     lrns = types.select("learner_id", F.col("event_type").alias("family"), (F.col("learner_id") % 2).cast("int").alias("seed"))
     envs = ev.select("environment_id").distinct().select("environment_id", (F.col("environment_id") % 3).cast("int").alias("data_id"), F.concat(F.lit("e"), F.col("environment_id").cast("string")).alias("name"))
     vals = spark.range(1).select(F.lit(0).alias("evaluator_id"), F.lit("sequential").alias("eval_type"))
@@ -55,8 +56,8 @@ def orders_result(spark: SparkSession, d: str) -> Result:
     envs = o.select("o_orderpriority").distinct().withColumn("environment_id", F.row_number().over(Window.orderBy("o_orderpriority")))
     lrns = o.select("o_orderstatus").distinct().withColumn("learner_id", F.row_number().over(Window.orderBy("o_orderstatus")))
     o = o.join(envs, "o_orderpriority").join(lrns, "o_orderstatus")
-    at = Window.partitionBy("environment_id", "learner_id").orderBy("o_orderdate", "o_orderkey")
-    ints = o.select("environment_id", "learner_id", F.lit(0).alias("evaluator_id"), F.row_number().over(at).cast("long").alias("index"), F.col("o_totalprice").alias("reward"))
+    o = with_index(o.select("environment_id", "learner_id", "o_orderdate", "o_orderkey", "o_totalprice"), ["environment_id", "learner_id"], ["o_orderdate", "o_orderkey"], "index", 1)
+    ints = o.select("environment_id", "learner_id", F.lit(0).alias("evaluator_id"), "index", F.col("o_totalprice").alias("reward"))
     vals = spark.range(1).select(F.lit(0).alias("evaluator_id"), F.lit("sequential").alias("eval_type"))
     return Result(envs.select("environment_id", F.col("o_orderpriority").alias("priority")), lrns.select("learner_id", F.col("o_orderstatus").alias("family")), vals, ints)
 
@@ -64,8 +65,7 @@ def orders_result(spark: SparkSession, d: str) -> Result:
 def logged(spark: SparkSession, d: str) -> DataFrame:
     ev = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value")
     env = (F.col("user_id") % 10).cast("int")
-    at = Window.partitionBy("env_id").orderBy("ts", "event_id")
-    rows = ev.withColumn("env_id", env).withColumn("idx", (F.row_number().over(at) - 1).cast("long"))
+    rows = with_index(ev.withColumn("env_id", env), ["env_id"], ["ts", "event_id"])
     counts = rows.groupBy("env_id", F.col("event_type").alias("action")).agg(F.count("*").alias("n"))
     totals = counts.groupBy("env_id").agg(F.sum("n").alias("all"))
     shares = counts.join(totals, "env_id").select("env_id", "action", F.round(F.col("n").cast("double") / F.col("all"), 9).alias("probability"))

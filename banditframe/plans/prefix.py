@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,3 +35,33 @@ def sliding(df: DataFrame, keys: list[str], idx: str, span: int, outs: dict, blo
     rows = df.withColumn("__home", own).withColumn("__block", F.explode(F.array_distinct(F.array(own, late))))
     w = Window.partitionBy(*keys, "__block").orderBy(idx).rowsBetween(-(span - 1), 0)
     return rows.withColumns({n: f(w) for n, f in outs.items()}).filter("__home = __block").drop("__home", "__block")
+
+
+def numbered(df: DataFrame, keys: list[str], idx: str, name: str) -> DataFrame:
+    """df with the number of each row in its key by idx, from 0. idx is a whole number without ties, with gaps or not."""
+    return running(df, keys, idx, {name: F.lit(1)}).withColumn(name, (F.col(name) - 1).cast("long"))
+
+
+def faded(df: DataFrame, keys: list[str], at: str, sums: dict[str, Column], fade: float, most: int = 1 << 14) -> DataFrame:
+    """df with, for each name in sums, the sum of its column over the rows of the key so far, each times fade to the power of the
+    rows since. at numbers a key's rows from 0 without gaps; 0 < fade < 1.
+
+    Inside a block a row's share is its value over the fading so far, so one running sum will do; blocks are as long as these
+    powers stay far from the ends of a double. A block's total reaches the next ones faded by its length: where that is next to
+    nothing only the block before counts, else the totals are summed in the same way, block over block."""
+    block = max(1, min(most, int(-460 / math.log(fade))))
+    rows = df.withColumns({"__b": F.floor(F.col(at) / block), "__k": F.col(at) % block} | {f"__v_{n}": c.cast("double") for n, c in sums.items()})
+    w = Window.partitionBy(*keys, "__b").orderBy("__k")
+    up, down = F.pow(F.lit(fade), -F.col("__k")), F.pow(F.lit(fade), F.col("__k"))
+    rows = rows.withColumns({f"__i_{n}": F.sum(F.col(f"__v_{n}") * up).over(w) * down for n in sums})
+    totals = rows.groupBy(*keys, "__b").agg(*[F.sum(F.col(f"__v_{n}") * F.pow(F.lit(fade), (block - 1) - F.col("__k"))).alias(f"__t_{n}") for n in sums])
+    step = fade**block
+    if step > 1e-30:
+        totals = faded(totals, keys, "__b", {f"__t_{n}": F.col(f"__t_{n}") for n in sums}, step, most)
+    past = totals.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], (F.col("__b") + 1).alias("__n"), *[F.col(f"__t_{n}") for n in sums])
+    same = rows["__b"] == past["__n"]
+    for i, k in enumerate(keys):
+        same = same & rows[k].eqNullSafe(past[f"__k{i}"])
+    more = F.pow(F.lit(fade), F.col("__k") + 1)
+    outs = [(F.col(f"__i_{n}") + F.coalesce(F.col(f"__t_{n}"), F.lit(0.0)) * more).alias(n) for n in sums]
+    return rows.join(past, same, "left").select(*[c for c in df.columns if c not in sums], *outs)

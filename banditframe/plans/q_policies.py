@@ -163,7 +163,10 @@ def e17_rejection(spark, d):
     return ope.rejection(_fixed(spark, d)).select("env_id", "idx", F.round("eval_reward", 6).alias("reward"))
 
 
-@query()
+@query(f"""WITH {LOGGED}, rw AS (SELECT *, {P_SQL.format(a='action')} AS pi, idx // 250 AS blk, {U} AS u FROM logged), cells AS (SELECT env_id, blk, floor((ln(probability / pi) + 10) / (20.0::DOUBLE / 1024)) AS bin, count(*) AS n FROM rw GROUP BY ALL),
+past AS (SELECT b.env_id, b.blk, c.bin, sum(c.n) AS n FROM (SELECT DISTINCT env_id, blk FROM rw) b JOIN cells c ON c.env_id = b.env_id AND c.blk < b.blk GROUP BY ALL), seen AS (SELECT *, sum(n) OVER (PARTITION BY env_id, blk ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY env_id, blk) AS al FROM past),
+c AS (SELECT env_id, blk, least(exp(min(bin) * (20.0::DOUBLE / 1024) - 10), 1.0) AS c FROM seen WHERE upto > 0.05 * (al - 1) GROUP BY ALL), f AS (SELECT env_id, least(min(probability), 1.0) AS c0 FROM rw WHERE blk = 0 GROUP BY 1)
+SELECT env_id, idx, round(reward, 6) AS reward FROM rw JOIN f USING (env_id) LEFT JOIN c USING (env_id, blk) WHERE u <= coalesce(c, c0) * pi / probability""")
 def e17_rejection_adaptive(spark, d):
     return ope.rejection_adaptive(_fixed(spark, d), cpct=0.05, block=250).select("env_id", "idx", F.round("eval_reward", 6).alias("reward"))
 
@@ -185,3 +188,34 @@ def e19_evaluation_job(spark, d):
     return out.withColumn("reward", F.round("reward", 6))
 
 
+#: One feature for each action, so that A and b are numbers: (context - 3) * (place - 2).
+ONE = """rx AS (SELECT *, (context - 3) * (list_position(actions, action) - 3) AS x FROM logged),
+st AS (SELECT env_id, idx, context, 1 + coalesce(sum(x * x) OVER w, 0) AS a, coalesce(sum(x * reward) OVER w, 0) AS b FROM rx WINDOW w AS (PARTITION BY env_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+vl AS (SELECT env_id, idx, k, round({value}, {digits}) AS v FROM (SELECT *, (context - 3) * (k - 2) AS z FROM st, range(5) t(k))),
+mx AS (SELECT *, max(v) OVER (PARTITION BY env_id, idx) AS best FROM vl)
+SELECT env_id, idx, list(CASE WHEN v = best THEN round(1.0 / same, 6) ELSE 0 END ORDER BY k) AS pmf FROM (SELECT *, sum((v = best)::INT) OVER (PARTITION BY env_id, idx) AS same FROM mx) GROUP BY ALL"""
+
+
+def _one_feature(spark, d, **options):
+    log = _log(spark, d).withColumn("x", F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.array((F.col("context") - 3) * (k - 2))))
+    out = policy.linear(log, 5, block=1, **options)
+    return out.select("env_id", "idx", F.transform("pmf", lambda p: F.round(p, 6)).alias("pmf"))
+
+
+@query(f"WITH {LOGGED}, " + ONE.format(value="z * b / a + 0.5 * sqrt(z * z / a)", digits=9))
+def e6_linear_ucb_row_by_row(spark, d):
+    """Blocks of one row: the sequential policy."""
+    return _one_feature(spark, d, kind="ucb", alpha=0.5)
+
+
+@query(f"WITH {LOGGED}, " + ONE.format(value="z * b / a", digits=5))
+def e7_linear_thompson_row_by_row(spark, d):
+    return _one_feature(spark, d, kind="ts", alpha=0.0)
+
+
+@query("SELECT unnest(['on', 'ips', 'dm', 'dr', 'rejection']) AS mode, unnest(['actions,rewards', 'action,reward', 'action,actions,context,reward', 'action,actions,context,reward', 'action,actions,context,probability,reward']) AS lacking FROM (SELECT count(*) FROM events) UNION ALL SELECT 'ips of a log', '' FROM (SELECT count(*) FROM events)")
+def e13_required_columns(spark, d):
+    """What the events lack for each kind of evaluation, and what a log made of them does."""
+    ev, log = data.table(spark, d, "events"), _log(spark, d)
+    rows = [(m, ",".join(sorted(ope.lacking(ev, m)))) for m in ope.NEEDS] + [("ips of a log", ",".join(ope.lacking(log, "ips")))]
+    return spark.createDataFrame(rows, "mode string, lacking string")

@@ -10,7 +10,8 @@ from banditframe.operators import results as R
 from banditframe.plans import data
 from banditframe.plans.data import FACTS, ORDER_FACTS
 from banditframe.plans.index import with_index
-from banditframe.plans.prefix import running, sliding
+from banditframe.plans.prefix import running
+from banditframe.plans.ranks import percentiles
 from banditframe.plans.tables import table
 
 Q, SQL = {}, {}
@@ -210,9 +211,12 @@ PCT = "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.05), 4) AS p0
 
 @query(PCT)
 def a5_percentile_a7_a8(spark, d):
-    y = F.col("l_extendedprice")
-    out = table(spark, d, "lineitem").groupBy("l_returnflag").agg(stats.percentile(y, [0.05, 0.5, 0.95]).alias("p"), F.round(stats.iqr(y), 4).alias("iqr"), F.round(F.median("l_tax"), 6).alias("med"))
-    return out.select("l_returnflag", *[F.round(F.col("p")[k], 4).alias(n) for k, n in enumerate(("p05", "p50", "p95"))], "iqr", "med")
+    """Three flags hold all prices: percentiles by ranks over a range partitioning."""
+    items = table(spark, d, "lineitem").select("l_returnflag", "l_extendedprice", "l_tax")
+    price = percentiles(items, ["l_returnflag"], "l_extendedprice", [0.05, 0.5, 0.95, 0.25, 0.75])
+    tax = percentiles(items, ["l_returnflag"], "l_tax", [0.5], "t")
+    p = [F.col("p")[k] for k in range(5)]
+    return price.join(tax, "l_returnflag").select("l_returnflag", *[F.round(x, 4).alias(n) for x, n in zip(p, ("p05", "p50", "p95"))], F.round(p[4] - p[3], 4).alias("iqr"), F.round(F.col("t")[0], 6).alias("med"))
 
 
 @query("""WITH one AS (SELECT l_returnflag, l_extendedprice AS v, sum(l_quantity) AS w FROM lineitem WHERE l_quantity > 0 GROUP BY ALL),
@@ -274,7 +278,17 @@ def a15_wilson_interval(spark, d):
     return _r(ev.groupBy("environment_id").agg(*[c.alias(n) for n, c in stats.wilson_ci(F.col("v")).items()]), "y")
 
 
-@query()
+#: Forty halvings of the two binomial tails.
+TAILS = """WITH RECURSIVE s AS (SELECT (user_id % 10)::INT AS environment_id, sum((event_type = 'purchase')::INT)::BIGINT AS k, count(*) AS n FROM events GROUP BY 1),
+r AS (SELECT environment_id, k, n, 0.0::DOUBLE AS a, 1.0::DOUBLE AS b, 0.0::DOUBLE AS c, 1.0::DOUBLE AS e, 0 AS i FROM s UNION ALL
+SELECT environment_id, k, n, CASE WHEN t1 < 0.025 THEN m1 ELSE a END, CASE WHEN t1 < 0.025 THEN b ELSE m1 END, CASE WHEN t2 > 0.025 THEN m2 ELSE c END, CASE WHEN t2 > 0.025 THEN e ELSE m2 END, i + 1
+FROM (SELECT *, list_sum([exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(m1) + (n - j) * ln(1 - m1)) for j in range(k, n + 1)]) AS t1,
+list_sum([exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(m2) + (n - j) * ln(1 - m2)) for j in range(0, k + 1)]) AS t2
+FROM (SELECT *, (a + b) / 2 AS m1, (c + e) / 2 AS m2 FROM r)) WHERE i < 40)
+SELECT environment_id, k, n, CASE WHEN k = 0 THEN 0.0 ELSE round((a + b) / 2, 6) END AS low, CASE WHEN k = n THEN 1.0 ELSE round((c + e) / 2, 6) END AS high FROM r WHERE i = 40"""
+
+
+@query(TAILS)
 def a16_exact_binomial_interval(spark, d):
     ev = table(spark, d, "events").select((F.col("user_id") % 10).cast("int").alias("environment_id"), (F.col("event_type") == "purchase").cast("int").alias("v"))
     sums = ev.groupBy("environment_id").agg(F.sum("v").alias("k"), F.count("*").alias("n"))
@@ -315,7 +329,7 @@ def a21_filter_fin(spark, d):
     return r.filter_fin("min", "learner_id", "environment_id").interactions.select("environment_id", "learner_id", "index")
 
 
-@query(f"WITH {FACTS}, part AS (SELECT * FROM ints WHERE NOT (environment_id = 3 AND learner_id = 2)), c AS (SELECT environment_id, count(*) AS n FROM (SELECT DISTINCT environment_id, learner_id FROM part) GROUP BY 1) SELECT 'did not exist' AS reason, count(*) FILTER (n < 5) AS number FROM c UNION ALL SELECT 'more than one existed', count(*) FILTER (n > 5) FROM c")
+@query(f"WITH {FACTS}, part AS (SELECT * FROM ints WHERE NOT (environment_id = 3 AND learner_id = 2)), c AS (SELECT environment_id, count(*) AS n FROM (SELECT DISTINCT environment_id, learner_id FROM part) GROUP BY 1) SELECT 'too few' AS reason, count(*) FILTER (n < 5) AS number FROM c UNION ALL SELECT 'too many', count(*) FILTER (n > 5) FROM c")
 def a21_removed(spark, d):
     r = data.events_result(spark, d).filter_int(~((F.col("environment_id") == 3) & (F.col("learner_id") == 2)))
     return r.removed()
@@ -326,14 +340,12 @@ def a21_removed(spark, d):
 
 @query(f"WITH {FACTS} SELECT environment_id, learner_id, \"index\", round(avg(reward) OVER (PARTITION BY environment_id, learner_id ORDER BY \"index\"), 6) AS mean FROM ints")
 def w1_progressive_mean(spark, d):
-    run = running(_ints(spark, d), R.TRIPLE, "index", {"n": F.lit(1), "s": F.col("reward")})
-    return run.select("environment_id", "learner_id", "index", F.round(F.col("s") / F.col("n"), 6).alias("mean"))
+    return R.moving_average(_ints(spark, d), "reward").select("environment_id", "learner_id", "index", F.round("mean", 6).alias("mean"))
 
 
 @query(f"WITH {FACTS} SELECT environment_id, learner_id, \"index\", round(avg(reward) OVER (PARTITION BY environment_id, learner_id ORDER BY \"index\" ROWS 9 PRECEDING), 6) AS mean FROM ints")
 def w2_sliding_mean(spark, d):
-    out = sliding(_ints(spark, d), R.TRIPLE, "index", 10, {"mean": lambda w: F.avg("reward").over(w)})
-    return out.select("environment_id", "learner_id", "index", F.round("mean", 6).alias("mean"))
+    return R.moving_average(_ints(spark, d), "reward", 10).select("environment_id", "learner_id", "index", F.round("mean", 6).alias("mean"))
 
 
 @query(f"WITH {FACTS} SELECT environment_id, learner_id, \"index\", round(reward, 6) AS mean FROM ints")

@@ -100,9 +100,11 @@ def s6_delimited(spark, d):
     return text.delimited(spark, path, ";")
 
 
-@query("SELECT c_custkey, c_mktsegment FROM customer")
+@query("SELECT c_custkey, upper(c_mktsegment) AS c_mktsegment FROM customer")
 def s8_frame(spark, d):
-    return spark.createDataFrame(table(spark, d, "customer").select("c_custkey", "c_mktsegment").toPandas())
+    """Pandas frames as rows: each task makes frames of the rows that it has."""
+    parts = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    return store.from_frames(parts, lambda f: f.assign(c_mktsegment=f.c_mktsegment.str.upper()), parts.schema)
 
 
 @query("SELECT r_regionkey::BIGINT AS r_regionkey, r_name FROM region")
@@ -157,4 +159,25 @@ def s14_k3_save_and_load(spark, d):
 def k4_k6_reduced_export(spark, d):
     ints = store.cache(data.events_result(spark, d).interactions)
     reduced = ints.groupBy("environment_id", "learner_id").agg(F.count("*").alias("n"))
-    return spark.createDataFrame(store.to_dicts(reduced), reduced.schema)
+    rows = store.to_dicts(reduced)
+    ints.unpersist()
+    return spark.createDataFrame(rows, reduced.schema)
+
+
+@query("SELECT 'rows given to a function' AS what, count(*) AS n FROM customer UNION ALL SELECT 'in a list', count(DISTINCT c_mktsegment) FROM customer UNION ALL SELECT 'given to none', 0")
+def k5_sinks(spark, d):
+    """A function on the executors, a list of a reduced result, and no sink at all."""
+    customers, seen = table(spark, d, "customer"), spark.sparkContext.accumulator(0)
+    store.for_each(customers, lambda row: seen.add(1))
+    store.discard(customers)
+    rows = [("rows given to a function", seen.value), ("in a list", len(store.to_dicts(customers.select("c_mktsegment").distinct()))), ("given to none", 0)]
+    return spark.createDataFrame(rows, "what string, n long")
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders")
+def d9_python_sink(spark, d):
+    """Orders through a sink written in Python, and read back."""
+    spark.dataSource.register(LinesSource)
+    path = _path(spark, "sink")
+    table(spark, d, "orders").select("o_orderkey", "o_orderpriority").write.format("banditframe_rows").mode("append").option("path", path).save()
+    return spark.read.schema("o_orderkey bigint, o_orderpriority string").json(path)

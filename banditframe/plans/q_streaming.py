@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from banditframe.operators import ope, policy
 from banditframe.plans import data
 from banditframe.plans.data import LOGGED, TYPES
-from banditframe.plans.q_policies import P_SQL, PMF
+from banditframe.plans.q_policies import EPS, P_SQL, PMF
 from banditframe.plans.tables import shared_dir, table
 from banditframe.streaming import live
 
@@ -26,18 +26,12 @@ def query(sql: str | None = None):
     return add
 
 
-def _run(spark, df, mode="append", conf={}):
-    """The rows of a stream that has read all that there is. They are written as Parquet to the shared folder."""
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    old = {k: spark.conf.get(k, None) for k in conf}
-    for k, v in conf.items():
-        spark.conf.set(k, v)
-    try:
-        q = df.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-        q.awaitTermination()
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+def _run(spark, df, base=None):
+    """The rows of a stream that has read all that there is. They are written as Parquet to the shared folder. A stream that ran
+    before with the same base goes on from there."""
+    base = base or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    q = df.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
@@ -58,19 +52,27 @@ def x1_row_operators(spark, d):
 
 @query("WITH w AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, avg(value) AS mean, count(*) AS n FROM events GROUP BY ALL) SELECT start, event_type, round(mean, 6) AS mean, n FROM w")
 def x2_windowed_value(spark, d):
-    """All windows, as of the end of the stream."""
+    """All windows, as of the end of the stream: a first run reads the events, in as many files and tasks as there are; a second
+    one goes on with a row of its own that moves the watermark past all windows."""
     ev = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
-    end = ev.select((F.max("ts") + F.expr("interval 10 days")).alias("ts"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value"))
-    path = f"{shared_dir(spark)}/source-{uuid.uuid4().hex}"
-    ev.coalesce(1).write.parquet(path)
-    end.coalesce(1).write.mode("append").parquet(path)
-    # the last row, in a file of its own, moves the watermark past all windows
-    out = live.windowed_value(spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(path), "value", ["event_type"])
-    return _run(spark, out).filter("event_type <> 'end'").withColumns({"start": F.col("start").cast("timestamp_ntz"), "mean": F.round("mean", 6)})
+    end = ev.agg(F.max("ts").alias("m")).select((F.col("m") + F.expr("interval 10 days")).alias("ts"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value"))
+    path, base = (f"{shared_dir(spark)}/{x}-{uuid.uuid4().hex}" for x in ("source", "stream"))
+    ev.write.parquet(path)
+    out = live.windowed_value(spark.readStream.schema(ev.schema).parquet(path), "value", ["event_type"])
+    _run(spark, out, base)
+    end.write.mode("append").parquet(path)
+    return _run(spark, out, base).filter("event_type <> 'end'").withColumns({"start": F.col("start").cast("timestamp_ntz"), "mean": F.round("mean", 6)})
 
 
-@query()
+@query(f"WITH {LOGGED}, {EPS} SELECT env_id, idx, action, round(p, 6) AS probability FROM pm WHERE cand = action")
 def x3_epsilon_greedy(spark, d):
+    """The log comes in three pieces, by idx; each is a micro-batch or several."""
     log = data.logged(spark, d).select("env_id", "idx", "action", "reward")
-    out = live.epsilon_greedy(_stream(spark, log), TYPES)
-    return _run(spark, out, conf={"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}).withColumn("probability", F.round("probability", 6))
+    base, third = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", log.agg(F.max("idx")).first()[0] // 3 + 1
+    log.limit(0).write.parquet(f"{base}/source")
+    stream = live.epsilon_greedy(spark.readStream.schema(log.schema).parquet(f"{base}/source"), base, TYPES).option("checkpointLocation", f"{base}/check").trigger(availableNow=True)
+    for k in range(3):
+        log.filter(F.floor(F.col("idx") / third) == k).write.mode("append").parquet(f"{base}/source")
+        stream.start().awaitTermination()
+    out = spark.read.parquet(f"{base}/out")
+    return out.select("env_id", "idx", "action", F.round("probability", 6).alias("probability"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 KEY = "env_id"
 
@@ -63,7 +65,22 @@ def discard(df: DataFrame) -> None:
 
 def for_each(df: DataFrame, f: Callable) -> None:
     """Hands the rows of each task to f, on the executors."""
-    df.foreachPartition(lambda rows: [f(r) for r in rows] and None)
+
+    def each(rows: Iterator[Row]) -> None:
+        for r in rows:
+            f(r)
+
+    df.foreachPartition(each)
+
+
+def from_frames(parts: DataFrame, make: Callable[[pd.DataFrame], pd.DataFrame], schema: StructType | str) -> DataFrame:
+    """The rows of the pandas frames that make gives for the rows of each task, a bounded batch at a time."""
+
+    def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield make(b)
+
+    return parts.mapInPandas(frames, schema)
 
 
 def to_dicts(df: DataFrame) -> list[dict]:

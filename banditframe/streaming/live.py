@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter
+
+from banditframe.operators.policy import greedy
+from banditframe.plans.prefix import running
 
 
 def windowed_value(log: DataFrame, value: str, by: list[str], ts: str = "ts", width: str = "1 day", late: str = "1 day") -> DataFrame:
@@ -16,36 +16,32 @@ def windowed_value(log: DataFrame, value: str, by: list[str], ts: str = "ts", wi
     return rows.select(F.col("w.start").alias("start"), *by, "mean", "n")
 
 
-class EpsilonGreedy(StatefulProcessor):
-    """For each row the probability that an epsilon-greedy policy gives its action, from the rows of its key before it. The state is
-    a count and a sum for each action, whatever the length of the log."""
-
-    def __init__(self, actions: list[str], epsilon: float) -> None:
-        self.actions, self.epsilon = actions, epsilon
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.sums = handle.getMapState("sums", "action string", "n bigint, s double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = {k[0]: (v[0], v[1]) for k, v in self.sums.iterator()}
-        parts = pd.concat(list(rows)).sort_values("idx")
-        out = []
-        for idx, action, reward in zip(parts["idx"], parts["action"], parts["reward"]):
-            q = [known[a][1] / known[a][0] if a in known else float("-inf") for a in self.actions]
-            best = max(q)
-            share = (1 - self.epsilon) / q.count(best) if action in self.actions and q[self.actions.index(action)] == best else 0.0
-            out.append((key[0], int(idx), action, self.epsilon / len(self.actions) + share if action in self.actions else 0.0))
-            n, s = known.get(action, (0, 0.0))
-            known[action] = (n + 1, s + float(reward))
-        for a, (n, s) in known.items():
-            self.sums.updateValue((a,), (int(n), float(s)))
-        yield pd.DataFrame(out, columns=["env_id", "idx", "action", "probability"])
-
-    def close(self) -> None:
-        pass
-
-
-def epsilon_greedy(log: DataFrame, actions: list[str], epsilon: float = 0.1) -> DataFrame:
-    """(env_id, idx, action, probability) of a streaming log (env_id, idx, action, reward), updated row by row."""
-    schema = "env_id int, idx long, action string, probability double"
-    return log.groupBy("env_id").transformWithStateInPandas(statefulProcessor=EpsilonGreedy(actions, epsilon), outputStructType=schema, outputMode="Append", timeMode="None")
+def epsilon_greedy(log: DataFrame, path: str, actions: list[str], epsilon: float = 0.1, reward: str = "reward") -> DataStreamWriter:
+    """A writer of (env_id, idx, action, probability) for a streaming log (env_id, idx, action, reward): the probability that an
+    epsilon-greedy policy gives each row's action, learned from the rows before it.
+
+    Rows of a micro-batch are taken in the order of idx, by prefix sums in blocks, so that one environment spreads over many tasks.
+    What carries over to the next one is a count and a sum for each environment and action. Both are written in a folder of the
+    batch, so that a batch that is run again leaves the same."""
+
+    def step(rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
+        names = [f"{x}_{k}" for k in range(len(actions)) for x in "ns"]
+        hit = lambda k: F.col("action") == actions[k]
+        sums = {f"n_{k}": F.when(hit(k), 1).otherwise(0).cast("long") for k in range(len(actions))} | {f"s_{k}": F.when(hit(k), F.col(reward)).otherwise(0.0) for k in range(len(actions))}
+        here = running(rows, ["env_id"], "idx", sums, upto=-1)
+        old = spark.read.parquet(f"{path}/state/{batch - 1}") if batch else None
+        if old is not None:
+            before = old.withColumnsRenamed({n: f"__{n}" for n in names})
+            here = here.join(before, "env_id", "left")
+        total = lambda n: F.coalesce(F.col(n), F.lit(0)) + (F.coalesce(F.col(f"__{n}"), F.lit(0)) if old is not None else F.lit(0))
+        q = F.array(*[F.try_divide(total(f"s_{k}"), total(f"n_{k}").cast("double")) for k in range(len(actions))])
+        known = F.array(*[F.lit(a) for a in actions])
+        made = here.withColumn("__q", q).withColumn("pmf", greedy(F.col("__q"), epsilon)).withColumn("__at", F.array_position(known, F.col("action")))
+        p = F.when(F.col("__at") > 0, F.get("pmf", (F.col("__at") - 1).cast("int"))).otherwise(0.0)
+        made.select("env_id", "idx", "action", p.alias("probability")).write.mode("overwrite").parquet(f"{path}/out/batch={batch}")
+        new = rows.groupBy("env_id").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+        state = (new if old is None else old.unionByName(new)).groupBy("env_id").agg(*[F.sum(n).alias(n) for n in names])
+        state.write.mode("overwrite").parquet(f"{path}/state/{batch}")
+
+    return log.writeStream.foreachBatch(step)
