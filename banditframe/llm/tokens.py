@@ -5,13 +5,13 @@ the node's string, and those that follow from it, are popped; how many those are
 byte by byte, and its greedy pieces are counted without being built.
 
 Cases: a null or blank text has no words and no tokens; a text of any length is counted whole; a byte that no piece
-covers makes its word one unknown token; an empty table gives an empty result; other columns are not looked at.
+covers makes its word one unknown token; an empty table gives an empty result; columns of the same names as results are
+replaced, other columns are kept.
 """
 
 from __future__ import annotations
 
 import base64
-import os
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Tens of times what the largest vocabularies of models hold.
+MOST_BYTES = 64 << 20
 
 
 class Automaton:
@@ -77,31 +79,39 @@ def count(word: bytes, goto: dict[int, int], fail: list[int], popped: list[int])
 
 
 class _Seen(dict):
-    """Counts of words met before, emptied when it has grown to its bound."""
+    """Counts of words met before, emptied when there are `bound`. Words of more than `longest` bytes are counted each time, so what
+    is kept is bounded in bytes, too."""
 
-    def __init__(self, tables: tuple, bound: int = 200_000) -> None:
+    def __init__(self, tables: tuple, bound: int = 200_000, longest: int = 64) -> None:
         super().__init__()
-        self.tables, self.bound = tables, bound
+        self.tables, self.bound, self.longest = tables, bound, longest
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.bound:
-            self.clear()
-        n = self[word] = count(b" " + word, *self.tables)
+        n = count(b" " + word, *self.tables)
+        if len(word) <= self.longest:
+            if len(self) >= self.bound:
+                self.clear()
+            self[word] = n
         return n
 
 
-def read_vocabulary(path: str = VOCABULARY, most_bytes: int = 64 << 20) -> list[bytes]:
-    """Pieces of a rank file (base64 and rank a line). The file is read by the driver and must not exceed most_bytes."""
-    if os.path.getsize(path) > most_bytes:
-        raise ValueError(f"{path} has more than {most_bytes} bytes")
+def read_vocabulary(path: str = VOCABULARY) -> list[bytes]:
+    """Pieces of a rank file (base64 and rank a line), which the driver reads."""
     with open(path, "rb") as lines:
         return [base64.b64decode(x.split()[0]) for x in lines if x.strip()]
 
 
+def bounded(pieces: list[bytes], most_bytes: int = MOST_BYTES) -> list[bytes]:
+    """pieces, if a vocabulary of a model; what is broadcast must not grow with the data."""
+    if (size := sum(map(len, pieces))) > most_bytes:
+        raise ValueError(f"a vocabulary of {size} bytes is none of a model; the most is {most_bytes}")
+    return pieces
+
+
 def token_counts(docs: DataFrame, text_col: str = "text", vocabulary: str | list[bytes] = VOCABULARY) -> DataFrame:
     """docs with n_words, n_tokens and n_unknown. Words are cut at ASCII white space and matched with a space before them."""
     pieces = read_vocabulary(vocabulary) if isinstance(vocabulary, str) else vocabulary
-    shared = docs.sparkSession.sparkContext.broadcast(Automaton(pieces).tables)
+    shared = docs.sparkSession.sparkContext.broadcast(Automaton(bounded(pieces)).tables)
 
     @F.pandas_udf("n_words long, n_tokens long, n_unknown long")
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -43,12 +43,24 @@ def test_token_counts(spark, odd, none):
     pieces = set(tokens.read_vocabulary())
     got = {r["doc_id"]: r for r in queries.op2_token_counts(spark, SF).collect()}
     docs = pd.read_parquet(f"{SF}/documents.parquet")
-    for i, t in zip(docs.doc_id[:40], docs.text[:40]):
-        assert got[i]["n_tokens"] == sum(greedy(b" " + w, pieces) for w in t.encode().split())
+    known = {}
+    for i, t in zip(docs.doc_id, docs.text):
+        words = t.encode().split()
+        for w in words:
+            if w not in known:
+                known[w] = greedy(b" " + w, pieces)
+        assert (got[i]["n_words"], got[i]["n_tokens"], got[i]["n_unknown"]) == (len(words), sum(map(known.get, words)), 0)
     rows = tokens.token_counts(odd).collect()
     assert all(r["n_words"] == r["n_tokens"] == 0 for r in rows if not (r["text"] or "").strip()) and tokens.token_counts(none).count() == 0
 
 
+def test_vocabulary_and_cache_are_bounded(spark, odd):
+    with pytest.raises(ValueError, match="vocabulary"):
+        tokens.token_counts(odd, vocabulary=[b"x" * (1 << 20)] * 65)
+    seen = tokens._Seen(tokens.Automaton([b" ", b"a", b"b"]).tables, bound=3)
+    assert [seen[w] for w in (b"a", b"a" * 100, b"b", b"ab", b"ba", b"a" * 100)] == [2, 101, 2, 3, 3, 101] and len(seen) <= 3 and b"a" * 100 not in seen
+
+
 # ---- 4
 
 
@@ -136,16 +148,54 @@ def test_licenses(spark, odd, none):
     assert licenses.scan(none.withColumn("path", F.lit("a"))).count() == 0
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may
+not use this file except in compliance with the License."""
+
+
+def test_licenses_over_several_lines(spark):
+    comment = lambda t, mark: "\n".join(f"{mark} {x}" for x in t.split("\n"))
+    code = "\n\nint main() { return 0; }\n" * 20
+    texts = {"MIT": [MIT, comment(MIT, "#") + code, comment(MIT, " *") + code], "ISC": [ISC, comment(ISC, "//") + code], "Apache-2.0": [APACHE, comment(APACHE, "#") + code], "BSD-2-Clause": ["// SPDX-License-Identifier: BSD-2-Clause" + code], "EPL-2.0": ["x = 1\n# SPDX-License-Identifier: (EPL-2.0 OR MIT)"]}
+    rows = [(k, f"d{k}/x.c", t, want) for k, (want, t) in enumerate((w, t) for w, ts in texts.items() for t in ts)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string, want string")).collect()
+    assert {r["doc_id"]: r["license"] for r in got} == {k: want for k, _, _, want in rows}
+
+
+def test_rows_of_one_id_and_long_lines(spark):
+    long = "license " + " ".join(f"w{k}" for k in range(30_000))
+    rows = [(1, "a/x", "Released under the MIT License."), (1, "a/x", "Licensed under CC BY 4.0."), (1, "a/x", "Licensed under CC BY 4.0."), (None, None, "Released under the MIT License."), (2, "b/x", long)]
+    got = sorted((str(r["doc_id"]), r["license"] or "") for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect())
+    # the file in the root is a licence file, so the long one inherits from it
+    assert got == [("1", "CC-BY-4.0"), ("1", "CC-BY-4.0"), ("1", "MIT"), ("2", "MIT"), ("None", "MIT")]
+
+
 def test_license_scores_are_cosines(spark):
-    seg = spark.createDataFrame([("licensed under the MIT License", 3), ("a license", 1)], "text string, n long")
+    seg = spark.createDataFrame([("k", "licensed under the MIT License", 3), ("l", "a license", 1)], "of string, text string, n long")
     tem = spark.createDataFrame([("MIT", "Released under the MIT License."), ("CC", "Licensed under CC BY 4.0.")], "license string, text string")
     texts = {"licensed under the MIT License": 3, "a license": 1, "Released under the MIT License.": 1, "Licensed under CC BY 4.0.": 1}
     words = lambda t: re.findall(r"\w+(?:[.-]\w+)*", t.lower())
     df = Counter(w for t, n in texts.items() for w in set(words(t)) for _ in range(n))
     vec = lambda t: {w: c * (np.log((1 + 6) / (1 + df[w])) + 1) for w, c in Counter(words(t)).items()}
     cos = lambda a, b: sum(a[w] * b.get(w, 0) for w in a) / np.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+    name = {"k": "licensed under the MIT License", "l": "a license"}
     for r in licenses.scores(seg, tem).collect():
-        want = max((cos(vec(r["text"]), vec(t)), k) for k, t in (("MIT", "Released under the MIT License."), ("CC", "Licensed under CC BY 4.0.")))
+        want = max((cos(vec(name[r["of"]]), vec(t)), k) for k, t in (("MIT", "Released under the MIT License."), ("CC", "Licensed under CC BY 4.0.")))
         assert (r["score"], r["license"]) == (pytest.approx(want[0], abs=1e-6), want[1])
 
 
