@@ -50,18 +50,19 @@ def faded(df: DataFrame, keys: list[str], at: str, sums: dict[str, Column], fade
     powers stay far from the ends of a double. A block's total reaches the next ones faded by its length: where that is next to
     nothing only the block before counts, else the totals are summed in the same way, block over block."""
     block = max(1, min(most, int(-460 / math.log(fade))))
-    rows = df.withColumns({"__b": F.floor(F.col(at) / block), "__k": F.col(at) % block} | {f"__v_{n}": c.cast("double") for n, c in sums.items()})
-    w = Window.partitionBy(*keys, "__b").orderBy("__k")
-    up, down = F.pow(F.lit(fade), -F.col("__k")), F.pow(F.lit(fade), F.col("__k"))
+    b, k = f"{at}_b", f"{at}_k"
+    rows = df.withColumns({b: F.floor(F.col(at) / block), k: F.col(at) % block} | {f"__v_{n}": c.cast("double") for n, c in sums.items()})
+    w = Window.partitionBy(*keys, b).orderBy(k)
+    up, down = F.pow(F.lit(fade), -F.col(k)), F.pow(F.lit(fade), F.col(k))
     rows = rows.withColumns({f"__i_{n}": F.sum(F.col(f"__v_{n}") * up).over(w) * down for n in sums})
-    totals = rows.groupBy(*keys, "__b").agg(*[F.sum(F.col(f"__v_{n}") * F.pow(F.lit(fade), (block - 1) - F.col("__k"))).alias(f"__t_{n}") for n in sums])
+    totals = rows.groupBy(*keys, b).agg(*[F.sum(F.col(f"__v_{n}") * F.pow(F.lit(fade), (block - 1) - F.col(k))).alias(f"__t_{n}") for n in sums])
     step = fade**block
     if step > 1e-30:
-        totals = faded(totals, keys, "__b", {f"__t_{n}": F.col(f"__t_{n}") for n in sums}, step, most)
-    past = totals.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], (F.col("__b") + 1).alias("__n"), *[F.col(f"__t_{n}") for n in sums])
-    same = rows["__b"] == past["__n"]
-    for i, k in enumerate(keys):
-        same = same & rows[k].eqNullSafe(past[f"__k{i}"])
-    more = F.pow(F.lit(fade), F.col("__k") + 1)
+        totals = faded(totals, keys, b, {f"__t_{n}": F.col(f"__t_{n}") for n in sums}, step, most)
+    past = totals.select(*[F.col(x).alias(f"__k{i}") for i, x in enumerate(keys)], (F.col(b) + 1).alias("__n"), *[F.col(f"__t_{n}") for n in sums])
+    same = rows[b] == past["__n"]
+    for i, x in enumerate(keys):
+        same = same & rows[x].eqNullSafe(past[f"__k{i}"])
+    more = F.pow(F.lit(fade), F.col(k) + 1)
     outs = [(F.col(f"__i_{n}") + F.coalesce(F.col(f"__t_{n}"), F.lit(0.0)) * more).alias(n) for n in sums]
     return rows.join(past, same, "left").select(*[c for c in df.columns if c not in sums], *outs)

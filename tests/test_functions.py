@@ -53,6 +53,15 @@ def test_rewards(spark):
 def test_percentiles(spark):
     df = spark.createDataFrame([(3.0, 1.0), (2.0, 1.0), (1.0, 1.0)], "v double, w double")
     assert df.select(stats.percentile(F.col("v"), [0, 0.5, 1])).first()[0] == [1, 2, 3]
+    from banditframe.plans.ranks import percentiles
+
+    many = spark.range(500).select((F.col("id") % 2).alias("k"), (F.col("id") * 37 % 101).cast("double").alias("v"), (F.col("id") % 3 + 1).alias("t")).union(spark.sql("SELECT 0L, CAST(NULL AS DOUBLE), 1L"))
+    ps = [0.0, 0.05, 0.5, 0.77, 1.0]
+    want = {r["k"]: r["p"] for r in many.groupBy("k").agg(stats.percentile(F.col("v"), ps).alias("p")).collect()}
+    assert {r["k"]: r["p"] for r in percentiles(many, ["k"], "v", ps).collect()} == {k: pytest.approx(p) for k, p in want.items()}
+    often = {r["k"]: r["p"] for r in many.groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, ps)), F.col("t")).alias("p")).collect()}
+    assert {r["k"]: r["p"] for r in percentiles(many, ["k"], "v", ps, times=F.col("t")).collect()} == {k: pytest.approx(p) for k, p in often.items()}
+    assert percentiles(many, [], "v", [0.5]).first()[0] == [many.agg(F.median("v")).first()[0]]
     one = df.withColumn("k", F.lit(1))
     assert stats.weighted_percentile(one, ["k"], "v", "w", 0.25).first()["v"] == pytest.approx(1.5)
     part = spark.createDataFrame([(1, 3.0, 1.0), (1, 2.0, 1.0), (1, 1.0, 0.0)], "k int, v double, w double")
@@ -68,6 +77,23 @@ def test_intervals(spark):
     assert tuple(got) == pytest.approx((0.118117, 0.881883), abs=1e-5)
     assert tuple(spark.range(1).select(*stats.clopper_pearson(F.lit(0), F.lit(4))).first())[0] == 0.0
     assert stats.z_of(0.95) == 1.96044921875
+    large = spark.createDataFrame([(500_000, 1_000_000), (1_000_000, 1_000_000), (3, 1_000_000)], "k long, n long").select("k", *[c.alias(n) for n, c in zip(("low", "high"), stats.clopper_pearson(F.col("k"), F.col("n")))]).collect()
+    assert [(r["low"], r["high"]) for r in large] == [pytest.approx(x, abs=2e-6) for x in ((0.49902, 0.50098), (0.999996, 1.0), (6.2e-7, 8.77e-6))]
+
+
+def test_beta_quantiles_invert_sums():
+    for n, k, p in ((12, 4, 0.3), (40, 39, 0.9), (7, 1, 0.5)):
+        tail = sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k, n + 1))
+        assert float(stats.incomplete_beta(p, k, n - k + 1)) == pytest.approx(tail)
+
+
+def test_bootstrap_of_equal_values(spark):
+    """Rows of two values only: each row has a weight of its own."""
+    df = spark.range(1000).select(F.lit("a").alias("k"), (F.col("id") % 2).cast("double").alias("y"))
+    r = stats.points(df, ["k"], "y", "bs").first()
+    assert r["y"] == 0.5 and 0.025 < r["lower"] < 0.037 and 0.025 < r["upper"] < 0.037
+    few = stats.points(df.limit(2), ["k"], "y", "bs").first()
+    assert (few["lower"], few["upper"]) == (0, 0)
     with pytest.raises(Exception, match="0 and 1"):
         spark.createDataFrame([(2,)], "v int").agg(stats.wilson_ci(F.col("v"))["y"]).collect()
 

@@ -12,76 +12,99 @@ def result(spark, ints, envs=None, lrns=None, vals=None, env_cols="environment_i
     return R.Result(envs, lrns, vals, facts)
 
 
-CURVES = [(0, 1, 0, 1, 1.0), (0, 1, 0, 2, 2.0), (0, 2, 0, 1, 1.0), (0, 2, 0, 2, 3.0), (1, 1, 0, 1, 1.0), (1, 1, 0, 2, 2.0), (1, 2, 0, 1, 2.0), (1, 2, 0, 2, 4.0)]
+CURVES = [(e, x, 0, i, float(e + x * i * i)) for e in (3, 5) for x in (4, 6) for i in (1, 2, 3)]
 
 
 def test_progressive_curves(spark):
-    r = result(spark, CURVES, lrns=[(1, "learner_1"), (2, "learner_2")], lrn_cols="learner_id int, family string")
+    r = result(spark, CURVES, lrns=[(4, "slow"), (6, "fast")], lrn_cols="learner_id int, family string")
     wide = {row["index"]: row.asDict() for row in r.raw_learners(l="full_name", wide=True).collect()}
-    assert wide[1]["1. learner_1"] == [1, 1] and wide[2]["1. learner_1"] == [1.5, 1.5]
-    assert wide[1]["2. learner_2"] == [1, 2] and wide[2]["2. learner_2"] == [2, 3]
+    for x, name in ((4, "4. slow"), (6, "6. fast")):
+        for i in (1, 2, 3):
+            assert wide[i][name] == pytest.approx([e + x * sum(k * k for k in range(1, i + 1)) / i for e in (3, 5)])
+
+
+def test_wide_lists_keep_their_order_and_gaps(spark):
+    ints = [(9, 1, 0, 1, 5.0), (2, 1, 0, 1, 8.0), (2, 2, 0, 1, 1.0)]
+    r = result(spark, ints, envs=[(9, "a"), (2, "a"), (4, "b")], env_cols="environment_id int, kind string")
+    more = result(spark, [*ints, (4, 2, 0, 1, 6.0)], envs=[(9, "a"), (2, "a"), (4, "b")], env_cols="environment_id int, kind string")
+    assert [tuple(x) for x in r.raw_learners(x="kind", p=None, wide=True).collect()] == [("a", [8.0, 5.0], [1.0])]
+    a, b = more.raw_learners(x="kind", p=None, wide=True).collect()
+    assert tuple(a) == ("a", [8.0, 5.0], [1.0]) and b["2"] == [6.0] and str(b["1"]) == "[nan]"
 
 
 def test_contrast_by_index(spark):
-    ints = [(e, x, 0, i, float(i)) for e in (0, 1) for x in (1, 2) for i in (1, 2)]
+    ints = [(e, x, 0, i, float(x * i + e)) for e in (7, 8) for x in (1, 2) for i in (1, 2)]
     got = sorted(tuple(r) for r in result(spark, ints).raw_contrast(1, 2, x="index").collect())
-    assert got == [(1, 1.0, 1.0), (1, 1.0, 1.0), (2, 1.5, 1.5), (2, 1.5, 1.5)]
+    assert got == [(1, 8.0, 9.0), (1, 9.0, 10.0), (2, 8.5, 10.0), (2, 9.5, 11.0)]
     with pytest.raises(ValueError, match="both sides"):
         result(spark, ints).raw_contrast(1, [1, 2])
 
 
 def test_length_filter(spark):
-    ints = [(1, 1, 1, 1, 1.0), (1, 1, 1, 2, 2.0), (1, 2, 1, 1, 1.0), (1, 2, 1, 2, 2.0), (1, 2, 1, 3, 3.0), (2, 1, 1, 1, 1.0), (2, 2, 1, 1, 1.0), (2, 3, 2, 1, 1.0)]
-    r = result(spark, ints).filter_fin(n=2)
-    assert [d.count() for d in (r.environments, r.learners, r.evaluators, r.interactions)] == [1, 2, 1, 4]
+    long = {(5, 2, 3): 3, (5, 6, 3): 4, (8, 2, 3): 2, (8, 9, 4): 1}
+    r = result(spark, [(*t, i, 0.5) for t, n in long.items() for i in range(1, n + 1)]).filter_fin(n=3)
+    assert [d.count() for d in (r.environments, r.learners, r.evaluators, r.interactions)] == [1, 2, 1, 6]
 
 
 def test_pairing_finds_nothing(spark):
-    r = result(spark, [(1, 1, 1, 0, None), (2, 2, 1, 0, None)]).filter_fin(l="learner_id", p="environment_id")
+    r = result(spark, [(5, 2, 3, 1, None), (8, 6, 3, 1, None)]).filter_fin(l="learner_id", p="environment_id")
     assert [d.count() for d in (r.environments, r.learners, r.interactions)] == [0, 0, 0]
 
 
 def test_pairing_counts_rows(spark):
-    ints = [(1, 1, 1, 0, None), (1, 2, 1, 0, None), (2, 1, 1, 0, None), (2, 2, 1, 0, None)]
-    r = result(spark, ints, envs=[(1, 2, 1), (2, 2, 2)], env_cols="environment_id int, data_id int, seed int")
-    assert r.filter_fin(l="learner_id", p="data_id").interactions.count() == 0
-    assert {tuple(x) for x in r.removed(l="learner_id", p="data_id").collect()} == {("more than one existed", 1), ("did not exist", 0)}
+    ints = [(e, x, 3, 1, None) for e in (5, 8, 9) for x in (2, 6)][:-1]
+    r = result(spark, ints, envs=[(5, "k", 1), (8, "k", 2), (9, "l", 1)], env_cols="environment_id int, kind string, seed int")
+    assert r.filter_fin(l="learner_id", p="kind").interactions.count() == 0
+    assert {tuple(x) for x in r.removed(l="learner_id", p="kind").collect()} == {("too many", 1), ("too few", 1)}
 
 
 def test_best_of_family(spark):
-    ints = [(1, 1, 1, 0, 1.0), (1, 2, 1, 0, 0.0), (2, 1, 1, 0, 0.0), (2, 2, 1, 0, 1.0)]
-    r = result(spark, ints, lrns=[(1, "a"), (2, "a")], lrn_cols="learner_id int, family string").filter_best("family", "environment_id")
-    assert sorted(tuple(x) for x in r.interactions.collect()) == [(1, 1, 1, 0, 1.0), (2, 2, 1, 0, 1.0)]
+    ints = [(5, 2, 3, 1, 0.9), (5, 6, 3, 1, 0.2), (8, 2, 3, 1, 0.1), (8, 6, 3, 1, 0.4)]
+    r = result(spark, ints, lrns=[(2, "tree"), (6, "tree")], lrn_cols="learner_id int, family string").filter_best("family", "environment_id")
+    assert sorted(tuple(x) for x in r.interactions.collect()) == [(5, 2, 3, 1, 0.9), (8, 6, 3, 1, 0.4)]
 
 
 def test_where(spark):
-    df = spark.createDataFrame([("1", "b", "c"), ("2", "b", "C"), ("3", "B", "c"), ("4", "B", "C")], "a string, b string, c string")
-    assert [r["a"] for r in R.where(df, b="b", c="C").orderBy("a").collect()] == ["1", "2", "4"]
-    ab = spark.createDataFrame([("a", "b"), ("A", "B"), ("1", "C")], "a string, b string")
-    assert [tuple(r) for r in R.where(ab, a=["a", "1"], comparison="!in").collect()] == [("A", "B")]
+    df = spark.createDataFrame([(1, "red", "tall"), (2, "red", "small"), (3, "blue", "tall"), (4, "blue", "small")], "id int, colour string, size string")
+    assert [r["id"] for r in R.where(df, colour="red", size="small").orderBy("id").collect()] == [1, 2, 4]
+    assert [r["id"] for r in R.where(df, id=[1, 2, 3], comparison="!in").collect()] == [4]
     with pytest.raises(ValueError, match="no table"):
         result(spark, CURVES).where(nothing=1)
 
 
-def test_moving_averages(spark):
-    def mean(values, **kw):
-        df = spark.createDataFrame([(1, 1, 1, i, float(v)) for i, v in enumerate(values, 1)], "environment_id int, learner_id int, evaluator_id int, index long, reward double")
-        if kw.pop("half", False):
-            df, kw = df.withColumn("w", F.lit(0.5)), kw | {"weights": "w"}
-        return [round(r["mean"], 6) for r in R.moving_average(df, "reward", **kw).orderBy("index").collect()]
-
-    v = [0, 1, 0, 0, 1]
-    assert mean(v, span=1) == v
-    assert mean(v, span=2) == [0, 0.5, 0.5, 0, 0.5] == mean(v, span=2, half=True)
-    assert mean(v, span=None) == [round(x, 6) for x in (0, 1 / 2, 1 / 3, 1 / 4, 2 / 5)] == mean(v, span=6)
-    assert [round(x, 2) for x in mean([1, 2, 3, 4], span=2, weights="exp")] == [1, 1.75, 2.62, 3.55]
-
-
-def test_exponential_blocks_agree(spark):
-    df = spark.range(1, 101).select(*[F.lit(1).alias(k) for k in R.TRIPLE], F.col("id").alias("index"), (F.col("id") % 7).cast("double").alias("reward"))
-    a = [r["mean"] for r in R.exponential(df, "reward", 9, block=7).orderBy("index").collect()]
-    b = [r["mean"] for r in R.exponential(df, "reward", 9, block=1000).orderBy("index").collect()]
-    assert a == pytest.approx(b)
+def plain_mean(v, span=None, weights=None):
+    out = []
+    for k in range(len(v)):
+        if weights == "exp":
+            w = [(1 - 2 / (1 + span)) ** (k - j) for j in range(k + 1)]
+        else:
+            w = [0 if span and j <= k - span else weights[j] if weights else 1 for j in range(k + 1)]
+        out.append(sum(a * b for a, b in zip(w, v)) / sum(w))
+    return out
+
+
+@pytest.mark.parametrize("gap", [1, 3])
+def test_moving_averages(spark, gap):
+    v, w = [4, 1, 0, 7, 3, 3, 9, 2], [1, 2, 1, 3, 5, 1, 1, 2]
+    df = spark.createDataFrame([(1, 1, 1, 2 + gap * i, float(a), float(b)) for i, (a, b) in enumerate(zip(v, w))], "environment_id int, learner_id int, evaluator_id int, index long, reward double, w double")
+    mean = lambda **kw: [r["mean"] for r in R.moving_average(df, "reward", **kw).orderBy("index").collect()]
+    for span in (None, 1, 2, 3, 20):
+        assert mean(span=span) == pytest.approx(plain_mean(v, span))
+        assert mean(span=span, weights="w") == pytest.approx(plain_mean(v, span, w))
+    for span in (2, 5, 1000):
+        assert mean(span=span, weights="exp") == pytest.approx(plain_mean(v, span, "exp"))
+
+
+@pytest.mark.parametrize("span", [2, 9, 100, 100_000])
+def test_exponential_blocks_agree(spark, span):
+    from banditframe.plans.prefix import faded
+
+    v = [float(k % 7) for k in range(300)]
+    df = spark.createDataFrame([(1, k, x) for k, x in enumerate(v)], "k int, at long, v double")
+    want = plain_mean(v, span, "exp")
+    for most in (4, 1 << 14):
+        rows = faded(df, ["k"], "at", {"s": F.col("v"), "w": F.lit(1.0)}, 1 - 2 / (1 + span), most)
+        assert [r["s"] / r["w"] for r in rows.orderBy("at").collect()] == pytest.approx(want)
 
 
 def test_blocks_of_running_sums_agree(spark):
