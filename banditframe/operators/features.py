@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from banditframe.functions.encoders import bucket, levels, onehot
+from banditframe.plans.index import with_index
 
 
 def repr_actions(df: DataFrame, how: str = "onehot", column: str = "actions") -> DataFrame:
@@ -56,9 +57,9 @@ def dense_hashed(m: Column, n: int) -> Column:
 def slots(df: DataFrame, m: str, n: int, order: list[str], seed: int = 1) -> DataFrame:
     """(key, slot): keys in order of first appearance get the next of n slots, in an order shuffled by hash, again and again.
 
-    The dictionary has a row for each feature name, found by an aggregation; its numbering sorts names only."""
+    The dictionary has a row for each feature name, found by an aggregation and numbered over a range partitioning."""
     first = df.select(*order, F.explode(F.map_keys(m)).alias("key")).groupBy("key").agg(F.min(F.struct(*order)).alias("o"))
-    ranked = first.select("key", ((F.row_number().over(Window.orderBy("o", "key")) - 1) % n).alias("r"))
+    ranked = with_index(first, [], ["o", "key"], "r").select("key", (F.col("r") % n).alias("r"))
     spark = df.sparkSession
     shuffled = spark.range(n).select((F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), "id"), "id")) - 1).alias("r"), F.col("id").cast("int").alias("slot"))
     return ranked.join(shuffled, "r").select("key", "slot")

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from banditframe.plans.index import with_index
+
 
 def first_appearance(df: DataFrame, keys: list[str], order: list[str], name: str, start: int = 0) -> DataFrame:
-    """(keys, name): distinct keys numbered by their first row in the order. The window is over distinct keys only."""
-    first = df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("__first"))
-    return first.withColumn(name, (F.row_number().over(Window.orderBy("__first")) - 1 + start).cast("int")).drop("__first")
+    """(keys, name): distinct keys numbered by their first row in the order, over a range partitioning."""
+    first = df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("__seen"))
+    return with_index(first, [], ["__seen"], name, start).withColumn(name, F.col(name).cast("int")).drop("__seen")
 
 
 def triples(environments: DataFrame, learners: DataFrame, evaluators: DataFrame) -> DataFrame:
