@@ -52,7 +52,7 @@ def a17_bootstrap_curves(spark, d):
     return out.select("learner_id", "data_id", F.round("y", 6).alias("y"), ((F.col("lower") >= 0) & (F.col("upper") >= 0) & (F.col("lower") + F.col("upper") < 1)).alias("inside"))
 
 
-@query(f"{MEANS}, s AS (SELECT learner_id, data_id, round(avg(y), 6) AS y, round(min(y), 6) AS low, round(max(y), 6) AS high FROM m JOIN envs USING (environment_id) GROUP BY ALL) SELECT learner_id, data_id, y, round(y - low, 5) AS lower, round(high - y, 5) AS upper FROM s")
+@query(f"{MEANS}, s AS (SELECT learner_id, data_id, avg(y) AS y, min(y) AS low, max(y) AS high FROM m JOIN envs USING (environment_id) GROUP BY ALL) SELECT learner_id, data_id, round(y, 6) AS y, round(y - low, 5) AS lower, round(high - y, 5) AS upper FROM s")
 def d5_custom_interval(spark, d):
     """An interval of one's own: from the least to the largest value."""
     reach = lambda y: {"y": F.avg(y), "lower": F.avg(y) - F.min(y), "upper": F.max(y) - F.avg(y)}
