@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from banditframe.llm import decontaminate, licenses, mixing, ogg, pii, quality, simhash, tokens, urls, wrappers
+from banditframe.llm import decontaminate, licenses, mixing, negatives, ogg, pii, quality, simhash, tokens, urls, wrappers
 from banditframe.llm.common import table
 
 
@@ -101,10 +101,27 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, labels, keep_text=False)
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each hundredth row asks; each seventh row's label is taken for the next one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+OP11_SQL = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS q FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_inner_product(a.q, r.q)::BIGINT AS score FROM e a JOIN e r ON a.vec_id % 100 = 0 AND r.vec_id <> a.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT * FROM n WHERE rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_mixing, op2_token_counts, op3_pii, op4_simhash, op5_licenses, op6_wrappers, op7_decontamination, op8_ogg, op9_url_lists, op10_quality]
+    found = [op1_mixing, op2_token_counts, op3_pii, op4_simhash, op5_licenses, op6_wrappers, op7_decontamination, op8_ogg, op9_url_lists, op10_quality, op11_negatives]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_lists": OP9_SQL}
+    return {"op9_url_lists": OP9_SQL, "op11_negatives": OP11_SQL}
