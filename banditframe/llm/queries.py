@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from zlib import crc32
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from banditframe.llm import decontaminate, licenses, mixing, negatives, ogg, pii, quality, simhash, tokens, urls, wrappers
+from banditframe.llm import decontaminate, licenses, manifest, mixing, negatives, ogg, pii, quality, simhash, tokens, urls, wrappers
 from banditframe.llm.common import table
 
 
@@ -118,10 +119,58 @@ SELECT * FROM n WHERE rank <= 10
 """
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest, and what it says to a table in which some texts have been lower-cased."""
+    docs = table(spark, sf_dir, "documents")
+    text = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(F.col("text"))
+    presented = manifest.leaf([text if c == "text" else F.col(c) for c in manifest.FIELDS])
+    found = manifest.manifest(docs, presented=presented)
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _crc_sql(digits: int = 19) -> str:
+    """crc(doc_id, v): CRC-32 is linear in its input but for a constant: tables of each length's crc of zeros, and of what a digit
+    adds at each distance from the end."""
+    zero = {n: crc32(b"0" * n) for n in range(1, digits + 1)}
+    ends = ", ".join(f"({n}, {v})" for n, v in zero.items())
+    adds = ", ".join(f"({n}, '{d}', {crc32(f'{d}'.encode() + b'0' * (n - 1)) ^ zero[n]})" for n in range(1, digits + 1) for d in range(10))
+    return f"""zeros(n, v) AS (VALUES {ends}), adds(n, digit, v) AS (VALUES {adds}),
+ids AS (SELECT DISTINCT doc_id, doc_id::VARCHAR AS s FROM documents WHERE doc_id IS NOT NULL),
+chars AS (SELECT doc_id, s, unnest(range(1, length(s) + 1)) AS k FROM ids),
+crc AS (SELECT doc_id, xor(bit_xor(a.v::BIGINT), any_value(z.v)::BIGINT) AS v FROM chars JOIN adds a ON a.n = length(s) - k + 1 AND a.digit = s[k] JOIN zeros z ON z.n = length(s) GROUP BY doc_id)"""
+
+
+def _merkle_sql(levels: int = 7, above: int = 3) -> str:
+    """levels within a language (8^7 documents) and above (8^3 languages), unrolled."""
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+    head = "sha256(" + " || ".join(map(field, ["doc_id", "source", "lang", "n_chars"])) + " || "
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    sql = f"""WITH {_crc_sql()},
+docs AS (SELECT doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, {head}{field('text')}) AS leaf, {head}CASE WHEN crc.v % 3 = 0 THEN {field(low)} ELSE {field('text')} END) AS shown
+    FROM documents LEFT JOIN (SELECT doc_id AS id, v FROM crc) crc ON doc_id = id),
+l0 AS (SELECT doc_id, leaf, shown, g, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM docs),
+n0 AS (SELECT g, i, leaf AS h, count(*) OVER (PARTITION BY g) AS n FROM l0)"""
+    for k in range(levels + above):
+        if k == levels:
+            sql += f",\nn{k} AS (SELECT 0 AS g, g AS i, h, count(*) OVER () AS n FROM m{k})"
+        nxt = f"m{k + 1}" if k + 1 == levels else f"n{k + 1}"
+        sql += f""",
+s{k} AS (SELECT g, i, n, coalesce(string_agg(h, '') OVER (PARTITION BY g, i // 8 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+    coalesce(string_agg(h, '') OVER (PARTITION BY g, i // 8 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b FROM n{k}),
+{nxt} AS (SELECT g, i, h, count(*) OVER (PARTITION BY g) AS n FROM (SELECT g, i // 8 AS i, CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h FROM n{k} GROUP BY g, i // 8))"""
+    sql += ",\nw0 AS (SELECT doc_id, leaf, g, i, shown AS x, '' AS p FROM l0)"
+    for k in range(levels + above):
+        at = f"w{k}.g AND s{k}.i = w{k}.i" if k != levels else f"0 AND s{k}.i = w{k}.g"
+        up = f"w{k}.g, w{k}.i // 8 AS i" if k < levels else f"0 AS g, s{k}.i // 8 AS i"
+        sql += f",\nw{k + 1} AS (SELECT doc_id, leaf, w{k}.g AS own, {up}, CASE WHEN s{k}.n = 1 THEN x ELSE sha256(a || x || b) END AS x, p || a || b AS p{', subroot' if k > levels else f', m{levels}.h AS subroot' if k == levels else ''} FROM w{k} JOIN s{k} ON s{k}.g = {at}{f' JOIN m{levels} ON m{levels}.g = w{k}.g' if k == levels else ''})"
+    last = levels + above
+    return sql + f"\nSELECT doc_id, leaf, subroot, h AS root, sha256(p) AS proof_sha256, x AS folded_root, x = h AS verified FROM w{last}, n{last}"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_mixing, op2_token_counts, op3_pii, op4_simhash, op5_licenses, op6_wrappers, op7_decontamination, op8_ogg, op9_url_lists, op10_quality, op11_negatives]
+    found = [op1_mixing, op2_token_counts, op3_pii, op4_simhash, op5_licenses, op6_wrappers, op7_decontamination, op8_ogg, op9_url_lists, op10_quality, op11_negatives, op12_merkle]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_lists": OP9_SQL, "op11_negatives": OP11_SQL}
+    return {"op9_url_lists": OP9_SQL, "op11_negatives": OP11_SQL, "op12_merkle": _merkle_sql()}
