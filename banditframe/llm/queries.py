@@ -8,7 +8,7 @@ from zlib import crc32
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from banditframe.llm import decontaminate, licenses, manifest, mixing, negatives, ogg, pii, quality, simhash, tokens, urls, wrappers
+from banditframe.llm import decontaminate, licenses, manifest, mixing, negatives, ogg, pii, quality, simhash, tokens, toxicity, urls, wrappers
 from banditframe.llm.common import table
 
 
@@ -167,8 +167,13 @@ s{k} AS (SELECT g, i, n, coalesce(string_agg(h, '') OVER (PARTITION BY g, i // 8
     return sql + f"\nSELECT doc_id, leaf, subroot, h AS root, sha256(p) AS proof_sha256, x AS folded_root, x = h AS verified FROM w{last}, n{last}"
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.score(docs, labels, lambda i: F.crc32(i.cast("string")) % 5 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_mixing, op2_token_counts, op3_pii, op4_simhash, op5_licenses, op6_wrappers, op7_decontamination, op8_ogg, op9_url_lists, op10_quality, op11_negatives, op12_merkle]
+    found = [op1_mixing, op2_token_counts, op3_pii, op4_simhash, op5_licenses, op6_wrappers, op7_decontamination, op8_ogg, op9_url_lists, op10_quality, op11_negatives, op12_merkle, op13_toxicity]
     return {f.__name__: f for f in found}
 
 
