@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from banditframe.operators import ope, policy, reshape
+from banditframe.operators import learning, ope, policy, reshape
 from banditframe.plans import data
 from banditframe.plans.data import LOGGED, TYPES, draw_sql
 
@@ -219,3 +219,55 @@ def e13_required_columns(spark, d):
     ev, log = data.table(spark, d, "events"), _log(spark, d)
     rows = [(m, ",".join(sorted(ope.lacking(ev, m)))) for m in ope.NEEDS] + [("ips of a log", ",".join(ope.lacking(log, "ips")))]
     return spark.createDataFrame(rows, "mode string, lacking string")
+
+
+def _epsilon_learner(epsilon: float) -> learning.Learner:
+    """A user's policy: counts and sums of rewards; epsilon over all actions, the rest over the best."""
+
+    def update(state: dict, row: dict) -> dict:
+        n, s = state.get(row["action"], (0, 0.0))
+        return state | {row["action"]: (n + 1, s + row["reward"])}
+
+    def merge(a: dict, b: dict) -> dict:
+        return {k: tuple(x + y for x, y in zip(a.get(k, (0, 0.0)), b.get(k, (0, 0.0)))) for k in a | b}
+
+    def predict(state: dict, row: dict) -> list[float]:
+        value = [state[a][1] / state[a][0] if a in state else float("-inf") for a in row["actions"]]
+        best = [v == max(value) for v in value]
+        return [epsilon / len(value) + (1 - epsilon) * b / sum(best) for b in best]
+
+    return learning.Learner(dict, update, merge, predict)
+
+
+@query(f"WITH {LOGGED}, {EPS} SELECT env_id, idx, list(round(p, 6) ORDER BY cand) AS pmf FROM pm GROUP BY ALL")
+def d3_learning_policy(spark, d):
+    """A policy of a user's own that learns: the epsilon-greedy one, in blocks of 128 rows."""
+    out = learning.learned(_log(spark, d), _epsilon_learner(0.1), block=128)
+    return out.select("env_id", "idx", F.transform("pmf", lambda p: F.round(p, 6)).alias("pmf"))
+
+
+def _fading_learner(fade: float) -> learning.Learner:
+    """A user's policy whose state depends on order: (rows, counts that fade with each row)."""
+
+    def update(state: tuple, row: dict) -> tuple:
+        n, counts = state
+        faded = {k: v * fade for k, v in counts.items()}
+        return n + 1, faded | {row["action"]: faded.get(row["action"], 0.0) + 1}
+
+    def merge(a: tuple, b: tuple) -> tuple:
+        return a[0] + b[0], {k: a[1].get(k, 0.0) * fade ** b[0] + b[1].get(k, 0.0) for k in a[1] | b[1]}
+
+    def predict(state: tuple, row: dict) -> list[float]:
+        weights = [1 + state[1].get(a, 0.0) for a in row["actions"]]
+        return [w / sum(weights) for w in weights]
+
+    return learning.Learner(lambda: (0, {}), update, merge, predict)
+
+
+@query(f"""WITH RECURSIVE {LOGGED}, st AS (SELECT env_id, idx, action, [0.0, 0.0, 0.0, 0.0, 0.0]::DOUBLE[] AS c FROM logged WHERE idx = 0 UNION ALL
+SELECT l.env_id, l.idx, l.action, [x * 0.9 + (actions[i] = st.action)::INT for x, i in c] FROM st JOIN logged l ON l.env_id = st.env_id AND l.idx = st.idx + 1)
+SELECT env_id, idx, [round((1 + x) / (5 + list_sum(c)), 6) for x in c] AS pmf FROM st""")
+def d3_fading_policy(spark, d):
+    """A policy of a user's own whose state fades, so that its blocks merge in order."""
+    out = learning.learned(_log(spark, d), _fading_learner(0.9), block=100)
+    return out.select("env_id", "idx", F.transform("pmf", lambda p: F.round(p, 6)).alias("pmf"))
