@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from banditframe.plans.index import with_index
+from banditframe.plans.prefix import running
+from banditframe.plans.ranks import percentiles
+from banditframe.plans.tables import cut
 
 
 def var(y: Column) -> Column:
@@ -20,13 +27,27 @@ def stdev(y: Column) -> Column:
     return F.coalesce(F.stddev_samp(y), F.when(F.count(y) > 0, F.lit(float("nan"))))
 
 
-def percentile(y: Column, p: float | list[float]) -> Column:
-    """Exact, with linear interpolation at p * (n - 1)."""
-    return F.percentile(y, F.array(*[F.lit(float(x)) for x in p]) if isinstance(p, list) else F.lit(float(p)))
+def percentile(df: DataFrame, keys: list[str], value: str, p: float | list[float], out: str = "p") -> DataFrame:
+    """(keys, out): exact, with linear interpolation at p * (n - 1); an array for a list of p. Ranks come from a range partitioning,
+    so a group of any size spreads over many tasks."""
+    found = percentiles(df, keys, value, p if isinstance(p, list) else [p], out)
+    return found if isinstance(p, list) else found.withColumn(out, F.col(out)[0])
+
+
+def iqr(df: DataFrame, keys: list[str], value: str, out: str = "iqr") -> DataFrame:
+    """(keys, out): the width of the middle half; 0 for one value."""
+    return percentile(df, keys, value, [0.25, 0.75], out).withColumn(out, F.col(out)[1] - F.col(out)[0])
 
 
-def iqr(y: Column) -> Column:
-    return F.when(F.count(y) <= 1, 0.0).otherwise(percentile(y, 0.75) - percentile(y, 0.25))
+def _beside(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """a with the columns of b's row of the same keys, null being a key."""
+    other = b.withColumnsRenamed({k: f"__of_{k}" for k in keys})
+    if not keys:
+        return a.crossJoin(other)
+    same = F.lit(True)
+    for k in keys:
+        same = same & a[k].eqNullSafe(other[f"__of_{k}"])
+    return a.join(other, same).drop(*[f"__of_{k}" for k in keys])
 
 
 def mode_first(df: DataFrame, keys: list[str], value: str, idx: str) -> DataFrame:
@@ -37,17 +58,21 @@ def mode_first(df: DataFrame, keys: list[str], value: str, idx: str) -> DataFram
 
 def weighted_percentile(df: DataFrame, keys: list[str], value: str, weight: str, p: float) -> DataFrame:
     """(keys, value): interpolated between the values whose cumulative weights enclose p. Cumulative weight starts at 0 with
-    the least value and leaves its weight out; values of weight zero are dropped first."""
-    w = Window.partitionBy(*keys).orderBy(value)
+    the least value and leaves its weight out; values of weight zero are dropped first.
+
+    Distinct values are numbered over a range partitioning and their weights summed in blocks; what encloses p is then the last value
+    at or below p and the first one above, two aggregates, so no task holds a key's values."""
     one = df.filter(F.col(weight) > 0).groupBy(*keys, value).agg(F.sum(weight).alias("__w"))
-    every = Window.partitionBy(*keys)
-    at = one.withColumns({"__c": F.sum("__w").over(w), "__low": F.min(F.struct(value, "__w")).over(every)["__w"], "__all": F.sum("__w").over(every)})
-    at = at.withColumn("__c", F.try_divide(F.col("__c") - F.col("__low"), F.col("__all") - F.col("__low")))
-    at = at.withColumns({"__next": F.lead(value).over(w), "__d": F.lead("__c").over(w)})
-    inside = (F.col("__c") <= p) & (F.col("__d") > p)
-    between = F.col(value) + (F.col("__next") - F.col(value)) * F.try_divide(p - F.col("__c"), F.col("__d") - F.col("__c"))
-    last = F.max(F.when(F.col("__c").isNull() | (F.col("__c") <= p), F.col(value)))
-    return at.groupBy(*keys).agg(F.coalesce(F.max(F.when(inside, between)), last).alias(value))
+    numbered = with_index(one, keys, [value], "__at")
+    upto = cut(running(numbered, keys, "__at", {"__to": F.col("__w").cast("double")}).select(*keys, value, "__to"))
+    ends = upto.groupBy(*keys).agg(F.min(F.struct(value, "__to")).alias("__first"), F.max("__to").alias("__all"))
+    least = F.col("__first")["__to"]
+    at = _beside(upto, ends, keys).withColumn("__c", F.try_divide(F.col("__to") - least, F.col("__all") - least))
+    low = F.max(F.when(F.col("__c").isNull() | (F.col("__c") <= p), F.struct("__c", value)))
+    high = F.min(F.when(F.col("__c") > p, F.struct("__c", value)))
+    found = at.groupBy(*keys).agg(low.alias("__l"), high.alias("__h"))
+    between = F.col("__l")[value] + (F.col("__h")[value] - F.col("__l")[value]) * F.try_divide(p - F.col("__l")["__c"], F.col("__h")["__c"] - F.col("__l")["__c"])
+    return found.select(*keys, F.coalesce(between, F.col("__l")[value]).alias(value))
 
 
 def phi(x: float) -> float:
@@ -55,13 +80,15 @@ def phi(x: float) -> float:
 
 
 def normal(x: Column) -> Column:
-    """phi of a column."""
-
-    @F.pandas_udf("double")
-    def each(xs: pd.Series) -> pd.Series:
-        return xs.map(phi, na_action="ignore")
-
-    return each(x.cast("double"))
+    """phi of a column: by the sum of odd powers near 0, and farther out by the continued fraction of the tail, both to the digits of a
+    double."""
+    x = x.cast("double")
+    square, far = x * x, F.abs(x)
+    density = F.exp(-square / 2) / math.sqrt(2 * math.pi)
+    step = lambda a, k: F.struct((a["t"] * square / (2 * k + 1)).alias("t"), (a["s"] + a["t"] * square / (2 * k + 1)).alias("s"))
+    near = 0.5 + density * F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(x.alias("t"), x.alias("s")), step, lambda a: a["s"])
+    tail = density / F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), far, lambda a, k: far + k / a)
+    return F.when(far <= 4, near).otherwise(F.when(x > 0, 1 - tail).otherwise(tail))
 
 
 def z_of(confidence: float) -> float:
@@ -147,35 +174,63 @@ def clopper_pearson(k: Column, n: Column, confidence: float = 0.95) -> tuple[Col
     return F.round(both["low"], 6), F.round(both["high"], 6)
 
 
-def bootstrap_ci(df: DataFrame, keys: list[str], y: str, confidence: float = 0.95, reps: int = 1000, seed: int = 1) -> DataFrame:
-    """(keys, y, lower, upper): the basic bootstrap of the mean. In each resample a value that n rows have has a Poisson weight of
-    mean n, the sum of one weight a row, drawn from the hash of key, value and resample; so equal rows are counted first, resamples
-    are sums, and no row is moved. Under three rows the width is zero."""
-    counts = df.groupBy(*keys, F.col(y).cast("double").alias("__y")).agg(F.count("*").alias("__c"))
-    draw = lambda r, k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), r, *keys, "__y"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    flat = counts.withColumn("__rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    flat = flat.withColumn("__w", _poisson(F.col("__c"), draw(F.col("__rep"), 0), draw(F.col("__rep"), 1)))
-    sums = flat.groupBy(*keys, "__rep").agg(F.try_divide(F.sum(F.col("__w") * F.col("__y")), F.sum("__w")).alias("__m"))
-    whole = counts.groupBy(*keys).agg((F.sum(F.col("__c") * F.col("__y")) / F.sum("__c")).alias("y"), F.sum("__c").alias("__n"))
+def weighted_mean(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Means of samples that have values[k] counts[r, k] times."""
+    return counts @ values / counts.sum(axis=1)
+
+
+def weighted_quantile(p: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A statistic for bootstrap_ci: the percentile, with linear interpolation at p * (n - 1)."""
+
+    def of(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        upto = counts.cumsum(axis=1)
+        at = p * (upto[:, -1] - 1)
+        low, high = ((upto <= f(at)[:, None]).sum(axis=1) for f in (np.floor, np.ceil))
+        return values[low] + (values[high] - values[low]) * (at - np.floor(at))
+
+    return of
+
+
+Statistic = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def bootstrap_ci(df: DataFrame, keys: list[str], y: str, confidence: float = 0.95, reps: int = 1000, seed: int = 1, statistic: Statistic = weighted_mean, point: Callable[[str], Column] | None = None, size: int = 4096, subsets: int = 8) -> DataFrame:
+    """(keys, y, lower, upper): the basic bootstrap of any statistic, as a bag of little bootstraps.
+
+    The n values of a key are dealt to subsets of about `size`, at most `subsets` of which are looked at (one, of all values, if
+    there are no more than that: the plain bootstrap). Each is resampled to n values, by counts, `reps` times; the statistic's spread
+    around its value of the subset is averaged over subsets. So a task has a subset at a time, whatever n is. statistic(values,
+    counts) gives one number for each row of counts, of values that ascend; the point y is the aggregate `point` of the column, the mean
+    for the mean, and else the subsets' mean. Null is left out; under three values the width is zero. Equal values are dealt by
+    their counts, so the result does not depend on partitions."""
+    rows = df.filter(F.col(y).isNotNull()).select(*keys, F.col(y).cast("double").alias("__y"))
+    aggregate = point or (F.avg if statistic is weighted_mean else None)
+    whole = rows.groupBy(*keys).agg(F.count("*").alias("__n"), (aggregate("__y") if aggregate else F.lit(None).cast("double")).alias("__point"))
+    whole = cut(whole.withColumn("__m", F.ceil(F.col("__n") / size)))
+    counts = rows.groupBy(*keys, "__y").agg(F.count("*").alias("__c"))
+    dealt = _beside(counts, whole, keys).withColumn("__seed", F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 62)))
+    some = dealt.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("__m"), F.lit(subsets)) - 1)))
+    # c copies over m subsets: c / m for each, and one more for those after the value's own place
+    more = F.pmod(F.col("__part") - F.xxhash64("__y", F.lit(seed)), F.col("__m")) < F.col("__c") % F.col("__m")
+    some = some.withColumn("__k", F.floor(F.col("__c") / F.col("__m")) + more.cast("long")).filter("__k > 0")
     tail = (1 - confidence) / 2
-    ends = sums.groupBy(*keys).agg(percentile(F.col("__m"), [tail, 1 - tail]).alias("__q"))
-    same = F.lit(True)
-    for k in keys:
-        same = same & whole[k].eqNullSafe(ends[k])
-    out = whole.join(ends, same) if keys else whole.crossJoin(ends)
-    wide = lambda c: F.when(F.col("__n") < 3, 0.0).otherwise(F.greatest(c, F.lit(0.0)))
-    return out.select(*[whole[k] for k in keys], "y", wide(F.col("__q")[1] - F.col("y")).alias("lower"), wide(F.col("y") - F.col("__q")[0]).alias("upper"))
-
-
-def _poisson(n: Column, u: Column, v: Column) -> Column:
-    """A Poisson weight of mean n from two uniform numbers: by its quantile up to a mean of 30, beyond by the normal one with the
-    correction for skewness."""
-    step = lambda a, k: F.struct((a["p"] * n / k).alias("p"), (a["s"] + a["p"] * n / k).alias("s"), (a["k"] + (u > a["s"]).cast("int")).alias("k"))
-    first = F.exp(-n.cast("double"))
-    start = F.struct(first.alias("p"), first.alias("s"), F.lit(0).alias("k"))
-    small = F.aggregate(F.sequence(F.lit(1), (2 * n + 30).cast("int")), start, step, lambda a: a["k"])
-    z = F.sqrt(-2 * F.ln(u)) * F.cos(2 * math.pi * v)
-    return F.when(n <= 30, small).otherwise(F.greatest(F.round(n + F.sqrt(n) * z + (z * z - 1) / 6), F.lit(0.0)))
+
+    def one(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("__y")
+        values, own, n = t["__y"].to_numpy(), t["__k"].to_numpy(float), int(t["__n"].iloc[0])
+        rng = np.random.default_rng([seed, int(t["__seed"].iloc[0]), int(t["__part"].iloc[0])])
+        step, found = max(1, (1 << 20) // len(values)), []
+        for r in range(0, reps, step):
+            found.append(statistic(values, rng.multinomial(n, own / own.sum(), min(step, reps - r))))
+        low, high = np.quantile(np.concatenate(found), [tail, 1 - tail])
+        at = float(statistic(values, own[None, :])[0])
+        return pd.DataFrame([(*key[:-1], at, high - at, at - low)])
+
+    schema = T.StructType([*(T.StructField(k, df.schema[k].dataType) for k in keys), *T.StructType.fromDDL("__at double, __l double, __u double").fields])
+    each = some.groupBy(*keys, "__part").applyInPandas(one, schema)
+    mean = each.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in ("__at", "__l", "__u")])
+    wide = lambda c: F.when(F.col("__n") < 3, 0.0).otherwise(F.greatest(F.col(c), F.lit(0.0)))
+    return _beside(whole, mean, keys).select(*keys, F.coalesce("__point", "__at").alias("y"), wide("__l").alias("lower"), wide("__u").alias("upper"))
 
 
 INTERVALS = {"se": stderr_ci, "sd": stddev_ci, "bi": wilson_ci}

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from banditframe.functions import rand
+from banditframe.functions import encoders, rand
 from banditframe.operators import policy
 from banditframe.plans.index import with_index
 from banditframe.plans.prefix import running
@@ -44,29 +44,73 @@ def ips_rewards(df: DataFrame, out: str = "rewards") -> DataFrame:
     return df.withColumn(out, F.transform("actions", lambda a: F.when(a.eqNullSafe(F.col("action")), F.col("reward") / p).otherwise(0.0)))
 
 
-def _features(df: DataFrame, actions: list[str], at: Column) -> Column:
-    """Action indicators, and their products with the context, of the action in place `at`."""
-    x = F.array(F.col("context").cast("double")) if not dict(df.dtypes)["context"].startswith("array") else F.transform("context", lambda v: v.cast("double"))
-    on = F.transform(F.sequence(F.lit(0), F.lit(len(actions) - 1)), lambda k: F.when(k == at, 1.0).otherwise(0.0))
-    cross = F.flatten(F.transform(on, lambda a: F.transform(x, lambda v: a * v)))
-    return F.concat(on, cross)
+#: What a regression estimate looks at: the constant, the action, its crosses with the context and with the context's squares.
+CROSSES = [1, "a", "xa", "xxa"]
 
 
-def direct_method(df: DataFrame, actions: list[str], out: str = "rewards", folds: int = 1, keys: list[str] = KEYS, idx: str = "idx") -> DataFrame:
-    """The predicted reward of every action, by a linear regression on action and context, rows weighted by 1 / probability. With
-    folds, a row's prediction comes from a model of the other folds."""
+def _features(df: DataFrame, actions: list[str], at: Column, terms: list, width: int) -> Column:
+    """The cross terms of the context (x) and the indicators of the action in place `at` (a)."""
+    on = F.transform(F.sequence(F.lit(0), F.lit(len(actions) - 1)), lambda k: F.when(k == at, 1.0).otherwise(0.0))
+    if not width:  # without a context only what holds no x is left
+        terms = [t for t in terms if not isinstance(t, str) or "x" not in t]
+        return encoders.crosses({"a": (on, len(actions))}, terms)
+    c = F.col("context") if dict(df.dtypes)["context"].startswith("array") else F.array("context")
+    x = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.get(c, i).cast("double"), F.lit(0.0)))
+    return encoders.crosses({"x": (x, width), "a": (on, len(actions))}, terms)
+
+
+def moments(rows: DataFrame, width: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each fold of rows (x, y, w, fold) the sums of w x x' and w y x. Tasks sum what they read; what meets on the driver is a
+    matrix as wide as x for each fold."""
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for fold, part in batch.groupby("fold"):
+                x, w = np.stack(part["x"].to_numpy()), part["w"].to_numpy()[:, None]
+                own = np.concatenate([x.T @ (x * w), (x * w).T @ part["y"].to_numpy()[:, None]], axis=1)
+                at[fold] = at[fold] + own if fold in at else own
+        for fold, m in at.items():
+            i, j = np.nonzero(m)
+            yield pd.DataFrame({"fold": fold, "i": i, "j": j, "v": m[i, j]})
+
+    found = rows.mapInPandas(summed, "fold int, i int, j int, v double").groupBy("fold", "i", "j").agg(F.sum("v").alias("v")).toPandas()
+    out = {}
+    for fold, part in found.groupby("fold"):
+        m = np.zeros((width, width + 1))
+        m[part["i"], part["j"]] = part["v"]
+        out[int(fold)] = (m[:, :-1], m[:, -1])
+    return out
+
+
+def least_squares(gram: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The coefficients; of features that say the same the shortest ones, in units of each one's size."""
+    size = np.sqrt(np.maximum(np.diag(gram), 0))
+    size[size == 0] = 1.0
+    return np.linalg.lstsq(gram / np.outer(size, size), right / size, rcond=1e-10)[0] / size
+
+
+def direct_method(df: DataFrame, actions: list[str], out: str = "rewards", folds: int = 1, features: list = CROSSES, keys: list[str] = KEYS, idx: str = "idx") -> DataFrame:
+    """The predicted reward of every action, by a linear regression on cross terms of action and context (as in
+    `encoders.crosses`), rows weighted by 1 / probability. With folds, a row's prediction comes from a model of the other folds; all
+    models come from one pass. Rows without a reward teach nothing; missing context numbers are 0."""
     require(df, "dm")
     logged = (F.array_position(F.col("actions"), F.col("action")) - 1).cast("int")
     p = F.coalesce(F.nullif("probability", F.lit(0.0)), F.lit(1.0)) if "probability" in df.columns else F.lit(1.0)
-    fold = F.pmod(F.xxhash64(*keys, idx), F.lit(folds))
-    train = cut(df.select(array_to_vector(_features(df, actions, logged)).alias("x"), F.col("reward").alias("y"), (1 / p).alias("w"), fold.alias("fold")))
+    fold = F.pmod(F.xxhash64(*keys, idx), F.lit(folds)).cast("int")
+    dtype = dict(df.dtypes)["context"]
+    width = (df.agg(F.max(F.size("context"))).first()[0] or 0) if dtype.startswith("array") else 0 if dtype == "void" else 1
+    one = lambda at: _features(df, actions, at, features, width)
+    train = df.filter("reward is not null").select(one(logged).alias("x"), F.col("reward").cast("double").alias("y"), (1 / p).alias("w"), fold.alias("fold"))
+    sums = moments(train, train.select(F.size("x")).limit(1).first()[0] if not train.isEmpty() else 0)
     made = None
     for f in range(folds):
-        rows = train if folds == 1 else train.filter(F.col("fold") != f)
-        model = LinearRegression(featuresCol="x", labelCol="y", weightCol="w", solver="normal", fitIntercept=False, regParam=1e-9).fit(rows)
-        beta = F.array(*[F.lit(float(b)) for b in model.coefficients])
-        one = lambda k, beta=beta: F.aggregate(F.zip_with(_features(df, actions, F.lit(k)), beta, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-        pred = F.array(*[one(k) for k in range(len(actions))])
+        used = [m for k, m in sums.items() if folds == 1 or k != f]
+        if not used:
+            raise ValueError("no rewards to learn from")
+        beta = F.array(*[F.lit(float(b)) for b in least_squares(sum(g for g, _ in used), sum(r for _, r in used))])
+        value = lambda k, beta=beta: F.aggregate(F.zip_with(one(F.lit(k)), beta, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+        pred = F.array(*[value(k) for k in range(len(actions))])
         made = F.when(fold == f, pred) if made is None else made.when(fold == f, pred)
     return df.withColumn(out, made)
 

@@ -45,6 +45,18 @@ def a14_bootstrap_width(spark, d):
     return one.join(two, "learner_id").select("learner_id", F.round("y", 6).alias("y"), (ok("lower", "h", 2) & ok("upper", "h", 2)).alias("narrow"), (ok("lz", "hz", 1.3) & ok("uz", "hz", 1.3)).alias("wide"))
 
 
+@query(f"WITH {FACTS} SELECT learner_id, round(quantile_cont(reward, 0.5), 6) AS y, TRUE AS wide FROM ints GROUP BY 1")
+def a14_bootstrap_median(spark, d):
+    """The bootstrap of another statistic, in subsets of 500 rows: about as wide as the median's error, of all rows, should be."""
+    rows = data.events_result(spark, d).interactions.select("learner_id", F.col("reward").alias("y"))
+    normal = rows.groupBy("learner_id").agg((1.96 * 1.2533 * F.stddev_pop("y") / F.sqrt(F.count("*"))).alias("h"))
+    out = stats.bootstrap_ci(rows, ["learner_id"], "y", statistic=stats.weighted_quantile(0.5), size=500)
+    exact = stats.percentile(rows, ["learner_id"], "y", 0.5)
+    ok = lambda c: (F.col(c) > F.col("h") / 3) & (F.col(c) < F.col("h") * 3)
+    out = out.join(normal, "learner_id").join(exact, "learner_id")
+    return out.select("learner_id", F.round("p", 6).alias("y"), (ok("lower") & ok("upper") & (F.abs(F.col("y") - F.col("p")) < F.col("h"))).alias("wide"))
+
+
 @query(f"{MEANS} SELECT learner_id, data_id, round(avg(y), 6) AS y, TRUE AS inside FROM m JOIN envs USING (environment_id) GROUP BY ALL")
 def a17_bootstrap_curves(spark, d):
     """Points with bootstrap intervals over a parameter."""

@@ -129,17 +129,38 @@ LINES = """ln AS (SELECT action AS cand, (sw * sxy - sx * sy) / (sw * sxx - sx *
 
 @query(f"WITH {LOGGED}, {LINES} SELECT env_id, idx, list(round(a + b * context, 5) ORDER BY cand) AS rewards FROM logged CROSS JOIN ln GROUP BY ALL")
 def r16_direct_method(spark, d):
+    return ope.direct_method(_log(spark, d), TYPES, features=["a", "xa"]).select("env_id", "idx", F.transform("rewards", lambda r: F.round(r, 5)).alias("rewards"))
+
+
+#: Per action a weighted parabola in the context, by Cramer's rule: what constant, action, xa and xxa come to.
+PARABOLAS = """qm AS (SELECT action AS cand, sum(w) AS s0, sum(w * x) AS s1, sum(w * x^2) AS s2, sum(w * x^3) AS s3, sum(w * x^4) AS s4, sum(w * reward) AS t0, sum(w * x * reward) AS t1, sum(w * x^2 * reward) AS t2
+    FROM (SELECT *, 1 / probability AS w, context AS x FROM logged) GROUP BY 1),
+qd AS (SELECT cand, s0*(s2*s4-s3*s3) - s1*(s1*s4-s2*s3) + s2*(s1*s3-s2*s2) AS d, t0*(s2*s4-s3*s3) - s1*(t1*s4-s3*t2) + s2*(t1*s3-s2*t2) AS da,
+    s0*(t1*s4-s3*t2) - t0*(s1*s4-s2*s3) + s2*(s1*t2-s2*t1) AS db, s0*(s2*t2-s3*t1) - s1*(s1*t2-s2*t1) + t0*(s1*s3-s2*s2) AS dc FROM qm),
+qb AS (SELECT cand, da / d AS a, db / d AS b, dc / d AS c FROM qd)"""
+
+
+@query(f"WITH {LOGGED}, {PARABOLAS} SELECT env_id, idx, list(round(a + b * context + c * context * context, 5) ORDER BY cand) AS rewards FROM logged CROSS JOIN qb GROUP BY ALL")
+def r16_direct_method_squares(spark, d):
+    """The constant, action, xa and xxa."""
     return ope.direct_method(_log(spark, d), TYPES).select("env_id", "idx", F.transform("rewards", lambda r: F.round(r, 5)).alias("rewards"))
 
 
+@query(f"WITH {LOGGED}, {PARABOLAS}, {DRAWN} SELECT env_id, idx, round(a + b * context + c * context * context, 5) AS dm, round(a + b * context + c * context * context + CASE WHEN cand = action THEN (reward - a - b * context - c * context * context) / probability ELSE 0 END, 4) AS dr FROM dr JOIN qb ON cand = actions[k]")
+def e12_evaluation_by_squares(spark, d):
+    rows = ope.doubly_robust(ope.direct_method(_fixed(spark, d), TYPES, "dm"), TYPES, "dr")
+    out = ope.at_drawn(rows, "dm").withColumnRenamed("eval_reward", "one")
+    return out.select("env_id", "idx", F.round("one", 5).alias("dm"), F.round(F.get("dr", "at"), 4).alias("dr"))
+
+
 @query(f"WITH {LOGGED}, {LINES} SELECT env_id, idx, list(round(a + b * context + CASE WHEN cand = action THEN (reward - a - b * context) / probability ELSE 0 END, 4) ORDER BY cand) AS rewards FROM logged CROSS JOIN ln GROUP BY ALL")
 def r17_doubly_robust(spark, d):
-    return ope.doubly_robust(_log(spark, d), TYPES).select("env_id", "idx", F.transform("rewards", lambda r: F.round(r, 4)).alias("rewards"))
+    return ope.doubly_robust(_log(spark, d), TYPES, features=["a", "xa"]).select("env_id", "idx", F.transform("rewards", lambda r: F.round(r, 4)).alias("rewards"))
 
 
 @query(f"WITH {LOGGED}, {LINES}, {DRAWN} SELECT env_id, idx, round(a + b * context, 5) AS dm, round(a + b * context + CASE WHEN cand = action THEN (reward - a - b * context) / probability ELSE 0 END, 4) AS dr FROM dr JOIN ln ON cand = actions[k]")
 def e12_evaluation_by_models(spark, d):
-    rows = ope.doubly_robust(ope.direct_method(_fixed(spark, d), TYPES, "dm"), TYPES, "dr")
+    rows = ope.doubly_robust(ope.direct_method(_fixed(spark, d), TYPES, "dm", features=["a", "xa"]), TYPES, "dr", features=["a", "xa"])
     out = ope.at_drawn(rows, "dm").withColumnRenamed("eval_reward", "one")
     return out.select("env_id", "idx", F.round("one", 5).alias("dm"), F.round(F.get("dr", "at"), 4).alias("dr"))
 

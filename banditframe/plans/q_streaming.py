@@ -6,10 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from banditframe.operators import ope, policy
-from banditframe.plans import data
+from banditframe.functions import encoders as E
+from banditframe.operators import features, ope, policy, reshape, rows
+from banditframe.plans import data, q_interactions, q_policies
 from banditframe.plans.data import LOGGED, TYPES
-from banditframe.plans.q_policies import EPS, P_SQL, PMF
+from banditframe.plans.q_policies import DRAWN, EPS, P_SQL, PMF, _epsilon_learner
 from banditframe.plans.tables import shared_dir, table
 from banditframe.streaming import live
 
@@ -76,3 +77,121 @@ def x3_epsilon_greedy(spark, d):
         stream.start().awaitTermination()
     out = spark.read.parquet(f"{base}/out")
     return out.select("env_id", "idx", "action", F.round("probability", 6).alias("probability"))
+
+
+@query(f"WITH {LOGGED}, {EPS} SELECT env_id, idx, action, list(round(p, 6) ORDER BY cand) AS pmf FROM pm GROUP BY ALL")
+def x3_stateful_learner(spark, d):
+    """A user's policy with its state in the stream. The log comes in three pieces that have rows of everywhere in it, and the
+    stream is started again for each, so rows wait for others over restarts."""
+    log = data.logged(spark, d).select("env_id", "idx", "actions", "action", "reward")
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    path = f"{base}/source"
+    log.limit(0).write.parquet(path)
+    out = live.learned(spark.readStream.schema(log.schema).parquet(path), _epsilon_learner(0.1))
+    for k in range(3):
+        log.filter(F.pmod(F.xxhash64("env_id", "idx"), F.lit(3)) == k).write.mode("append").parquet(path)
+        made = _run(spark, out, base)
+    return made.select("env_id", "idx", "action", F.transform("pmf", lambda p: F.round(p, 6)).alias("pmf"))
+
+
+@query(q_interactions.SQL["p13_drop"])
+def x1_drop_rows_and_columns(spark, d):
+    return _run(spark, rows.drop(_stream(spark, q_interactions._items(spark, d)), [3, "l_discount", "l_tax"], F.col("l_discount") > 0.05))
+
+
+@query(q_interactions.SQL["p14_label"])
+def x1_label(spark, d):
+    out = rows.label(_stream(spark, q_interactions._items(spark, d)), "l_returnflag", "c")
+    return _run(spark, out.select("features.l_orderkey", "features.l_linenumber", "features.l_tax", "label", "kind"))
+
+
+@query(q_interactions.SQL["p15_encode"])
+def x1_encode(spark, d):
+    out = rows.encode(_stream(spark, q_interactions._items(spark, d)), {"l_quantity": E.string, 6: lambda c: F.coalesce(F.nanvl(E.numeric(c), F.lit(-1.0)), F.lit(-1.0))})
+    return _run(spark, out.select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"))
+
+
+@query(q_interactions.SQL["p17_structure"])
+def x1_structure(spark, d):
+    q = _stream(spark, q_interactions._items(spark, d).drop("l_extendedprice", "l_discount", "l_returnflag"))
+    out = q.select(rows.structure([["l_tax"], None, "l_quantity"], q.columns).alias("s"))
+    return _run(spark, out.select(F.col("s._1.l_orderkey"), F.col("s._1.l_linenumber"), F.col("s._0.l_tax"), F.col("s.l_quantity")))
+
+
+@query(q_interactions.SQL["p19_flatten"])
+def x1_flatten(spark, d):
+    q = _stream(spark, q_interactions._items(spark, d))
+    dense = rows.flatten_dense([(F.col("l_quantity"), False), (F.array("l_tax", "l_discount"), True)])
+    m = rows.flatten_sparse(F.create_map(F.lit("k"), F.array("l_tax", "l_discount")))
+    return _run(spark, q.select("l_orderkey", "l_linenumber", dense.alias("x"), F.try_element_at(m, F.lit("k_0")).alias("k0"), F.try_element_at(m, F.lit("k_1")).alias("k1")))
+
+
+@query(q_interactions.SQL["r4_sparse"])
+def x1_sparse(spark, d):
+    q = _stream(spark, q_interactions._items(spark, d))
+    m = features.sparse(F.array("l_tax", "l_discount"), "array<double>")
+    return _run(spark, q.select("l_orderkey", "l_linenumber", F.try_element_at(m, F.lit("0")).alias("t"), F.try_element_at(m, F.lit("1")).alias("d"), F.size(m).alias("n")))
+
+
+@query(q_interactions.SQL["r8_binary"])
+def x1_binary_rewards(spark, d):
+    q = _stream(spark, q_interactions._items(spark, d)).withColumn("rewards", F.array("l_tax", "l_discount"))
+    return _run(spark, reshape.binary(q).select("l_orderkey", "l_linenumber", "rewards"))
+
+
+@query(q_interactions.SQL["r9_noise"])
+def x1_noise(spark, d):
+    ev = table(spark, d, "events").select(F.col("event_id").alias("idx"), F.col("value").alias("context"))
+    return _run(spark, reshape.noise(_stream(spark, ev)).select("idx", F.round("context", 6).alias("context")))
+
+
+@query(q_interactions.SQL["r14_j11_logged"])
+def x1_logged(spark, d):
+    """A logging policy on a stream of simulated interactions."""
+    out = reshape.logged(_stream(spark, data.simulated(spark, d)), F.transform("actions", lambda a: F.lit(0.1)), 13)
+    return _run(spark, out.select("idx", "action", "reward", "probability"))
+
+
+@query(q_policies.SQL["e3_draw_and_score"])
+def x1_draw_and_score(spark, d):
+    log = _stream(spark, data.logged(spark, d)).withColumn("pmf", policy.fixed(PMF))
+    out = policy.draw(log).withColumn("score", policy.score(F.col("pmf")))
+    return _run(spark, out.select("env_id", "idx", "on_action", "on_prob", "score"))
+
+
+@query(f"WITH {LOGGED}, {DRAWN} SELECT env_id, idx, actions[k] AS action, CASE WHEN actions[k] = action THEN round(reward / probability, 6) ELSE 0 END AS reward, [CASE WHEN a = action THEN round(reward / probability, 6) ELSE 0 END for a in actions] AS rewards FROM dr")
+def x1_drawn_rewards(spark, d):
+    """Estimated rewards of all actions, and of a drawn one, recorded."""
+    log = ope.ips_rewards(_stream(spark, data.logged(spark, d)).withColumn("pmf", policy.fixed(PMF)), "estimates")
+    out = ope.record(ope.off_policy_drawn(log), ["action", "reward"])
+    return _run(spark, out.select("env_id", "idx", "action", F.round("reward", 6).alias("reward"), F.transform("estimates", lambda r: F.round(r, 6)).alias("rewards")))
+
+
+@query(f"WITH {data.FACTS} SELECT event_id, name, data_id, round(value, 6) AS value FROM ev JOIN envs USING (environment_id) WHERE data_id = 1")
+def x1_static_join(spark, d):
+    """Live facts get their environment's parameters from a table, and are filtered by them."""
+    ev = table(spark, d, "events").select("event_id", (F.col("user_id") % 10).cast("int").alias("environment_id"), "value")
+    envs = data.events_result(spark, d).environments
+    out = _stream(spark, ev).join(envs, "environment_id").filter("data_id = 1")
+    return _run(spark, out.select("event_id", "name", "data_id", F.round("value", 6).alias("value")))
+
+
+@query("""SELECT event_id, event_type, CASE WHEN event_id % 3 <> 0 AND event_id % 120 <= 60 THEN round(value, 6) ELSE 0 END AS reward FROM events""")
+def x4_rewarded(spark, d):
+    """Choices meet rewards that come up to two hours later, or never; after an hour they count as missing. Each stream goes on
+    with a row that moves its watermark past all others."""
+    ev = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    paid = ev.filter("event_id % 3 <> 0").select("event_id", (F.col("ts") + F.make_dt_interval(mins=(F.col("event_id") % 120).cast("int"))).alias("ts"), F.col("value").alias("reward"))
+    made, base = ev.select("event_id", "ts", "event_type"), f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    streams = {}
+    for name, df in (("made", made), ("paid", paid)):
+        df.write.parquet(f"{base}/{name}")
+        streams[name] = spark.readStream.schema(df.schema).parquet(f"{base}/{name}")
+    out = live.rewarded(streams["made"], streams["paid"], "event_id", "1 hour", "1 day")
+    last = ev.agg(F.max("ts").alias("m"))
+    for k in range(2):
+        _run(spark, out, base)
+        end = last.select(F.lit(-1 - k).cast("long").alias("event_id"), (F.col("m") + F.make_dt_interval(days=F.lit(10 * (k + 1)))).alias("ts"))
+        end.withColumn("event_type", F.lit("end")).select(made.columns).write.mode("append").parquet(f"{base}/made")
+        end.withColumn("reward", F.lit(0.0)).select(paid.columns).write.mode("append").parquet(f"{base}/paid")
+    return _run(spark, out, base).filter("event_type <> 'end'").select("event_id", "event_type", F.round("reward", 6).alias("reward"))

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pickle
+from collections.abc import Iterator
+from typing import Any
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor
 
+from banditframe.operators.learning import Learner
 from banditframe.operators.policy import greedy
 from banditframe.plans.prefix import running
+from banditframe.plans.tables import cut
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def windowed_value(log: DataFrame, value: str, by: list[str], ts: str = "ts", width: str = "1 day", late: str = "1 day") -> DataFrame:
@@ -22,10 +32,11 @@ def epsilon_greedy(log: DataFrame, path: str, actions: list[str], epsilon: float
 
     Rows of a micro-batch are taken in the order of idx, by prefix sums in blocks, so that one environment spreads over many tasks.
     What carries over to the next one is a count and a sum for each environment and action. Both are written in a folder of the
-    batch, so that a batch that is run again leaves the same."""
+    batch, so that a batch that is run again leaves the same; states that no batch can need any more are removed. The rows of a
+    batch are computed once."""
 
     def step(rows: DataFrame, batch: int) -> None:
-        spark = rows.sparkSession
+        spark, rows = rows.sparkSession, cut(rows)
         names = [f"{x}_{k}" for k in range(len(actions)) for x in "ns"]
         hit = lambda k: F.col("action") == actions[k]
         sums = {f"n_{k}": F.when(hit(k), 1).otherwise(0).cast("long") for k in range(len(actions))} | {f"s_{k}": F.when(hit(k), F.col(reward)).otherwise(0.0) for k in range(len(actions))}
@@ -43,5 +54,102 @@ def epsilon_greedy(log: DataFrame, path: str, actions: list[str], epsilon: float
         new = rows.groupBy("env_id").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
         state = (new if old is None else old.unionByName(new)).groupBy("env_id").agg(*[F.sum(n).alias(n) for n in names])
         state.write.mode("overwrite").parquet(f"{path}/state/{batch}")
+        if batch > 1:
+            _remove(spark, f"{path}/state/{batch - 2}")
 
     return log.writeStream.foreachBatch(step)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, in whatever file system it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def rewarded(choices: DataFrame, rewards: DataFrame, on: str, within: str = "1 hour", late: str = "1 hour", ts: str = "ts", reward: str = "reward", missing: float = 0.0) -> DataFrame:
+    """choices with the reward that a second stream brings for them: that with the same `on` and a time up to `within` after the
+    choice's; `missing` for choices that get none, as soon as the watermarks of both streams (`late`) say that none can come. State is
+    kept for as long as that. If several rewards come, each gives a row."""
+    right = rewards.select(F.col(on).alias("__on"), F.col(ts).alias("__at"), F.col(reward).alias("__reward")).withWatermark("__at", late)
+    left = choices.drop(reward).withWatermark(ts, late)
+    met = left.join(right, (left[on] == right["__on"]) & (right["__at"] >= left[ts]) & (right["__at"] <= left[ts] + F.expr(f"interval {within}")), "left_outer")
+    return met.withColumn(reward, F.coalesce("__reward", F.lit(missing))).drop("__on", "__at", "__reward")
+
+
+class _Online(StatefulProcessor):
+    """One environment: the state of a learner, the number of the row that it waits for, and rows that came before their turn, CHUNK
+    numbers to an entry."""
+
+    CHUNK = 128
+
+    def __init__(self, learner: Learner, idx: str, used: list[str], out: list[str], ts: str | None) -> None:
+        self.learner, self.idx, self.used, self.out, self.ts = learner, idx, used, out, ts
+
+    def init(self, handle: Any) -> None:
+        self.handle = handle
+        self.known = handle.getValueState("known", T.StructType([T.StructField("next", T.LongType()), T.StructField("state", T.BinaryType())]))
+        self.early = handle.getMapState("early", T.StructType([T.StructField("chunk", T.LongType())]), T.StructType([T.StructField("rows", T.BinaryType())]))
+
+    def _chunk(self, open_: dict, c: int) -> dict:
+        if c not in open_:
+            open_[c] = pickle.loads(bytes(self.early.getValue((c,))[0])) if self.early.containsKey((c,)) else {}
+        return open_[c]
+
+    def _go(self, fresh: Iterator[dict], skip: bool, times: Any) -> pd.DataFrame:
+        """Takes the rows whose turn it is, puts the others aside; skip: the first row that is there is the next one."""
+        n, state = self.known.get() if self.known.exists() else (0, None)
+        state = self.learner.zero() if state is None else pickle.loads(bytes(state))
+        open_: dict[int, dict[int, dict]] = {}
+        for row in fresh:
+            if row[self.idx] >= n:  # the others have had their turn, or were given up
+                self._chunk(open_, row[self.idx] // self.CHUNK)[row[self.idx]] = row
+        if skip and (aside := [k[0] for k in self.early.keys()]):
+            n = min(self._chunk(open_, min(aside)))
+        made: list = []
+        while (row := self._chunk(open_, n // self.CHUNK).pop(n, None)) is not None:
+            p = self.learner.predict(state, row)
+            made.append((*(row[c] for c in self.out), None if p is None else [float(x) for x in p]))
+            state, n = self.learner.update(state, row), n + 1
+        for c, rows in open_.items():
+            if rows:
+                self.early.updateValue((c,), (pickle.dumps(rows),))
+            elif self.early.containsKey((c,)):
+                self.early.removeKey((c,))
+        self.known.update((n, pickle.dumps(state)))
+        if self.ts is not None:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            if aside := [k[0] for k in self.early.keys()]:
+                first = self._chunk(open_, min(aside))
+                at = int(first[min(first)][self.ts].timestamp() * 1000)
+                self.handle.registerTimer(max(at, times.getCurrentWatermarkInMs()) + 1)
+        return pd.DataFrame(made, columns=[*self.out, "pmf"])
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        names = list(dict.fromkeys([*self.out, self.idx, *self.used]))
+        yield self._go((row for batch in rows for row in batch[names].to_dict("records")), False, timerValues)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        """What is missing is given up."""
+        yield self._go(iter(()), True, timerValues)
+
+    def close(self) -> None:
+        pass
+
+
+def learned(log: DataFrame, learner: Learner, out: list[str] = ["action"], used: list[str] = ["context", "actions", "action", "reward", "probability"], key: str = "env_id", idx: str = "idx", ts: str | None = None, late: str = "1 hour") -> DataFrame:
+    """(key, idx, out columns, pmf) of a streaming log: the probabilities that the learner gives before each row of an environment.
+
+    The rows of an environment are numbered from 0 without gaps. They may come in any order and in any micro-batch: a row waits in
+    map state for those before it, for as long as it takes; or, if ts names the rows' time, until the watermark (`late` behind the
+    latest time) has passed the first waiting row, when a timer gives up what is missing, and what comes of it later is left out. A
+    row that comes twice counts once. State is the learner's, and the waiting rows; it is in Spark's RocksDB store (which this sets for
+    the session), so a stream that is started again goes on. An environment is one task's here, as its rows are taken one by
+    one; `epsilon_greedy` above, or `operators.learning` on a table, split one."""
+    log.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    used = [c for c in [*used, ts] if c in log.columns]
+    names = [key, idx, *(c for c in out if c not in (key, idx))]
+    schema = T.StructType([*(log.schema[c] for c in names), T.StructField("pmf", T.ArrayType(T.DoubleType()))])
+    rows = log.select(*dict.fromkeys([*names, *used]))
+    rows = rows if ts is None else rows.withWatermark(ts, late)
+    return rows.groupBy(key).transformWithStateInPandas(_Online(learner, idx, used, names, ts), schema, "Append", "None" if ts is None else "EventTime")

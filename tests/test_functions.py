@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,12 +53,13 @@ def test_rewards(spark):
 
 def test_percentiles(spark):
     df = spark.createDataFrame([(3.0, 1.0), (2.0, 1.0), (1.0, 1.0)], "v double, w double")
-    assert df.select(stats.percentile(F.col("v"), [0, 0.5, 1])).first()[0] == [1, 2, 3]
+    assert stats.percentile(df, [], "v", [0, 0.5, 1]).first()[0] == [1, 2, 3] and stats.percentile(df, [], "v", 0.25).first()[0] == 1.5
+    assert stats.iqr(df, [], "v").first()[0] == 1.0 and stats.iqr(df.limit(1), [], "v").first()[0] == 0.0
     from banditframe.plans.ranks import percentiles
 
     many = spark.range(500).select((F.col("id") % 2).alias("k"), (F.col("id") * 37 % 101).cast("double").alias("v"), (F.col("id") % 3 + 1).alias("t")).union(spark.sql("SELECT 0L, CAST(NULL AS DOUBLE), 1L"))
     ps = [0.0, 0.05, 0.5, 0.77, 1.0]
-    want = {r["k"]: r["p"] for r in many.groupBy("k").agg(stats.percentile(F.col("v"), ps).alias("p")).collect()}
+    want = {r["k"]: r["p"] for r in many.groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, ps))).alias("p")).collect()}
     assert {r["k"]: r["p"] for r in percentiles(many, ["k"], "v", ps).collect()} == {k: pytest.approx(p) for k, p in want.items()}
     often = {r["k"]: r["p"] for r in many.groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, ps)), F.col("t")).alias("p")).collect()}
     assert {r["k"]: r["p"] for r in percentiles(many, ["k"], "v", ps, times=F.col("t")).collect()} == {k: pytest.approx(p) for k, p in often.items()}
@@ -112,6 +114,52 @@ def test_bootstrap(spark):
     assert again[1]["lower"] == pytest.approx(got[1]["lower"])
 
 
+@pytest.mark.parametrize("p", [0.0, 0.3, 0.5, 0.99, 1.0])
+def test_weighted_percentile_of_many(spark, monkeypatch, p):
+    from banditframe.plans import prefix
+
+    monkeypatch.setattr(prefix.running, "__defaults__", (0, 7))  # blocks of 7
+    rng = np.random.default_rng(3)
+    rows = [(k, float(v), float(w)) for k, n in (("a", 200), ("b", 1), (None, 30)) for v, w in zip(rng.integers(0, 60, n), rng.integers(0, 4, n) + (n == 1))]
+    got = {r["k"]: r["v"] for r in stats.weighted_percentile(spark.createDataFrame(rows, "k string, v double, w double"), ["k"], "v", "w", p).collect()}
+    for key in ("a", "b", None):
+        by = {}
+        for k, v, w in rows:
+            if k == key and w > 0:
+                by[v] = by.get(v, 0) + w
+        values = sorted(by)
+        c = np.cumsum([by[v] for v in values]) - by[values[0]]
+        want = np.interp(p, c / c[-1], values) if len(values) > 1 else values[0]
+        assert got[key] == pytest.approx(want)
+
+
+def test_bootstrap_in_subsets(spark):
+    """Many values in subsets of a few: the width is that of all."""
+    rows = spark.range(40_000).select((F.col("id") % 2).alias("k"), (F.pmod(F.xxhash64("id"), F.lit(100_003)) / 100_003.0).alias("y"))
+    for statistic, p, want in ((stats.weighted_mean, None, 0.2887), (stats.weighted_quantile(0.5), F.median, 0.5), (stats.weighted_quantile(0.5), None, 0.5)):
+        got = stats.bootstrap_ci(rows, ["k"], "y", reps=200, statistic=statistic, point=p, size=1000).collect()
+        for r in got:
+            assert abs(r["y"] - 0.5) < 0.02
+            for side in ("lower", "upper"):
+                assert 0.75 < r[side] / (1.96 * want / math.sqrt(20_000)) < 1.3
+    exact = stats.bootstrap_ci(rows.limit(0), ["k"], "y").collect()
+    assert exact == []
+
+
+def test_statistics_of_weighted_samples():
+    values, counts = np.array([1.0, 2.0, 5.0]), np.array([[1, 2, 1], [0, 0, 3], [4, 0, 1]])
+    flat = [np.repeat(values, c) for c in counts]
+    assert stats.weighted_mean(values, counts) == pytest.approx([x.mean() for x in flat])
+    for p in (0.0, 0.25, 0.4, 1.0):
+        assert stats.weighted_quantile(p)(values, counts) == pytest.approx([np.quantile(x, p) for x in flat])
+
+
+def test_normal_has_all_digits(spark):
+    xs = [-9.0, -4.1, -4.0, -3.9, -1.0, 0.0, 0.5, 3.99, 4.01, 8.0, None]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(stats.normal(F.col("x"))).collect()]
+    assert got[-1] is None and got[:-1] == pytest.approx([stats.phi(x) for x in xs[:-1]], rel=1e-9, abs=1e-15)
+
+
 def test_crosses(spark):
     x = F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0))
     got = spark.range(1).select(encoders.crosses({"x": (x, 3)}, ["xxx"])).first()[0]

@@ -138,3 +138,33 @@ def test_lookup_slots_wrap(spark):
     df = spark.createDataFrame([(0, {"a": 1.0, "b": 2.0}), (1, {"c": 3.0})], "i long, m map<string,double>")
     known = {r["key"]: r["slot"] for r in features.slots(df, "m", 2, ["i"]).collect()}
     assert known["a"] != known["b"] and known["c"] == known["a"]
+
+
+def test_direct_method_crosses_and_folds(spark):
+    """Predictions of crosses are those of a plain least squares, with each fold's model from the others."""
+    import numpy as np
+
+    from banditframe.operators import ope
+
+    rng = np.random.default_rng(2)
+    rows = [(1, i, [float(a), float(b)], ["u", "v"], "uv"[int(k)], float(r), float(p)) for i, (a, b, k, r, p) in enumerate(zip(rng.normal(size=80), rng.normal(size=80), rng.integers(0, 2, 80), rng.normal(size=80), rng.uniform(0.2, 1, 80)))]
+    df = spark.createDataFrame(rows, "env_id int, idx long, context array<double>, actions array<string>, action string, reward double, probability double")
+    fold = {r["idx"]: r["f"] for r in df.select("idx", F.pmod(F.xxhash64("env_id", "idx"), F.lit(2)).alias("f")).collect()}
+
+    def cells(x, k):
+        on = [float(k == 0), float(k == 1)]
+        square = [x[0] * x[0], x[0] * x[1], x[1] * x[1]]
+        return [1.0, *on, *(v * o for v in x for o in on), *(v * o for v in square for o in on)]
+
+    for folds in (1, 2):
+        got = {r["idx"]: r["rewards"] for r in ope.direct_method(df, ["u", "v"], folds=folds).collect()}
+        for f in range(folds):
+            used = [r for r in rows if folds == 1 or fold[r[1]] != f]
+            w = np.sqrt([1 / r[6] for r in used])
+            X, y = np.array([cells(r[2], "uv".index(r[4])) for r in used]), np.array([r[5] for r in used])
+            beta = np.linalg.lstsq(X * w[:, None], y * w, rcond=None)[0]
+            for r in rows:
+                if folds == 1 or fold[r[1]] == f:
+                    assert got[r[1]] == pytest.approx([float(np.dot(cells(r[2], k), beta)) for k in range(2)], abs=1e-6)
+    with pytest.raises(ValueError, match="no rewards"):
+        ope.direct_method(df.limit(0), ["u", "v"])
