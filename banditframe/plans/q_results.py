@@ -174,7 +174,7 @@ def j10_unfinished_u5(spark, d):
 def j12_difference(spark, d):
     ev = table(spark, d, "events").select("event_type", "event_id")
     a, b = ev.filter("event_id % 2 = 0"), ev.filter("event_id % 3 = 0")
-    return a.exceptAll(b).agg(F.count("*").alias("only_a")).withColumn("only_b", b.exceptAll(a).agg(F.count("*").alias("n")).scalar())
+    return R.differences(a, b)
 
 
 # ---- aggregates

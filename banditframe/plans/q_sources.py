@@ -12,7 +12,7 @@ from banditframe.plans import data
 from banditframe.plans.data import FACTS, LOGGED
 from banditframe.plans.tables import shared_dir, table
 from banditframe.sources import log, store, text
-from banditframe.sources.python_source import LinesSource
+from banditframe.sources.python_source import LinesSource, write_made
 
 Q, SQL = {}, {}
 
@@ -120,8 +120,9 @@ LOG = f"WITH {FACTS} SELECT environment_id, learner_id, \"index\", round(reward,
 
 @query(LOG)
 def s10_k2_result_log(spark, d):
+    """Triples of more than 100 rows have several lines; what is packed is found by reading."""
     path = _path(spark, "log")
-    log.write(data.events_result(spark, d), path)
+    log.write(data.events_result(spark, d), path, rows=100)
     r = log.read(spark, path)
     names = r.environments.select("environment_id", F.col("params")["name"].alias("name"))
     families = r.learners.select("learner_id", F.col("params")["family"].alias("family"))
@@ -177,7 +178,12 @@ def k5_sinks(spark, d):
 @query("SELECT o_orderkey, o_orderpriority FROM orders")
 def d9_python_sink(spark, d):
     """Orders through a sink written in Python, and read back."""
-    spark.dataSource.register(LinesSource)
     path = _path(spark, "sink")
-    table(spark, d, "orders").select("o_orderkey", "o_orderpriority").write.format("banditframe_rows").mode("append").option("path", path).save()
+
+    def lines(frames):
+        for f in frames:
+            for key, priority in zip(f["o_orderkey"].tolist(), f["o_orderpriority"]):
+                yield json.dumps({"o_orderkey": key, "o_orderpriority": priority})
+
+    write_made(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), path, lines)
     return spark.read.schema("o_orderkey bigint, o_orderpriority string").json(path)

@@ -124,3 +124,17 @@ def test_blocks_of_running_sums_agree(spark):
     a = {(r["k"], r["idx"]): r["m"] for r in sliding(rows, ["k"], "idx", 4, {"m": lambda w: F.avg("v").over(w)}, 5).collect()}
     b = {(r["k"], r["idx"]): r["m"] for r in sliding(rows, ["k"], "idx", 4, {"m": lambda w: F.avg("v").over(w)}).collect()}
     assert a == pytest.approx(b) and len(a) == 200
+
+
+def test_same_rows_as_often(spark):
+    a = spark.createDataFrame([(1, "x", 0.0), (1, "x", 0.0), (2, None, float("nan"))], "i int, s string, v double")
+    turned = a.select("v", "s", "i").repartition(3)
+    assert R.same_rows(a, turned) and R.same_rows(a.limit(0), a.limit(0))
+    assert not R.same_rows(a, a.distinct()) and not R.same_rows(a, a.drop("v")) and not R.same_rows(a, a.limit(2))
+    other = spark.createDataFrame([(1, "x", -0.0), (2, None, float("nan")), (2, None, float("nan"))], "i int, s string, v double")
+    assert not R.same_rows(a, other) and not R.same_rows(a.limit(2).union(other), a.limit(1).union(other))
+    assert R.same_rows(a.filter("i = 1").distinct(), other.filter("i = 1"))
+    lists = spark.createDataFrame([([1.0],), ([-0.0],)], "l array<double>")
+    assert R.same_rows(lists, spark.createDataFrame([([0.0],), ([1.0],)], "l array<double>"))
+    assert tuple(R.differences(a, other).first()) == (1, 1)
+    assert R.digest(a) == R.digest(turned) and R.digest(a)["n"] == 3

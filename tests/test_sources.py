@@ -62,6 +62,35 @@ def test_log_lines(spark):
         log.decode(log._line_no(write(spark, ['["version",3]'])))
 
 
+def test_log_of_unknown_columns(spark):
+    lines = ['["version",4]', '["I",[1,1,0],{"_packed":{"reward":[0,1],"who":["a",null],"where":[[1,2],[3]],"any":[1,"x"]}}]', '["I",[1,2,0],{"_packed":{"reward":[0.5]}}]']
+    got = log.decode(log._line_no(write(spark, lines))).interactions
+    assert dict(got.dtypes) | {"any": "", "index": ""} == {"environment_id": "int", "learner_id": "int", "evaluator_id": "int", "index": "", "reward": "double", "who": "string", "where": "array<bigint>", "any": ""}
+    rows = sorted((r["learner_id"], r["index"], r["reward"], r["who"], r["where"]) for r in got.collect())
+    assert rows == [(1, 1, 0.0, "a", [1, 2]), (1, 2, 1.0, None, [3]), (2, 1, 0.5, None, None)]
+    assert log.decode(log._line_no(write(spark, ['["version",4]']))).interactions.count() == 0
+
+
+def test_long_triples_have_several_lines(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from banditframe.operators.results import Result
+
+    ids = [spark.createDataFrame([(1,)], f"{n}_id int") for n in ("environment", "learner", "evaluator")]
+    facts = lambda n, plus: spark.range(n).select(F.lit(1).alias("environment_id"), (F.col("id") % 2).cast("int").alias("learner_id"), F.lit(0).alias("evaluator_id"), (F.floor(F.col("id") / 2) + 1).cast("long").alias("index"), (F.col("id") + plus).cast("double").alias("reward"))
+    log.write(Result(*ids, facts(2000, 0)), str(tmp_path), rows=10)
+    lines = [r[0] for r in spark.read.text(str(tmp_path)).collect() if r[0].startswith('["I"')]
+    assert len(lines) == 200 and all(len(json.loads(x)[2]["_packed"]["reward"]) == 10 for x in lines)
+    key = lambda r: (r["learner_id"], r["index"], r["reward"])
+    assert sorted(map(key, log.read(spark, str(tmp_path)).interactions.collect())) == sorted(map(key, facts(2000, 0).collect()))
+    # logged again with fewer rows: the old lines do not count any more
+    again = Result(*ids, facts(50, 7).filter("learner_id = 1"))
+    log.encode(again, restored=True, rows=10).write.mode("append").text(str(tmp_path))
+    got = log.read(spark, str(tmp_path)).interactions
+    assert sorted(map(key, got.filter("learner_id = 1").collect())) == sorted(map(key, again.interactions.collect()))
+    assert got.filter("learner_id = 0").count() == 1000
+
+
 def test_log_numbers_are_short(spark):
     r = log.decode(log._line_no(write(spark, ['["version",4]', '["I",[0,1,2],{"_packed":{"reward":[0.123456789]}}]'])))
     ints = [json.loads(x["value"]) for x in log.encode(r, restored=True).collect() if x["value"].startswith('["I"')]
@@ -76,3 +105,18 @@ def test_save_refuses_other_environments(spark, tmp_path):
     with pytest.raises(ValueError, match="other environments"):
         store.save(other, rows, str(tmp_path / "s"))
     assert store.save(other, rows, str(tmp_path / "s"), overwrite=True) == "written"
+
+
+def test_lines_of_a_users_making(spark, tmp_path):
+    """A sink is a function from frames to lines; Spark's committer writes them."""
+    from banditframe.sources.python_source import write_made
+
+    def lines(frames):
+        for f in frames:
+            for a, b in zip(f["id"], f["name"]):
+                yield f"{a}:{b}"
+
+    df = spark.createDataFrame([(k, f"n{k}") for k in range(100)], "id long, name string").repartition(3)
+    write_made(df, str(tmp_path / "out"), lines)
+    write_made(df.limit(0), str(tmp_path / "out"), lines)
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "out")).collect()) == sorted(f"{k}:n{k}" for k in range(100))
