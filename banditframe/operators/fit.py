@@ -1,7 +1,9 @@
 """Fitted transforms: scaling and imputing by statistics of the first rows of each environment.
 
-Fitting turns contexts into (environment, feature, value) rows and aggregates them; what is fitted is a small map for each
-environment, joined back by the environment's id.
+Fitting turns contexts into (environment, feature, value) rows and aggregates them. For dense contexts, what is fitted has one entry
+for each place of a row and is joined back by the environment's id. A sparse context's features may be any number: what is fitted stays
+a table, which the cells of the contexts are joined with by environment and feature; a feature that most rows have is split by
+Spark like any skewed key.
 """
 
 from __future__ import annotations
@@ -25,6 +27,17 @@ def _shift(how: float | str, y: Column) -> Column:
     return {"min": -F.min(y), "mean": -F.avg(y), "med": F.when(F.count(y) > 0, F.lit(0.0))}[how]
 
 
+def _by_cell(df: DataFrame, target: str, keys: list[str], fitted: DataFrame, entries: Column) -> DataFrame:
+    """df with its map target made again of what entries (a list of key and value, of f, x and the columns of fitted) gives for each
+    cell; null and empty maps stay."""
+    rows = cut(df.withColumn("__row", F.monotonically_increasing_id()))
+    cells = rows.select("__row", *keys, F.explode(target).alias("f", "x")).join(fitted, [*keys, "f"], "left")
+    made = cells.groupBy("__row").agg(F.map_from_entries(F.flatten(F.collect_list(entries))).alias("__made"))
+    empty = F.create_map().cast(dict(made.dtypes)["__made"])
+    value = F.when(F.col(target).isNotNull(), F.coalesce("__made", empty))
+    return rows.join(made, "__row", "left").withColumn(target, value).select(*df.columns)
+
+
 def scale(df: DataFrame, shift: float | str = 0, scale_: float | str = "minmax", using: int | None = None, target: str = "context", keys: list[str] = ("env_id",), idx: str = "idx") -> DataFrame:
     """(x + shift) * scale for every number of target. shift: a number, min, mean or med (which it takes away); scale: a number,
     or minmax, std, iqr or maxabs (by which it divides, unless under 1e-6). Null and NaN are left out and left alone. Sparse
@@ -65,14 +78,17 @@ def scale(df: DataFrame, shift: float | str = 0, scale_: float | str = "minmax",
     if scale_ == "std":
         width["std"] = F.sqrt(F.col("ss") / F.nullif(F.col("n") - 1, F.lit(0)))
     factor = F.when(width[scale_] >= 1e-6, 1 / width[scale_]).otherwise(1.0) if isinstance(scale_, str) else F.lit(float(scale_))
+    if dtype.startswith("map"):
+        known = cut(moved.filter("shift is not null").select(*keys, "f", F.col("shift").alias("__shift"), factor.alias("__scale")))
+        v = F.col("x").cast("double")
+        value = F.when(F.col("__scale").isNotNull() & ~F.isnan(v), (v + F.col("__shift")) * F.col("__scale")).otherwise(v)
+        return _by_cell(df, target, keys, known, F.array(F.struct(F.col("f").alias("key"), value.alias("value"))))
     fitted = moved.filter("shift is not null").select(*keys, F.struct(F.col("f").alias("f"), F.col("shift"), factor.alias("scale")).alias("e"))
     maps = cut(fitted.groupBy(*keys).agg(F.map_from_entries(F.transform(F.sort_array(F.collect_list("e")), lambda e: F.struct(e["f"], F.struct(e["shift"], e["scale"])))).alias("__fit")))
     out = df.join(maps, keys, "left")
     move = lambda f, v: F.when(F.try_element_at("__fit", f).isNotNull() & v.isNotNull() & ~F.isnan(v), (v + F.try_element_at("__fit", f)["shift"]) * F.try_element_at("__fit", f)["scale"]).otherwise(v)
     c = F.col(target)
-    if dtype.startswith("map"):
-        made = F.transform_values(c, lambda k, v: move(k, v.cast("double")))
-    elif dtype.startswith("array"):
+    if dtype.startswith("array"):
         made = F.transform(c, lambda v, i: move(i, v.cast("double")))
     else:
         made = move(F.lit(0), c.cast("double"))
@@ -98,17 +114,17 @@ def impute(df: DataFrame, stat: str = "mean", indicator: bool = True, using: int
     if stat == "mode":
         modes = stats.mode_first(rows.filter("x is not null"), [*keys, "f"], "x", idx).withColumnRenamed("x", "v")
         gaps = gaps.drop("v").join(modes, [*keys, "f"], "left")
+    if dtype.startswith("map"):
+        known = cut(gaps.select(*keys, "f", "gap", F.col("v").cast("double").alias("v")))
+        own = F.struct(F.col("f").cast("string").alias("key"), F.coalesce(F.col("x").cast("double"), "v").alias("value"))
+        flag = F.struct(F.concat("f", F.lit("_is_missing")).alias("key"), F.when(F.col("x").isNull(), 1.0).otherwise(0.0).alias("value"))
+        return _by_cell(df, target, keys, known, F.when(F.col("gap"), F.array(own, flag)).otherwise(F.array(own)) if indicator else F.array(own))
     maps = cut(gaps.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("f", F.struct("gap", F.col("v").cast("double").alias("v"))))).alias("__fit")))
     out = df.join(maps, keys, "left")
     c = F.col(target)
     at = lambda f, name: F.try_element_at("__fit", f)[name]
     fill = lambda f, v: F.coalesce(v.cast("double"), at(f, "v"))
-    if dtype.startswith("map"):
-        made = F.transform_values(c, fill)
-        if indicator:
-            flags = F.filter(F.map_entries(c), lambda e: at(e["key"], "gap"))
-            made = F.map_concat(made, F.map_from_entries(F.transform(flags, lambda e: F.struct(F.concat(e["key"], F.lit("_is_missing")).alias("key"), F.when(e["value"].isNull(), 1.0).otherwise(0.0).alias("value")))))
-    elif dtype.startswith("array"):
+    if dtype.startswith("array"):
         made = F.transform(c, lambda v, i: fill(i, v))
         if indicator:
             flags = F.transform(c, lambda v, i: F.when(F.coalesce(at(i, "gap"), F.lit(False)), F.when(v.isNull(), 1.0).otherwise(0.0)))

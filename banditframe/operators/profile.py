@@ -11,6 +11,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from banditframe.plans.index import with_index
 from banditframe.plans.ranks import percentiles
 from banditframe.plans.tables import cut
 
@@ -27,6 +28,18 @@ def dense(df: DataFrame, m: str, y: str = "y") -> DataFrame:
     return rows.select(F.transform("__k", lambda k: F.coalesce(F.try_element_at(F.col(m), k), F.lit(0.0)).cast("double")).alias("x"), y)
 
 
+def indexed(df: DataFrame, m: str, id_: str) -> tuple[DataFrame, DataFrame]:
+    """Maps as sparse vectors over the union of their keys, of any number: the dictionary (key, f), numbered by key over a range
+    partitioning, and (id, x: size, indices, values) for each row. Cells meet the dictionary in a join, so no task or row holds it. Zeros
+    and nulls are left out; ids are not repeated."""
+    cells = cut(df.select(id_, F.explode(m).alias("key", "v")).filter("v <> 0").withColumn("v", F.col("v").cast("double")))
+    known = cut(with_index(cells.select("key").distinct(), [], ["key"], "f"))
+    n = known.count()
+    lists = cells.join(known, "key").groupBy(id_).agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("c"))
+    full = df.select(id_).join(lists, id_, "left").withColumn("c", F.coalesce("c", F.array().cast(dict(lists.dtypes)["c"])))
+    return known, full.select(id_, F.struct(F.lit(n).cast("long").alias("size"), F.col("c")["f"].alias("indices"), F.col("c")["v"].alias("values")).alias("x"))
+
+
 def binned(cells: DataFrame, n: int) -> DataFrame:
     """cells with bin: values cut at the 5th and 95th percentile and rounded to one of about n / 10 steps."""
     ends = percentiles(cells, ["f"], "v", [0.05, 0.95], "__p")

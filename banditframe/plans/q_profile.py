@@ -106,6 +106,19 @@ def m14_dense_width(spark, d):
     return out.agg(F.max(F.size("x")).cast("long").alias("width"), F.round(F.sum(F.aggregate("x", F.lit(0.0), lambda a, v: a + v)), 3).alias("total"))
 
 
+@query(r"""WITH w AS (SELECT doc_id, word, count(*)::DOUBLE AS n FROM (SELECT doc_id, unnest(string_split_regex(text, '[ \n]+')) AS word FROM documents) WHERE word <> '' GROUP BY ALL),
+k AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS f FROM (SELECT DISTINCT word FROM w)), s AS (SELECT doc_id, count(*) AS cells, sum(f * n) AS digest, max(f) AS last FROM w JOIN k USING (word) GROUP BY 1)
+SELECT d.doc_id, (SELECT count(*) FROM k) AS size, coalesce(cells, 0) AS cells, coalesce(digest, 0) AS digest, last FROM documents d LEFT JOIN s USING (doc_id)""")
+def m14_wide_sparse(spark, d):
+    """Every word of the documents is a feature: sparse vectors over a dictionary of all words."""
+    docs = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "[ \\n]+")).alias("word")).filter("word <> ''")
+    counts = docs.groupBy("doc_id", "word").agg(F.count("*").cast("double").alias("n"))
+    maps = counts.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("m"))
+    _, rows = P.indexed(table(spark, d, "documents").select("doc_id").join(maps, "doc_id", "left"), "m", "doc_id")
+    digest = F.aggregate(F.zip_with("x.indices", "x.values", lambda f, v: f * v), F.lit(0.0), lambda a, v: a + v)
+    return rows.select("doc_id", "x.size", F.size("x.indices").cast("long").alias("cells"), digest.alias("digest"), F.array_max("x.indices").alias("last"))
+
+
 @query()
 def m15_principal_components(spark, d):
     e = table(spark, d, "embeddings")

@@ -168,3 +168,23 @@ def test_direct_method_crosses_and_folds(spark):
                     assert got[r[1]] == pytest.approx([float(np.dot(cells(r[2], k), beta)) for k in range(2)], abs=1e-6)
     with pytest.raises(ValueError, match="no rewards"):
         ope.direct_method(df.limit(0), ["u", "v"])
+
+
+def test_sparse_fits_by_cell(spark):
+    """Repeated rows, null and empty maps, features of one environment only."""
+    rows = [(1, 0, {"a": 2.0, "b": None}), (1, 0, {"a": 2.0, "b": None}), (1, 1, {"a": 4.0, "b": 6.0}), (2, 0, {"a": 10.0}), (2, 1, {}), (2, 2, None), (None, 0, {"a": 1.0})]
+    df = spark.createDataFrame(rows, "env_id int, idx long, context map<string,double>")
+    got = sorted(((r["env_id"] or 0, r["idx"], sorted(({"none": 0} if r["context"] is None else r["context"]).items())) for r in fit.impute(df).collect()), key=str)
+    filled = [("a", 2.0), ("b", 6.0), ("b_is_missing", 1.0)]
+    assert got == sorted([(1, 0, filled), (1, 0, filled), (1, 1, [("a", 4.0), ("b", 6.0), ("b_is_missing", 0.0)]), (2, 0, [("a", 10.0)]), (2, 1, []), (2, 2, [("none", 0)]), (0, 0, [("a", 1.0)])], key=str)
+    scaled = sorted(((r["env_id"] or 0, r["idx"], sorted(({"none": 0} if r["context"] is None else r["context"]).items())) for r in fit.scale(df.filter("env_id = 2"), 0, "maxabs").collect()), key=str)
+    assert scaled == [(2, 0, [("a", 1.0)]), (2, 1, []), (2, 2, [("none", 0)])]
+
+
+def test_sparse_vectors_over_a_dictionary(spark):
+    from banditframe.operators import profile
+
+    df = spark.createDataFrame([(1, {"x": 1.0, "b": 0.0}), (2, {"a": 2.0, "x": 3.0}), (3, None), (4, {})], "id long, m map<string,double>")
+    known, out = profile.indexed(df, "m", "id")
+    assert {tuple(r) for r in known.collect()} == {("a", 0), ("x", 1)}
+    assert {r["id"]: (r["x"]["size"], r["x"]["indices"], r["x"]["values"]) for r in out.collect()} == {1: (2, [1], [1.0]), 2: (2, [0, 1], [2.0, 3.0]), 3: (2, [], []), 4: (2, [], [])}
