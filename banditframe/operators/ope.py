@@ -30,6 +30,17 @@ def require(df: DataFrame, mode: str) -> None:
         raise ValueError(f"{mode} evaluation needs the columns {', '.join(names)}")
 
 
+def incomplete(df: DataFrame, mode: str, keys: list[str] = KEYS) -> DataFrame:
+    """(keys, rows, incomplete, and for each needed column how often it is null): which environments of a log an evaluation can't use
+    as they are. A column that df has not is null in every row."""
+    gap = lambda c: F.col(c).isNull() if c in df.columns else F.lit(True)
+    any_ = F.lit(False)
+    for c in NEEDS[mode]:
+        any_ = any_ | gap(c)
+    count = lambda x: F.sum(x.cast("long"))
+    return df.groupBy(*keys).agg(F.count("*").alias("rows"), count(any_).alias("incomplete"), *[count(gap(c)).alias(c) for c in NEEDS[mode]])
+
+
 def ips(action: Column, logged: Column = None, reward: Column = None, probability: Column = None) -> Column:
     """reward / probability for the logged action (a missing or zero probability counts as 1), 0 for others."""
     logged = F.col("action") if logged is None else logged

@@ -95,3 +95,16 @@ def draw_sql(seed: str, k: str) -> str:
     for b, (a, c) in enumerate(jumps(20)):
         s = f"(SELECT CASE WHEN (({k})::BIGINT >> {b}) & 1 = 1 THEN (s * {a} + {c}) & 1073741823 ELSE s END FROM (SELECT {s} AS s))"
     return f"({s} / 1073741824.0)"
+
+
+def crc_sql(source: str, longest: int) -> str:
+    """crc(s, v): CRC-32 of the texts s of a table, ASCII of at most `longest` characters, for a WITH clause. CRC-32 is linear in its
+    input but for a constant of the length, so it is the XOR of what each character adds at its distance from the end."""
+    from zlib import crc32
+
+    zero = {n: crc32(bytes(n)) for n in range(longest + 1)}
+    ends = ", ".join(f"({n}, {v})" for n, v in zero.items())
+    adds = ", ".join(f"({n}, {c}, {crc32(bytes([c]) + bytes(n)) ^ zero[n + 1]})" for n in range(longest) for c in range(32, 127))
+    return f"""zeros(n, v) AS (VALUES {ends}), adds(n, c, v) AS (VALUES {adds}),
+chars AS (SELECT s, unnest(range(1, length(s) + 1)) AS k FROM (SELECT DISTINCT s FROM {source})),
+crc AS (SELECT s, xor(bit_xor(a.v::BIGINT), any_value(z.v)::BIGINT) AS v FROM chars JOIN adds a ON a.n = length(s) - k AND a.c = ascii(s[k]) JOIN zeros z ON z.n = length(s) GROUP BY s)"""

@@ -370,7 +370,9 @@ def r5_dense_lookup(spark, d):
     return out.select("doc_id", F.size("dense").alias("n"), F.aggregate("dense", F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
-@query()
+@query(f"""WITH ks AS (SELECT doc_id, 'lang=' || lang AS s, 1.0::DOUBLE AS value, 1 AS nth FROM documents UNION ALL SELECT doc_id, 'source=' || source, 1.0, 2 FROM documents UNION ALL SELECT doc_id, 'n_chars', n_chars::DOUBLE, 3 FROM documents),
+{data.crc_sql("ks", 16)}, won AS (SELECT doc_id, v % 16 AS slot, arg_max(value, nth) AS value FROM ks JOIN crc USING (s) GROUP BY ALL)
+SELECT g.doc_id, list(coalesce(value, 0.0) ORDER BY k) AS dense FROM (SELECT doc_id, k FROM documents, range(16) t(k)) g LEFT JOIN won ON won.doc_id = g.doc_id AND slot = k GROUP BY 1""")
 def r6_f14_dense_hashing(spark, d):
     return _sparse_docs(spark, d).select("doc_id", FT.dense_hashed(F.col("context"), 16).alias("dense"))
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from banditframe.functions import stats
 from banditframe.operators import learning, ope, policy, reshape
 from banditframe.plans import data
 from banditframe.plans.data import LOGGED, TYPES, draw_sql
+from banditframe.plans.prefix import running
 
 Q, SQL = {}, {}
 PMF = [0.4, 0.1, 0.1, 0.1, 0.3]
@@ -292,3 +294,24 @@ def d3_fading_policy(spark, d):
     """A policy of a user's own whose state fades, so that its blocks merge in order."""
     out = learning.learned(_log(spark, d), _fading_learner(0.9), block=100)
     return out.select("env_id", "idx", F.transform("pmf", lambda p: F.round(p, 6)).alias("pmf"))
+
+
+@query(f"WITH {LOGGED}, h AS (SELECT env_id, CASE WHEN idx % 7 <> 0 THEN context END AS context, CASE WHEN idx % 5 <> 0 THEN reward END AS reward FROM logged) SELECT env_id, count(*) AS rows, sum((context IS NULL OR reward IS NULL)::INT) AS incomplete, sum((context IS NULL)::INT) AS context, 0 AS actions, 0 AS action, sum((reward IS NULL)::INT) AS reward FROM h GROUP BY 1")
+def e13_incomplete_rows(spark, d):
+    """Which rows of a log a regression estimate can't use."""
+    hide = lambda c, n: F.when(F.col("idx") % n != 0, F.col(c))
+    return ope.incomplete(_log(spark, d).withColumns({"context": hide("context", 7), "reward": hide("reward", 5)}), "dm")
+
+
+@query(f"WITH {LOGGED} SELECT env_id, count(*) FILTER (WHERE context <> 3) AS rows, TRUE AS fits FROM logged GROUP BY 1")
+def e7_thompson_draws(spark, d):
+    """The draws themselves: with one feature the sign of a drawn coefficient, from N(b / a, alpha / a), decides the action. Over the
+    rows of an environment it is positive about as often as these distributions say."""
+    log = _log(spark, d).withColumn("__x", (F.col("context") - 3) * (F.array_position("actions", F.col("action")) - 3))
+    drawn = policy.linear(log.withColumn("x", F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.array((F.col("context") - 3) * (k - 2)))), 5, kind="ts", alpha=0.5, block=1)
+    past = running(log, ["env_id"], "idx", {"a": F.col("__x") * F.col("__x"), "b": F.col("__x") * F.col("reward")}, upto=-1)
+    p = stats.normal(F.coalesce("b", F.lit(0.0)) / F.sqrt(0.5 * (1 + F.coalesce("a", F.lit(0.0)))))
+    both = drawn.filter("context <> 3").join(past.select(F.col("env_id").alias("__e"), F.col("idx").alias("__i"), p.alias("p")), (F.col("env_id") == F.col("__e")) & (F.col("idx") == F.col("__i")))
+    up = ((F.get("pmf", F.lit(4)) == 1) == (F.col("context") > 3)).cast("double")
+    off = F.sum(up - F.col("p")) / F.sqrt(F.sum(F.col("p") * (1 - F.col("p"))))
+    return both.groupBy("env_id").agg(F.count("*").alias("rows"), (F.abs(off) < 4.5).alias("fits"))
