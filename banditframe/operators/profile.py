@@ -4,7 +4,11 @@ All of it is aggregation over (row, feature, value, label) rows; distinct values
 
 from __future__ import annotations
 
-from pyspark.ml.classification import DecisionTreeClassifier, NaiveBayes, RandomForestClassifier
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA, StringIndexer
 from pyspark.ml.functions import array_to_vector
@@ -153,22 +157,84 @@ def principal(df: DataFrame, k: int, x: str = "x") -> DataFrame:
 def landmarks(df: DataFrame, x: str = "x", y: str = "y", id_: str = "id", folds: int = 5) -> DataFrame:
     """(model, f1, accuracy): mean scores over folds of Gaussian naive Bayes, fifty stumps, and one entropy stump."""
     rows = StringIndexer(inputCol=y, outputCol="label", handleInvalid="skip").fit(df).transform(df)
-    rows = cut(rows.select(array_to_vector(F.col(x).cast("array<double>")).alias("features"), "label", F.pmod(F.xxhash64(id_), F.lit(folds)).alias("fold")))
+    rows = cut(rows.select(F.col(x).cast("array<double>").alias("x"), "label", F.pmod(F.xxhash64(id_), F.lit(folds)).alias("fold"))).withColumn("features", array_to_vector("x"))
+    bayes = scores(naive_bayes(rows.drop("features"), "x", "label"), "label").first()
     models = {
-        "naive_bayes": NaiveBayes(modelType="gaussian"),
         "average_node": RandomForestClassifier(maxDepth=1, numTrees=50, impurity="entropy", seed=1),
         "best_node": DecisionTreeClassifier(maxDepth=1, impurity="entropy", seed=1),
     }
-    out = []
+    out = [("naive_bayes", bayes["f1"], bayes["accuracy"])]
     for name, model in models.items():
-        scores = []
+        got = []
         for f in range(folds):
             made = model.fit(rows.filter(F.col("fold") != f)).transform(rows.filter(F.col("fold") == f))
-            scores.append([MulticlassClassificationEvaluator(metricName=m).evaluate(made) for m in ("f1", "accuracy")])
-        out.append((name, *[float(sum(s) / folds) for s in zip(*scores)]))
+            got.append([MulticlassClassificationEvaluator(metricName=m).evaluate(made) for m in ("f1", "accuracy")])
+        out.append((name, *[float(sum(s) / folds) for s in zip(*got)]))
     return df.sparkSession.createDataFrame(out, "model string, f1 double, accuracy double")
 
 
+def naive_bayes(df: DataFrame, x: str = "x", y: str = "y", fold: str = "fold") -> DataFrame:
+    """df with `predicted`, by Gaussian naive Bayes of the other folds: counts, sums and squares of each fold, label and feature come from
+    one pass, and a fold's model from all but its own. What is gathered is as large as folds, labels and features are many; labels
+    are whole numbers, and of equal ones the least wins. Rows with a null feature or label teach nothing and get null."""
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for key, part in batch.groupby(["f", "y"]):
+                v = np.stack(part["x"].to_numpy())
+                own = np.stack([np.full(v.shape[1], float(len(v))), v.sum(axis=0), (v * v).sum(axis=0)])
+                at[key] = at[key] + own if key in at else own
+        for (f, label), m in at.items():
+            yield pd.DataFrame({"f": f, "y": label, "k": np.arange(m.shape[1]), "n": m[0], "s": m[1], "q": m[2]})
+
+    whole = F.col(x).cast("array<double>")
+    usable = F.col(y).isNotNull() & F.coalesce(~F.exists(x, lambda v: v.isNull()), F.lit(False))
+    rows = df.filter(usable).select(F.col(fold).cast("long").alias("f"), F.col(y).cast("long").alias("y"), whole.alias("x"))
+    got = rows.mapInPandas(summed, "f long, y long, k int, n double, s double, q double").groupBy("f", "y", "k").agg(*[F.sum(c).alias(c) for c in "nsq"]).toPandas()
+    labels_, width = np.sort(got["y"].unique()), int(got["k"].max()) + 1 if len(got) else 0
+    sums: dict[int, np.ndarray] = {}
+    for f, part in got.groupby("f"):
+        m = sums[int(f)] = np.zeros((3, len(labels_), width))
+        m[:, np.searchsorted(labels_, part["y"]), part["k"]] = part[["n", "s", "q"]].to_numpy().T
+    all_ = sum(sums.values())
+
+    def model(f: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n, s, q = all_ - sums[f] if f in sums else all_
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mean = s / n
+            spread = q / n - mean * mean
+            total = q.sum(axis=0) / n.sum(axis=0) - (s.sum(axis=0) / n.sum(axis=0)) ** 2
+            return np.log(n[:, 0] / n[:, 0].sum()), mean, np.maximum(spread, 1e-9 * np.nanmax(total, initial=0))
+
+    @F.pandas_udf("long")
+    def predicted(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        known: dict[int, tuple] = {}
+        for xs, fs in batches:
+            out: list = []
+            for v, f in zip(xs, fs):
+                if v is None or not len(labels_) or np.isnan(v := np.asarray(v, float)).any():
+                    out.append(None)
+                    continue
+                if f not in known:
+                    known[f] = model(f)
+                prior, mean, spread = known[f]
+                z = prior - 0.5 * (np.log(2 * np.pi * spread) + (v - mean) ** 2 / spread).sum(axis=1)
+                out.append(int(labels_[np.nanargmax(z)]))
+            yield pd.Series(out, dtype="Int64")
+
+    return df.withColumn("predicted", predicted(whole, F.col(fold).cast("long")))
+
+
+def scores(df: DataFrame, y: str = "y", fold: str = "fold") -> DataFrame:
+    """One row: accuracy, and f1 weighted by how often a label is, both as means over folds of rows with `predicted`."""
+    cells = df.groupBy(fold, F.col(y).alias("y"), "predicted").agg(F.count("*").alias("n"))
+    both = cells.select(fold, F.explode(F.array(F.struct(F.col("y").cast("long").alias("l"), F.col("n").alias("is"), F.lit(0).cast("long").alias("said"), F.when(F.col("y") == F.col("predicted"), F.col("n")).otherwise(0).alias("hit")), F.struct(F.col("predicted").alias("l"), F.lit(0).cast("long").alias("is"), F.col("n").alias("said"), F.lit(0).cast("long").alias("hit")))).alias("c")).select(fold, "c.*")
+    each = both.groupBy(fold, "l").agg(*[F.sum(c).alias(c) for c in ("is", "said", "hit")])
+    own = each.groupBy(fold).agg((F.sum("hit") / F.sum("is")).alias("accuracy"), (F.sum(F.col("is") * 2 * F.col("hit") / (F.col("is") + F.col("said"))) / F.sum("is")).alias("f1"))
+    return own.agg(F.avg("accuracy").alias("accuracy"), F.avg("f1").alias("f1"))
+
+
 def ranked(info: DataFrame, n: int = 2) -> DataFrame:
     """The features of largest mutual information."""
     return info.withColumn("rank", F.row_number().over(Window.orderBy(F.col("mi").desc(), "f"))).filter(F.col("rank") <= n).select("rank", "f", "mi")

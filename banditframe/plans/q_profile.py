@@ -129,3 +129,16 @@ def m15_principal_components(spark, d):
 def m16_landmarks(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"), F.col("label").alias("y"))
     return P.landmarks(cut(e))
+
+
+@query("""WITH r AS (SELECT vec_id AS id, label AS y, vec_id % 5 AS fold, embedding FROM embeddings), c AS (SELECT id, y, fold, unnest(range(64)) AS k, unnest(embedding)::DOUBLE AS v FROM r), o AS (SELECT DISTINCT fold AS own FROM r),
+m AS (SELECT own, y, k, avg(v) AS mu, var_pop(v) AS va FROM o JOIN c ON own <> fold GROUP BY ALL), n AS (SELECT own, y, ln(count(*) / sum(count(*)) OVER (PARTITION BY own)) AS prior FROM o JOIN r ON own <> fold GROUP BY own, y),
+s AS (SELECT c.id, c.y, c.fold, m.y AS g, any_value(prior) - 0.5 * sum(ln(2 * pi() * va) + (v - mu) ^ 2 / va) AS z FROM c JOIN m ON m.own = c.fold AND m.k = c.k JOIN n ON n.own = c.fold AND n.y = m.y GROUP BY ALL),
+p AS (SELECT id, y, fold, arg_max(g, z) AS predicted FROM s GROUP BY ALL),
+l AS (SELECT fold, label, sum((y = label)::INT) AS n, sum((predicted = label)::INT) AS said, sum((y = label AND predicted = label)::INT) AS hit FROM p, (SELECT DISTINCT label FROM embeddings) GROUP BY ALL),
+f AS (SELECT fold, sum(hit) / sum(n) AS accuracy, sum(CASE WHEN n + said > 0 THEN n * 2 * hit / (n + said) ELSE 0 END) / sum(n) AS f1 FROM l GROUP BY 1)
+SELECT round(avg(accuracy), 6) AS accuracy, round(avg(f1), 6) AS f1 FROM f""")
+def m16_naive_bayes(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"), F.col("label").alias("y"), (F.col("vec_id") % 5).alias("fold"))
+    out = P.scores(P.naive_bayes(e))
+    return out.select(F.round("accuracy", 6).alias("accuracy"), F.round("f1", 6).alias("f1"))

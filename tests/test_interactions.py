@@ -188,3 +188,14 @@ def test_sparse_vectors_over_a_dictionary(spark):
     known, out = profile.indexed(df, "m", "id")
     assert {tuple(r) for r in known.collect()} == {("a", 0), ("x", 1)}
     assert {r["id"]: (r["x"]["size"], r["x"]["indices"], r["x"]["values"]) for r in out.collect()} == {1: (2, [1], [1.0]), 2: (2, [0, 1], [2.0, 3.0]), 3: (2, [], []), 4: (2, [], [])}
+
+
+def test_naive_bayes_of_odd_rows(spark):
+    from banditframe.operators import profile
+
+    rows = [(k % 3, [float(k % 2) * 5 + (k % 7) / 10, 1.0], k % 2) for k in range(60)] + [(0, None, 1), (1, [None, 1.0], 0), (2, [5.0, 1.0], None), (9, [5.2, 1.0], 1)]
+    df = spark.createDataFrame(rows, "fold int, x array<double>, y int")
+    got = profile.naive_bayes(df).collect()
+    assert all(r["predicted"] is None if r["x"] is None or None in r["x"] else r["predicted"] == (r["x"][0] > 3) for r in got) and len(got) == len(rows)
+    assert tuple(profile.scores(profile.naive_bayes(df.filter("y is not null and fold < 3").limit(60))).first()) == (1.0, 1.0)
+    assert profile.naive_bayes(df.limit(0)).count() == 0
