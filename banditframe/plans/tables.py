@@ -20,11 +20,33 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Folders that cut has written, by application.
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and read again: its lineage ends there and its size is known."""
-    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    """df, written to the shared folder and read again: its lineage ends there and its size is known. The folder stays until
+    `release`."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, in whatever file system it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes all that cut has written for this application, and says how many folders that were. To be called when the results
+    that were made of them are written: frames that read them can't be used any more."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        remove(spark, path)
+    return len(paths)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor
@@ -15,7 +15,7 @@ from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor
 from banditframe.operators.learning import Learner
 from banditframe.operators.policy import greedy
 from banditframe.plans.prefix import running
-from banditframe.plans.tables import cut
+from banditframe.plans.tables import cut, remove
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -55,17 +55,11 @@ def epsilon_greedy(log: DataFrame, path: str, actions: list[str], epsilon: float
         state = (new if old is None else old.unionByName(new)).groupBy("env_id").agg(*[F.sum(n).alias(n) for n in names])
         state.write.mode("overwrite").parquet(f"{path}/state/{batch}")
         if batch > 1:
-            _remove(spark, f"{path}/state/{batch - 2}")
+            remove(spark, f"{path}/state/{batch - 2}")
 
     return log.writeStream.foreachBatch(step)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder, in whatever file system it is."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
-
-
 def rewarded(choices: DataFrame, rewards: DataFrame, on: str, within: str = "1 hour", late: str = "1 hour", ts: str = "ts", reward: str = "reward", missing: float = 0.0) -> DataFrame:
     """choices with the reward that a second stream brings for them: that with the same `on` and a time up to `within` after the
     choice's; `missing` for choices that get none, as soon as the watermarks of both streams (`late`) say that none can come. State is

@@ -33,3 +33,11 @@ def test_a_cluster_without_shared_folder_is_an_error():
     context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         tables.shared_dir(SimpleNamespace(conf={}, sparkContext=context))
+
+
+def test_written_tables_are_released(spark):
+    df = tables.cut(spark.range(10))
+    folder = df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://").removeprefix("file:")
+    assert Path(folder).is_dir() and df.count() == 10
+    assert tables.release(spark) >= 1 and not Path(folder).exists()
+    assert tables.release(spark) == 0
