@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from zlib import crc32
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from banditframe.llm import decontaminate, licenses, manifest, mixing, negatives, ogg, pii, quality, simhash, tokens, toxicity, urls, wrappers
 from banditframe.llm.common import table
+from banditframe.plans.data import crc_sql
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,26 +128,14 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
-def _crc_sql(digits: int = 19) -> str:
-    """crc(doc_id, v): CRC-32 is linear in its input but for a constant: tables of each length's crc of zeros, and of what a digit
-    adds at each distance from the end."""
-    zero = {n: crc32(b"0" * n) for n in range(1, digits + 1)}
-    ends = ", ".join(f"({n}, {v})" for n, v in zero.items())
-    adds = ", ".join(f"({n}, '{d}', {crc32(f'{d}'.encode() + b'0' * (n - 1)) ^ zero[n]})" for n in range(1, digits + 1) for d in range(10))
-    return f"""zeros(n, v) AS (VALUES {ends}), adds(n, digit, v) AS (VALUES {adds}),
-ids AS (SELECT DISTINCT doc_id, doc_id::VARCHAR AS s FROM documents WHERE doc_id IS NOT NULL),
-chars AS (SELECT doc_id, s, unnest(range(1, length(s) + 1)) AS k FROM ids),
-crc AS (SELECT doc_id, xor(bit_xor(a.v::BIGINT), any_value(z.v)::BIGINT) AS v FROM chars JOIN adds a ON a.n = length(s) - k + 1 AND a.digit = s[k] JOIN zeros z ON z.n = length(s) GROUP BY doc_id)"""
-
-
 def _merkle_sql(levels: int = 7, above: int = 3) -> str:
     """levels within a language (8^7 documents) and above (8^3 languages), unrolled."""
     field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
     head = "sha256(" + " || ".join(map(field, ["doc_id", "source", "lang", "n_chars"])) + " || "
     low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    sql = f"""WITH {_crc_sql()},
+    sql = f"""WITH ids AS (SELECT doc_id::VARCHAR AS s FROM documents WHERE doc_id IS NOT NULL), {crc_sql('ids', 19)},
 docs AS (SELECT doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, {head}{field('text')}) AS leaf, {head}CASE WHEN crc.v % 3 = 0 THEN {field(low)} ELSE {field('text')} END) AS shown
-    FROM documents LEFT JOIN (SELECT doc_id AS id, v FROM crc) crc ON doc_id = id),
+    FROM documents LEFT JOIN crc ON doc_id::VARCHAR = s),
 l0 AS (SELECT doc_id, leaf, shown, g, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM docs),
 n0 AS (SELECT g, i, leaf AS h, count(*) OVER (PARTITION BY g) AS n FROM l0)"""
     for k in range(levels + above):
