@@ -7,9 +7,11 @@ slots. A slot knows whether its text varies over the host's pages. Pages are the
 varies in the article is their text: the innermost kind of place that a page has (article, main part, body), without menus,
 headers, footers and the like, without texts that the host repeats on its pages (template), and without repeated lists of links.
 
-Inside an article or main part a text counts as template only if it is no heading, is the same on at least `SURE` different pages,
-and other texts there vary; elsewhere on `FEW` pages. So near copies of a page keep what they share. An h1 above the article that is
-not the same on all pages is its title, if it has no other.
+Inside an article or main part a text counts as template only if it is no heading, stands in its place on every page of the host that
+has such a part, is the same on `FEW` different pages at least, and other texts there vary; and of a page's article such texts are
+left out only if they are less than half of it, however many pages there are. So near copies of a page, which share most of their
+text, keep what they share. Elsewhere the same text on `FEW` pages is template. An h1 above the article that is not the same on
+all pages is its title, if it has no other.
 
 Wrappers are bounded by merging, never by dropping: numbers in attributes are masked, elements below a depth belong to the element
 at that depth, and a wrapper of too many items is made coarser (siblings of one tag become one repeated item, then deep elements
@@ -39,13 +41,17 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|
 RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "svg", "object", "select", "title"}
 VOID = {"area", "base", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
+#: Inline elements that may stand beside the text.
+ASIDE = {"a", "b", "em", "i", "ins", "small", "span", "strong"}
 #: Elements that a new one of the same kind ends.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 OUTSIDE = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "head"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form"}
 #: First parts of class names and ids that say what stands beside the text, alone or with one of LAYOUT after it.
-BESIDE = {"ad", "ads", "adsense", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie", "cookies", "consent", "disclaimer", "disqus", "footer", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "popup", "promo", "promotion", "related", "reply", "replies", "respond", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "topbar", "widget", "widgets"}
-LAYOUT = {"area", "banner", "bar", "block", "body", "bottom", "box", "button", "buttons", "col", "column", "container", "content", "footer", "form", "group", "header", "inner", "item", "items", "left", "link", "links", "list", "main", "menu", "message", "nav", "notice", "panel", "popup", "post", "posts", "primary", "right", "row", "secondary", "section", "site", "slot", "thread", "top", "unit", "wrap", "wrapper", "0"}
+BESIDE = {"ad", "ads", "adsense", "advert", "adverts", "advertisement", "advertising", "alert", "alerts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie", "cookies", "consent", "disclaimer", "disqus", "footer", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "notifications", "pagination", "popup", "promo", "promotion", "related", "reply", "replies", "respond", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "topbar", "widget", "widgets"}
+LAYOUT = {"area", "banner", "bar", "block", "body", "bottom", "box", "button", "buttons", "col", "column", "container", "content", "footer", "form", "group", "header", "inner", "item", "items", "left", "link", "links", "list", "main", "menu", "message", "nav", "notice", "overlay", "panel", "popup", "post", "posts", "primary", "right", "row", "secondary", "section", "site", "slot", "thread", "top", "unit", "wrap", "wrapper", "0"}
+#: Whole names, without what parts their words.
+BESIDE_NAMES = {"aboutauthor", "adsbygoogle", "authorbio", "authorbox", "commentlist", "commentslist", "entrymeta", "mainmenu", "mainnav", "postmeta", "sidecol", "sidenav", "skiplink", "subnav", "topmenu", "topnav"}
 #: What a class name of a whole page's header is made of.
 HEADERS = {"header", "site", "page", "top", "main", "global", "masthead"}
 #: The only ones that hold for an article, main part or body as a whole.
@@ -53,8 +59,9 @@ REMARKS = {"ad", "advert", "comment", "comments", "promo", "related", "reply", "
 HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements deeper than this are not told apart in wrappers; a wrapper has at most about this many items.
 DEEPEST, MOST = 60, 2000
-FEW, SURE = 3, 20
-ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=\s|$|/)""", re.I)
+FEW = 3
+ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=\s|$|/)""", re.I)
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 BESIDE_NOT, BESIDE_CLASS, BESIDE_TAG = 0, 1, 2
 
 
@@ -81,8 +88,10 @@ def _signature(tag: tuple[str, str]) -> str:
     words = set()
     for k, x, y, z in ATTR.findall(attrs):
         k = k.lower()
-        if k == "hidden":
+        if k == "hidden" or k == "style" and UNSEEN.search(x or y or z):
             words.add("!")
+        elif k == "style":
+            continue
         else:
             words |= {{"class": ".", "id": "#", "role": "@"}[k] + re.sub(r"(?<=[-_])\d+|\d{2,}", "0", w) for w in (x or y or z).split()}
     return " ".join([name, *sorted(words)])
@@ -96,6 +105,8 @@ def _beside(word: str, whole: bool) -> bool:
     parts = [x for x in re.split(r"[-_]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", word).lower()) if x]
     if whole or not parts:
         return parts[:1] != [] and parts[0] in REMARKS and len(parts) == 1
+    if "".join(parts) in BESIDE_NAMES:
+        return True
     if parts[0] in BESIDE:
         return all(x in LAYOUT or x in BESIDE for x in parts[1:])
     return len(parts) > 1 and parts[-1] in BESIDE and parts[0] not in ("no", "has", "with", "without", "is")
@@ -173,7 +184,9 @@ def read(page: str, ids: bool = False) -> tuple[list[list], list[tuple[str, int,
                     links += len(part)
             continue
         name = name.lower()
-        if name in INLINE:
+        # inline elements that are hidden or stand beside the text are like blocks
+        apart = name in INLINE and (any(name == s[0] for s in stack) or not m[1] and m[3] != "" and name in ASIDE and KINDS[SIGNATURES[name, m[3]]][1] != BESIDE_NOT)
+        if name in INLINE and not apart:
             if name == "a":
                 inside = 0 if m[1] else 1
         elif name in VOID:
@@ -222,7 +235,7 @@ def _join(x: list, y: list) -> list:
     if x[0] != "#":
         return [x[0], x[1] | y[1], x[2] | y[2], merge(x[3], y[3])]
     same = x[3] is not None and x[3] == y[3]
-    marks = (x[4] if x[4] == y[4] else sorted({*x[4], *y[4]})[:SURE]) if same else None
+    marks = (x[4] if x[4] == y[4] else sorted({*x[4], *y[4]})[:FEW]) if same else None
     return ["#", x[1] | y[1], x[2] | y[2], x[3] if same else None, marks, x[5] + y[5], x[6] + y[6], x[7] + y[7] if x[7] is not None and y[7] is not None else None]
 
 
@@ -399,27 +412,33 @@ def merged(wrappers: Iterable[str]) -> str:
 
 def judge(wrapper: list[list]) -> list[list]:
     """The wrapper with a verdict as the last field of each slot: 'same' if different pages have the same text in it, 'template' if that
-    is no part of their text, 'links' for a repeated slot of links, or None."""
+    is no part of their text, 'notice' if it is none inside an article unless most of that is such, 'links' for a repeated slot of
+    links, or None."""
     slots: list[tuple[list, int, str]] = []
+    missing: set[int] = set()  # slots that not every article has
 
-    def walk(items: list[list], place: int, name: str) -> None:
+    def walk(items: list[list], place: int, name: str, some: int) -> None:
         for x in items:
             if x[0] == "#":
                 slots.append((x, place, name))
+                if some or x[1] or x[2]:
+                    missing.add(id(x))
             elif x[0] == "+":
-                walk(x[3], place, name)
+                walk(x[3], place, name, 1)
             else:
-                walk(x[3], _below(place, x[0]), x[0].partition(" ")[0])
+                below = _below(place, x[0])
+                # a page without an article has none of its texts either
+                walk(x[3], below, x[0].partition(" ")[0], 0 if below > max(place, 0) else some | x[1] | x[2])
 
-    walk(wrapper, 0, "")
+    walk(wrapper, 0, "", 0)
     # whether other texts vary: in the body, and besides headings in articles and main parts
     varies = {p: any(x[3] is None and (place > 0) == p and place >= 0 and not (p and name in HEADING) for x, place, name in slots) for p in (False, True)}
     for x, place, name in slots:
         pages = len(x[4]) if x[3] is not None else 0
         x[7] = "same" if pages >= FEW else None
         if place >= 1:
-            if pages >= SURE and name not in HEADING and not x[2] and varies[True]:
-                x[7] = "template"
+            if pages >= FEW and name not in HEADING and id(x) not in missing and varies[True]:
+                x[7] = "notice"
         elif pages >= FEW and varies[False]:
             x[7] = "template"
         elif x[2] and x[6] >= 0.9 * x[5] > 0 and place == 0:
@@ -451,7 +470,10 @@ def extract(page: str | None, wrapper: list[list]) -> str:
     if top < (0 if own_place else -1):
         return ""
     said = verdicts(own, wrapper) if wrapper else {}
-    kept = {k for k, (_, p, _) in enumerate(blocks) if p == top and said.get(k) not in ("template", "links")}
+    notices = [k for k, (_, p, _) in enumerate(blocks) if p == top and said.get(k) == "notice"]
+    if 2 * sum(len(blocks[k][0]) for k in notices) >= sum(len(x) for x, p, _ in blocks if p == top):
+        notices = []
+    kept = {k for k, (_, p, _) in enumerate(blocks) if p == top and said.get(k) not in ("template", "links")}.difference(notices)
     if not kept:
         kept = {k for k, (_, p, _) in enumerate(blocks) if p == top}
     if top > 0 and not any(blocks[k][2] == "h1" for k in kept):

@@ -97,10 +97,18 @@ def test_positions_of_equal_elements_are_told_apart(spark):
     assert texts(spark, pages) == [f"H{k} Own {k}" for k in range(3)]
 
 
-def test_notices_inside_articles(spark):
-    pages = [f"<article><h1>About</h1><p>One {k}</p><div><p>Write to our editors.</p></div></article>" for k in range(25)]
-    assert texts(spark, pages) == [f"About One {k}" for k in range(25)]
-    assert texts(spark, pages[:5]) == [f"About One {k} Write to our editors." for k in range(5)]
+@pytest.mark.parametrize("n", [3, 5, 25])
+def test_notices_inside_articles(spark, n):
+    pages = [f"<article><h1>About</h1><p>What number {k} has to say is longer than that.</p><div><p>Write to our editors.</p></div></article>" for k in range(n)]
+    assert texts(spark, pages) == [f"About What number {k} has to say is longer than that." for k in range(n)]
+
+
+@pytest.mark.parametrize("n", [2, 10, 19, 20, 50])
+def test_near_copies_keep_what_they_share(spark, n):
+    """Also where the shared text stands alone in its place, however many copies there are."""
+    shared = "The shared long body that all copies of this page have in common."
+    pages = [f"<article><h1>Same</h1><section><p>{shared}</p></section><p>Variant {k}</p></article>" for k in range(n)]
+    assert texts(spark, pages) == [f"Same {shared} Variant {k}" for k in range(n)]
 
 
 def test_copies_keep_their_text(spark):
@@ -110,7 +118,17 @@ def test_copies_keep_their_text(spark):
     assert texts(spark, near) == [f"Same Same Same {k // 20}" for k in range(40)]
 
 
+def test_what_not_every_article_has_is_no_notice(spark):
+    """The same sentence in some of a host's articles may be theirs."""
+    pages = [f"<article><h1>About</h1><p>Words of number {k} and some more of them</p>{'<div><p>As we said.</p></div>' if k % 3 else ''}</article>" for k in range(30)]
+    assert all(("As we said." in t) == (k % 3 > 0) for k, t in enumerate(texts(spark, pages)))
+
+
 LAYOUTS = {
+    "comment list": ("<article><h1>T</h1><p>x</p><ol class=commentlist><li>wow 3</li></ol><div class=author-box>A.</div></article>", "T x"),
+    "names inside": ("<article><p>x</p><ins class=adsbygoogle>a</ins><div class=popup-overlay>p</div><div class='notification'>n</div><div class=alert>al</div><div class=entry-meta>m</div><div class=mainmenu>mm</div><div class=topnav>t</div></article>", "x"),
+    "inline": ("<article><p>x <span hidden>h</span><span class=note>y</span> <span>z <span style='display:none'>q</span></span> e</p><span class=ads>b<span>c</span>b</span> d</article>", "x y z e d"),
+    "no display": ("<article><p>x</p><p style='display:none'>y</p><p style=\"color:red; DISPLAY : none !important\">z</p></article>", "x"),
     "article": ("<header>Site</header><nav><a href=/>Home</a></nav><article class='post has-sidebar'><header><h1>T</h1></header><p>A&amp;B<br>c</p><footer>tags</footer></article><footer>F</footer>", "T A&B c"),
     "body classes": ("<body class='single no-sidebar comments-open'><article id=post-1><h1>T</h1><p>x</p></article></body>", "T x"),
     "main": ("<div class='site-header'>Site</div><main><h1>T</h1><p>One <b>two</b><p>three</main><aside>s</aside>", "T One two three"),
