@@ -167,6 +167,35 @@ def x1_drawn_rewards(spark, d):
     return _run(spark, out.select("env_id", "idx", "action", F.round("reward", 6).alias("reward"), F.transform("estimates", lambda r: F.round(r, 6)).alias("rewards")))
 
 
+@query(q_interactions.SQL["p12_head"])
+def x1_head(spark, d):
+    q = _stream(spark, q_interactions._items(spark, d))
+    m = rows.head_sparse(F.create_map(F.lit("0"), F.col("l_quantity")), {"0": "first"})
+    return _run(spark, rows.head(q.select("l_orderkey", "l_linenumber", "l_tax", m["first"]), ["k", "n", "tax", "first"]))
+
+
+@query(q_interactions.SQL["p18_default"])
+def x1_default(spark, d):
+    docs = _stream(spark, table(spark, d, "documents").select("doc_id", "n_chars"))
+    m = F.when(F.col("doc_id") % 2 == 0, F.create_map(F.lit("a"), F.col("n_chars"), F.lit("b"), F.col("n_chars"))).otherwise(F.create_map(F.lit("b"), F.col("n_chars")))
+    full = rows.default_sparse(m, {"a": 7, "c": 1})
+    return _run(spark, docs.select("doc_id", full["a"].cast("long").alias("a"), full["b"].cast("long").alias("b")))
+
+
+@query(q_interactions.SQL["r1_repr_context"])
+def x1_repr_context(spark, d):
+    """Levels that are known beforehand."""
+    q = _stream(spark, q_interactions._items(spark, d))
+    known = F.array(*[F.lit(x) for x in "ANR"])
+    return _run(spark, q.select("l_orderkey", "l_linenumber", features.repr_context([(F.col("l_quantity"), None), (F.col("l_returnflag"), known)]).alias("context")))
+
+
+@query(q_interactions.SQL["r6_f14_dense_hashing"])
+def x1_dense_hashing(spark, d):
+    docs = _stream(spark, q_interactions._sparse_docs(spark, d))
+    return _run(spark, docs.select("doc_id", features.dense_hashed(F.col("context"), 16).alias("dense")))
+
+
 @query(f"WITH {data.FACTS} SELECT event_id, name, data_id, round(value, 6) AS value FROM ev JOIN envs USING (environment_id) WHERE data_id = 1")
 def x1_static_join(spark, d):
     """Live facts get their environment's parameters from a table, and are filtered by them."""
