@@ -42,3 +42,27 @@ def test_members_far_from_the_centre_are_compared(spark):
     got = resemblance.near_duplicates(docs).toPandas()
     want = kept(pd.DataFrame(rows[:15], columns=["doc_id", "text"]))
     assert set(got.component_id) == want and len(got) == len(rows)
+
+
+def test_blocks_of_open_members(spark, monkeypatch):
+    """Many texts that are alike but not near, with a few near pairs among them: blocks of a few members find what all pairs give."""
+    import random
+
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(90):
+        words = list(base)
+        for j in rng.sample(range(120), 4):
+            words[j] = f"x{k}.{j}"
+        rows.append((2 * k, " ".join(words)))
+        if k % 6 == 0:
+            words[rng.randrange(120)] = "y"
+            rows.append((2 * k + 1, " ".join(words)))
+    want = kept(pd.DataFrame(rows, columns=["doc_id", "text"]))
+    assert 20 < len(want) < len(rows) - 10
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for members, hashes in ((512, 1 << 18), (7, 1 << 18), (512, 700)):
+        monkeypatch.setattr(resemblance, "MEMBERS", members)
+        monkeypatch.setattr(resemblance, "HASHES", hashes)
+        assert set(resemblance.near_duplicates(df).toPandas().component_id) == want
