@@ -1,7 +1,7 @@
 """Toxicity by weak supervision: many voters, a generative label model, and a linear classifier on its posterior labels.
 
 Voters say toxic (1), clean (2) or nothing (0) of a text. Some have fixed lists of insults or patterns; others share out the terms
-(words, and beginnings of longer words, for insults that are inflected) that toxic texts of the labelled rows hold much more often
+(words, and beginnings of longer words, for insults that are inflected; copies of a text count once) that toxic texts of the labelled rows hold much more often
 than clean ones; two speak for clean texts. The label model is a distribution over the true class and all votes: each voter depends on
 the class and on one other voter at most, along a forest of the largest mutual information given the class, so that voters which say the same
 thing do not count twice. Its accuracies and correlations are estimated by expectation maximisation over the counts of vote
@@ -23,6 +23,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -46,7 +47,7 @@ WHOM = ["you", "your", "youre", "u", "he", "she", "they", "du", "ihr", "tu", "vo
 LEET = str.maketrans("0134578@$", "oieastbas")
 WORD = re.compile(r"\w+(?:[@$]\w+)*")
 #: Lengths of beginnings.
-HEADS = range(5, 10)
+HEADS = range(4, 10)
 LEARNED = 16
 NAMES = [*INSULTS, "phrase", "addressed", "disguised", *(f"terms{k}" for k in range(LEARNED)), "no_terms", "few_terms"]
 _KIND = {w: k for k, ws in enumerate(INSULTS.values()) for w in ws}
@@ -105,12 +106,25 @@ def read(text: str | None, known: _Known) -> tuple[int, list[int], list[int], li
 # ---- terms
 
 
+def sketch(text: str | None) -> int:
+    """The least hash of three words in a row: the same for copies, and mostly for near copies, of a text."""
+    words = WORD.findall((text or "").lower())
+    return min((crc32(" ".join(words[k : k + 3]).encode("utf-8", "replace")) for k in range(max(len(words) - 2, 1))), default=0)
+
+
 def learn_terms(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, most_labels: int, most_terms: int) -> list[str]:
-    """The terms that toxic texts hold more often, surest first. known: (id, label 0 or 1)."""
+    """The terms that toxic texts hold more often, surest first. known: (id, label 0 or 1). Texts of one label and sketch count once, or
+    the words of one text that was copied often would be terms."""
     n = known.count()
     part = F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < int((1 << 20) * min(1.0, most_labels / max(n, 1)))
     rows = docs.select(id_col, F.col(text_col).alias("t")).join(F.broadcast(known.filter(part)), id_col).select("label", "t")
 
+    @F.pandas_udf("long")
+    def sketched(texts: pd.Series) -> pd.Series:
+        return pd.Series([sketch(t) for t in texts], dtype="int64")
+
+    rows = rows.withColumn("s", sketched("t")).groupBy("label", "s").agg(F.min("t").alias("t"))
+
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[str, list[int]] = {}
 

@@ -84,3 +84,17 @@ def test_label_model_knows_accuracies_and_copies(spark, monkeypatch):
     assert len(tied) == 3 and min(tied) > 0.8
     guessed = model.posterior(votes, np.full(n, -1)) > 0.5
     assert (guessed == (y == 1)).mean() > 0.96
+
+
+def test_copies_of_one_text_do_not_make_terms(spark):
+    """A text that was copied (and once changed a little) often, with a toxic label, has no terms; what many texts share has."""
+    rng = np.random.default_rng(7)
+    words = [f"word{k}" for k in range(400)]
+    say = lambda n: " ".join(rng.choice(words, n))
+    one = " ".join(f"copied{k}" for k in range(40))
+    rows = [(k, say(40), 0) for k in range(200)] + [(1000 + k, f"{say(30)} grumble{'abc'[k % 3]}x {say(5)}", 1) for k in range(30)]
+    rows += [(2000 + k, one, 1) for k in range(60)] + [(3000 + k, f"{one} and {k}", 1) for k in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    known = spark.createDataFrame([(i, lab) for i, _, lab in rows], "doc_id long, label int")
+    learned = T.learn_terms(docs, known, "doc_id", "text", 10_000, 1000)
+    assert "grumble*" in learned and not any(t.startswith("copied") for t in learned)
