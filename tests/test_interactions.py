@@ -199,3 +199,13 @@ def test_naive_bayes_of_odd_rows(spark):
     assert all(r["predicted"] is None if r["x"] is None or None in r["x"] else r["predicted"] == (r["x"][0] > 3) for r in got) and len(got) == len(rows)
     assert tuple(profile.scores(profile.naive_bayes(df.filter("y is not null and fold < 3").limit(60))).first()) == (1.0, 1.0)
     assert profile.naive_bayes(df.limit(0)).count() == 0
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bins_are_made_beside_the_cells(spark):
+    rows = spark.createDataFrame([([float(k), float(k % 3)], "ab"[k % 2]) for k in range(50)], "x array<double>, y string")
+    made = plan(profile.binned(profile.long_form(rows), 100))
+    assert "BuildRight" in made and "BuildLeft" not in made and "Exchange hashpartitioning(f" not in made
