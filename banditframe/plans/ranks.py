@@ -18,7 +18,7 @@ def percentiles(df: DataFrame, keys: list[str], value: str, ps: list[float], out
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"), (F.lit(1) if times is None else times).alias("__n"))
     counts = with_index(rows.groupBy(*keys, "__v").agg(F.sum("__n").alias("__n")), keys, ["__v"], "__at")
     upto = cut(running(counts, keys, "__at", {"__to": F.col("__n")}))
-    total = upto.groupBy(*keys).agg(F.max("__to").alias("__all")).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__all")
+    total = cut(upto.groupBy(*keys).agg(F.max("__to").alias("__all")).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__all"))
     same = F.lit(True)
     for i, k in enumerate(keys):
         same = same & upto[k].eqNullSafe(total[f"__k{i}"])

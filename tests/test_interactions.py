@@ -209,3 +209,13 @@ def test_bins_are_made_beside_the_cells(spark):
     rows = spark.createDataFrame([([float(k), float(k % 3)], "ab"[k % 2]) for k in range(50)], "x array<double>, y string")
     made = plan(profile.binned(profile.long_form(rows), 100))
     assert "BuildRight" in made and "BuildLeft" not in made and "Exchange hashpartitioning(f" not in made
+
+
+def test_values_do_not_meet_by_key_to_be_ranked(spark):
+    """With bins over few keys, no side of a percentile's joins is an aggregate of unknown size."""
+    from banditframe.plans.ranks import percentiles
+
+    rows = spark.createDataFrame([(k % 2, float(k)) for k in range(50)], "f int, v double")
+    made = percentiles(rows, ["f"], "v", [0.5])
+    assert "cut-" in plan(made).split("Join", 1)[1].split("BroadcastExchange", 1)[1] and "HashAggregate" not in plan(made).split("BroadcastExchange", 1)[1]
+    assert sorted((r["f"], r["p"][0]) for r in made.collect()) == [(0, 24.0), (1, 25.0)]
