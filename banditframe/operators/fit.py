@@ -68,6 +68,7 @@ def scale(df: DataFrame, shift: float | str = 0, scale_: float | str = "minmax",
         if shift == "med":
             moved = moved.withColumn("shift", -F.col("q")[1])
     if scale_ == "std":
+        moved = cut(moved)
         two = rows.join(moved.select(*keys, "f", (F.col("s") / F.col("n")).alias("m")), [*keys, "f"]).groupBy(*keys, "f").agg(F.sum((x - F.col("m")) * (x - F.col("m")) * t).alias("ss"))
         moved = moved.join(two, [*keys, "f"])
     width = {

@@ -129,9 +129,10 @@ def volume_overlap(cells: DataFrame) -> DataFrame:
 
 
 def single_feature_efficiency(cells: DataFrame) -> DataFrame:
-    """One row: the mean over class pairs of the least share of rows, over features, inside the overlap."""
+    """One row: the mean over class pairs of the least share of rows, over features, inside the overlap. The pairs are written, so that
+    their size is known and cells need not meet them by feature and class."""
     pairs = _pairs(cells)
-    sides = pairs.select("f", "y1", "y2", "low", "high", F.explode(F.array("y1", "y2")).alias("y"))
+    sides = cut(pairs.select("f", "y1", "y2", "low", "high", F.explode(F.array("y1", "y2")).alias("y")))
     hit = cells.join(sides, ["f", "y"]).groupBy("y1", "y2", "f").agg(F.avg(F.col("v").between(F.col("low"), F.col("high")).cast("double")).alias("share"))
     return hit.groupBy("y1", "y2").agg(F.min("share").alias("s")).agg(F.avg("s").alias("max_single_feature_eff"))
 

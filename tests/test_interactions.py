@@ -219,3 +219,12 @@ def test_values_do_not_meet_by_key_to_be_ranked(spark):
     made = percentiles(rows, ["f"], "v", [0.5])
     assert "cut-" in plan(made).split("Join", 1)[1].split("BroadcastExchange", 1)[1] and "HashAggregate" not in plan(made).split("BroadcastExchange", 1)[1]
     assert sorted((r["f"], r["p"][0]) for r in made.collect()) == [(0, 24.0), (1, 25.0)]
+
+
+def test_cells_stay_where_they_are_for_class_pairs(spark):
+    rows = spark.createDataFrame([([float(k), float(k % 3)], "abc"[k % 3]) for k in range(50)], "x array<double>, y string")
+    made = plan(profile.single_feature_efficiency(profile.long_form(rows)))
+    assert "BuildRight" in made and "BuildLeft" not in made and "SortMergeJoin" not in made and "Exchange hashpartitioning(f" not in made
+    dense = rows.select(F.lit(0).alias("env_id"), F.lit(0).alias("idx"), F.col("x").alias("context"))
+    made = plan(fit.scale(dense, "mean", "std"))
+    assert "SortMergeJoin" not in made
