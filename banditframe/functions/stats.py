@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
@@ -179,17 +180,18 @@ def weighted_mean(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return counts @ values / counts.sum(axis=1)
 
 
-def weighted_quantile(p: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+@dataclass(frozen=True)
+class weighted_quantile:
     """A statistic for bootstrap_ci: the percentile, with linear interpolation at p * (n - 1)."""
 
-    def of(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    p: float
+
+    def __call__(self, values: np.ndarray, counts: np.ndarray) -> np.ndarray:
         upto = counts.cumsum(axis=1)
-        at = p * (upto[:, -1] - 1)
+        at = self.p * (upto[:, -1] - 1)
         low, high = ((upto <= f(at)[:, None]).sum(axis=1) for f in (np.floor, np.ceil))
         return values[low] + (values[high] - values[low]) * (at - np.floor(at))
 
-    return of
-
 
 Statistic = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -197,33 +199,44 @@ Statistic = Callable[[np.ndarray, np.ndarray], np.ndarray]
 def bootstrap_ci(df: DataFrame, keys: list[str], y: str, confidence: float = 0.95, reps: int = 1000, seed: int = 1, statistic: Statistic = weighted_mean, point: Callable[[str], Column] | None = None, size: int = 4096, subsets: int = 8) -> DataFrame:
     """(keys, y, lower, upper): the basic bootstrap of any statistic, as a bag of little bootstraps.
 
-    The n values of a key are dealt to subsets of about `size`, at most `subsets` of which are looked at (one, of all values, if
+    The n values of a key are dealt to subsets of about `size`, or of n to the power of 0.7 if that is more, as a subset can't tell the
+    spread of so many values if its own lie farther apart than that; at most `subsets` of them are resampled (one, of all values, if
     there are no more than that: the plain bootstrap). Each is resampled to n values, by counts, `reps` times; the statistic's spread
     around its value of the subset is averaged over subsets. So a task has a subset at a time, whatever n is. statistic(values,
-    counts) gives one number for each row of counts, of values that ascend; the point y is the aggregate `point` of the column, the mean
-    for the mean, and else the subsets' mean. Null is left out; under three values the width is zero. Equal values are dealt by
-    their counts, so the result does not depend on partitions."""
+    counts) gives one number for each row of counts, of values that ascend. The point y is that of all values: the aggregate `point` of the
+    column, the mean for the mean, the percentile for `weighted_quantile`, and else the mean of the statistic over all subsets, resampled or
+    not. Null is left out; under three values the width is zero. Equal values are dealt by their counts, so the result does not depend on
+    partitions."""
     rows = df.filter(F.col(y).isNotNull()).select(*keys, F.col(y).cast("double").alias("__y"))
     aggregate = point or (F.avg if statistic is weighted_mean else None)
     whole = rows.groupBy(*keys).agg(F.count("*").alias("__n"), (aggregate("__y") if aggregate else F.lit(None).cast("double")).alias("__point"))
-    whole = cut(whole.withColumn("__m", F.ceil(F.col("__n") / size)))
+    whole = whole.withColumn("__m", F.ceil(F.col("__n") / F.greatest(F.lit(float(size)), F.pow("__n", F.lit(0.7)))))
+    exact = isinstance(statistic, weighted_quantile) and aggregate is None
+    if exact:
+        whole = _beside(whole.drop("__point"), percentile(rows, keys, "__y", statistic.p, "__point"), keys)
+    whole = cut(whole)
     counts = rows.groupBy(*keys, "__y").agg(F.count("*").alias("__c"))
     dealt = _beside(counts, whole, keys).withColumn("__seed", F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 62)))
-    some = dealt.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("__m"), F.lit(subsets)) - 1)))
     # c copies over m subsets: c / m for each, and one more for those after the value's own place
-    more = F.pmod(F.col("__part") - F.xxhash64("__y", F.lit(seed)), F.col("__m")) < F.col("__c") % F.col("__m")
-    some = some.withColumn("__k", F.floor(F.col("__c") / F.col("__m")) + more.cast("long")).filter("__k > 0")
+    m, c, own = F.col("__m"), F.col("__c"), F.pmod(F.xxhash64("__y", F.lit(seed)), F.col("__m"))
+    first = F.sequence(F.lit(0).cast("long"), F.least(m, F.lit(subsets)) - 1)
+    having = F.when(c >= m, F.sequence(F.lit(0).cast("long"), m - 1)).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), c - 1), lambda k: (own + k) % m))
+    some = dealt.withColumn("__part", F.explode(first if exact or aggregate is not None else having))
+    more = F.pmod(F.col("__part") - own, m) < c % m
+    some = some.withColumns({"__k": F.floor(c / m) + more.cast("long"), "__drawn": F.col("__part") < subsets}).filter("__k > 0")
     tail = (1 - confidence) / 2
 
     def one(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("__y")
         values, own, n = t["__y"].to_numpy(), t["__k"].to_numpy(float), int(t["__n"].iloc[0])
+        at = float(statistic(values, own[None, :])[0])
+        if not t["__drawn"].iloc[0]:
+            return pd.DataFrame([(*key[:-1], at, None, None)])
         rng = np.random.default_rng([seed, int(t["__seed"].iloc[0]), int(t["__part"].iloc[0])])
         step, found = max(1, (1 << 20) // len(values)), []
         for r in range(0, reps, step):
             found.append(statistic(values, rng.multinomial(n, own / own.sum(), min(step, reps - r))))
         low, high = np.quantile(np.concatenate(found), [tail, 1 - tail])
-        at = float(statistic(values, own[None, :])[0])
         return pd.DataFrame([(*key[:-1], at, high - at, at - low)])
 
     schema = T.StructType([*(T.StructField(k, df.schema[k].dataType) for k in keys), *T.StructType.fromDDL("__at double, __l double, __u double").fields])

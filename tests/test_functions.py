@@ -146,6 +146,18 @@ def test_bootstrap_in_subsets(spark):
     assert exact == []
 
 
+def test_bootstrap_of_very_many_values(spark):
+    """The point is that of all values, not of the subsets that are resampled, and small subsets tell the width, with many ties too."""
+    rows = spark.range(240_000).select(F.lit(None).cast("int").alias("k"), (F.pmod(F.xxhash64(F.floor(F.col("id") / 6)), F.lit(100_003)) / 100_003.0).alias("y"))
+    want = float(np.median(rows.toPandas()["y"]))
+    half = stats.weighted_quantile(0.5)
+    for statistic, near in ((half, 1e-12), (lambda v, c: half(v, c), 3e-4)):
+        got = stats.bootstrap_ci(rows, ["k"], "y", reps=200, statistic=statistic, size=500).collect()
+        assert len(got) == 1 and abs(got[0]["y"] - want) < near
+        for side in ("lower", "upper"):
+            assert 0.5 < got[0][side] / (1.96 * 0.5 / math.sqrt(240_000)) < 2
+
+
 def test_statistics_of_weighted_samples():
     values, counts = np.array([1.0, 2.0, 5.0]), np.array([[1, 2, 1], [0, 0, 3], [4, 0, 1]])
     flat = [np.repeat(values, c) for c in counts]
