@@ -78,16 +78,18 @@ def scale(df: DataFrame, shift: float | str = 0, scale_: float | str = "minmax",
     }
     if scale_ == "std":
         width["std"] = F.sqrt(F.col("ss") / F.nullif(F.col("n") - 1, F.lit(0)))
-    factor = F.when(width[scale_] >= 1e-6, 1 / width[scale_]).otherwise(1.0) if isinstance(scale_, str) else F.lit(float(scale_))
+    # a width divides, as the product with its reciprocal is rounded twice
+    factor = F.when(width[scale_] >= 1e-6, width[scale_]).otherwise(1.0) if isinstance(scale_, str) else F.lit(float(scale_))
+    scaled = lambda v, by: v / by if isinstance(scale_, str) else v * by
     if dtype.startswith("map"):
         known = cut(moved.filter("shift is not null").select(*keys, "f", F.col("shift").alias("__shift"), factor.alias("__scale")))
         v = F.col("x").cast("double")
-        value = F.when(F.col("__scale").isNotNull() & ~F.isnan(v), (v + F.col("__shift")) * F.col("__scale")).otherwise(v)
+        value = F.when(F.col("__scale").isNotNull() & ~F.isnan(v), scaled(v + F.col("__shift"), F.col("__scale"))).otherwise(v)
         return _by_cell(df, target, keys, known, F.array(F.struct(F.col("f").alias("key"), value.alias("value"))))
     fitted = moved.filter("shift is not null").select(*keys, F.struct(F.col("f").alias("f"), F.col("shift"), factor.alias("scale")).alias("e"))
     maps = cut(fitted.groupBy(*keys).agg(F.map_from_entries(F.transform(F.sort_array(F.collect_list("e")), lambda e: F.struct(e["f"], F.struct(e["shift"], e["scale"])))).alias("__fit")))
     out = df.join(maps, keys, "left")
-    move = lambda f, v: F.when(F.try_element_at("__fit", f).isNotNull() & v.isNotNull() & ~F.isnan(v), (v + F.try_element_at("__fit", f)["shift"]) * F.try_element_at("__fit", f)["scale"]).otherwise(v)
+    move = lambda f, v: F.when(F.try_element_at("__fit", f).isNotNull() & v.isNotNull() & ~F.isnan(v), scaled(v + F.try_element_at("__fit", f)["shift"], F.try_element_at("__fit", f)["scale"])).otherwise(v)
     c = F.col(target)
     if dtype.startswith("array"):
         made = F.transform(c, lambda v, i: move(i, v.cast("double")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from banditframe.operators.results import Result
@@ -81,6 +81,14 @@ def simulated(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.lit(0).alias("env_id"), F.col("vec_id").alias("idx"), F.transform("embedding", lambda x: x.cast("double")).alias("context"), actions.alias("actions"), rewards.alias("rewards"), "label")
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x rounded as SQL engines round doubles: times a power of ten, half away from zero, and divided again. A small negative number
+    becomes -0.0, as there; Spark's own rounding goes by the decimal text and gives 0.0."""
+    at = x * F.lit(10.0**digits)
+    whole = F.when(at < 0, -F.round(-at)).when(at == 0, at).otherwise(F.round(at)) / F.lit(10.0**digits)
+    return F.when(F.abs(at) < 2.0**52, whole).otherwise(x)
+
+
 def jump_values() -> str:
     from banditframe.functions.rand import jumps
 

@@ -295,7 +295,7 @@ def _wide(spark, d):
 
 
 def _rounded(df):
-    return df.select("l_orderkey", "l_linenumber", F.transform("context", lambda x: F.round(x, 6)).alias("context"))
+    return df.select("l_orderkey", "l_linenumber", F.transform("context", lambda x: data.rounded(x, 6)).alias("context"))
 
 
 @query(_scaled("min({c})", "max({c}) - min({c})"))
@@ -306,7 +306,7 @@ def r2_scale_minmax(spark, d):
 @query(_scaled("avg({c})", "stddev_samp({c})", 5, "WHERE l_orderkey * 10 + l_linenumber < 30000"))
 def r2_scale_standard(spark, d):
     out = fit.scale(_wide(spark, d), "mean", "std", using=30000)
-    return out.select("l_orderkey", "l_linenumber", F.transform("context", lambda x: F.round(x, 5)).alias("context"))
+    return out.select("l_orderkey", "l_linenumber", F.transform("context", lambda x: data.rounded(x, 5)).alias("context"))
 
 
 @query(_scaled("median({c})", "quantile_cont({c}, .75) - quantile_cont({c}, .25)"))

@@ -157,7 +157,7 @@ def e12_evaluation_by_squares(spark, d):
 
 @query(f"WITH {LOGGED}, {LINES} SELECT env_id, idx, list(round(a + b * context + CASE WHEN cand = action THEN (reward - a - b * context) / probability ELSE 0 END, 4) ORDER BY cand) AS rewards FROM logged CROSS JOIN ln GROUP BY ALL")
 def r17_doubly_robust(spark, d):
-    return ope.doubly_robust(_log(spark, d), TYPES, features=["a", "xa"]).select("env_id", "idx", F.transform("rewards", lambda r: F.round(r, 4)).alias("rewards"))
+    return ope.doubly_robust(_log(spark, d), TYPES, features=["a", "xa"]).select("env_id", "idx", F.transform("rewards", lambda r: data.rounded(r, 4)).alias("rewards"))
 
 
 @query(f"WITH {LOGGED}, {LINES}, {DRAWN} SELECT env_id, idx, round(a + b * context, 5) AS dm, round(a + b * context + CASE WHEN cand = action THEN (reward - a - b * context) / probability ELSE 0 END, 4) AS dr FROM dr JOIN ln ON cand = actions[k]")

@@ -228,3 +228,13 @@ def test_cells_stay_where_they_are_for_class_pairs(spark):
     dense = rows.select(F.lit(0).alias("env_id"), F.lit(0).alias("idx"), F.col("x").alias("context"))
     made = plan(fit.scale(dense, "mean", "std"))
     assert "SortMergeJoin" not in made
+
+
+def test_scaled_numbers_are_divided_and_rounded_as_in_sql(spark):
+    from banditframe.plans.data import rounded
+
+    xs = [-1e-9, 1e-9, 0.0, -0.0, -0.00015, 1.00005, 2.5e20, float("nan"), None]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(rounded(F.col("x"), 4)).collect()]
+    assert [str(x) for x in got] == ["-0.0", "0.0", "0.0", "-0.0", "-0.0001", "1.0001", "2.5e+20", "nan", "None"]
+    df = spark.createDataFrame([(0, k, float(k)) for k in (0, 5, 49)], "env_id int, idx long, context double")
+    assert vals(fit.scale(df, "min", "minmax")) == [0.0, 5 / 49, 1.0] and 5 / 49 != 5 * (1 / 49)
