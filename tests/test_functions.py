@@ -198,3 +198,14 @@ def test_crc_is_the_usual_one(spark):
 
     got = [r[0] for r in spark.createDataFrame([("a",), ("n_chars",)], "k string").select(encoders.bucket(F.col("k"), 16)).collect()]
     assert got == [zlib.crc32(b"a") % 16, zlib.crc32(b"n_chars") % 16]
+
+
+def test_late_draws_agree_with_the_sequence(spark):
+    """Draws after the first 2^20 go on with the stream; they do not begin again."""
+    at, want = 7, {}
+    for k in range(1, (1 << 20) + 4):
+        at = (at * rand.FACTOR + rand.TERM) % rand.MODULUS
+        if k <= 3 or k >= 1 << 20:
+            want[k] = at
+    got = {r["k"]: r["s"] for r in spark.createDataFrame([(k,) for k in want], "k long").select("k", rand.state(7, F.col("k")).alias("s")).collect()}
+    assert got == want and got[(1 << 20) + 1] != got[1]
