@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from itertools import chain
 from typing import Any
 
 import pandas as pd
@@ -74,7 +75,7 @@ class _Online(StatefulProcessor):
     """One environment: the state of a learner, the number of the row that it waits for, and rows that came before their turn, CHUNK
     numbers to an entry."""
 
-    CHUNK = 128
+    CHUNK, HELD, PIECE = 128, 1 << 17, 1 << 13
 
     def __init__(self, learner: Learner, idx: str, used: list[str], out: list[str], ts: str | None) -> None:
         self.learner, self.idx, self.used, self.out, self.ts = learner, idx, used, out, ts
@@ -84,48 +85,63 @@ class _Online(StatefulProcessor):
         self.known = handle.getValueState("known", T.StructType([T.StructField("next", T.LongType()), T.StructField("state", T.BinaryType())]))
         self.early = handle.getMapState("early", T.StructType([T.StructField("chunk", T.LongType())]), T.StructType([T.StructField("rows", T.BinaryType())]))
 
-    def _chunk(self, open_: dict, c: int) -> dict:
-        if c not in open_:
-            open_[c] = pickle.loads(bytes(self.early.getValue((c,))[0])) if self.early.containsKey((c,)) else {}
-        return open_[c]
+    def _stored(self, c: int) -> dict[int, dict]:
+        return pickle.loads(bytes(self.early.getValue((c,))[0])) if self.early.containsKey((c,)) else {}
 
-    def _go(self, fresh: Iterator[dict], skip: bool, times: Any) -> pd.DataFrame:
-        """Takes the rows whose turn it is, puts the others aside; skip: the first row that is there is the next one."""
+    def _store(self, c: int, rows: dict[int, dict]) -> None:
+        if rows:
+            self.early.updateValue((c,), (pickle.dumps(rows),))
+        elif self.early.containsKey((c,)):
+            self.early.removeKey((c,))
+
+    def _go(self, fresh: Iterator[dict], skip: bool, times: Any) -> Iterator[pd.DataFrame]:
+        """Takes the rows whose turn it is, puts the others aside; skip: the first row that is there is the next one. No more than HELD
+        rows and a chunk are in memory at once."""
         n, state = self.known.get() if self.known.exists() else (0, None)
         state = self.learner.zero() if state is None else pickle.loads(bytes(state))
-        open_: dict[int, dict[int, dict]] = {}
-        for row in fresh:
-            if row[self.idx] >= n:  # the others have had their turn, or were given up
-                self._chunk(open_, row[self.idx] // self.CHUNK)[row[self.idx]] = row
+        held: dict[int, dict[int, dict]] = {}
+        many, made = 0, []
         if skip and (aside := [k[0] for k in self.early.keys()]):
-            n = min(self._chunk(open_, min(aside)))
-        made: list = []
-        while (row := self._chunk(open_, n // self.CHUNK).pop(n, None)) is not None:
-            p = self.learner.predict(state, row)
-            made.append((*(row[c] for c in self.out), None if p is None else [float(x) for x in p]))
-            state, n = self.learner.update(state, row), n + 1
-        for c, rows in open_.items():
-            if rows:
-                self.early.updateValue((c,), (pickle.dumps(rows),))
-            elif self.early.containsKey((c,)):
-                self.early.removeKey((c,))
+            n = min(self._stored(min(aside)))
+        for row in chain(fresh, [None]):
+            if row is not None:
+                if row[self.idx] >= n:  # the others have had their turn, or were given up
+                    held.setdefault(row[self.idx] // self.CHUNK, {})[row[self.idx]] = row
+                    many += 1
+                if many < self.HELD:
+                    continue
+            more = True
+            while more:
+                c = n // self.CHUNK
+                rows = self._stored(c) | held.pop(c, {})
+                while (own := rows.pop(n, None)) is not None:
+                    p = self.learner.predict(state, own)
+                    made.append((*(own[x] for x in self.out), None if p is None else [float(v) for v in p]))
+                    state, n = self.learner.update(state, own), n + 1
+                self._store(c, rows)
+                more = n // self.CHUNK > c
+                if len(made) >= self.PIECE or made and not more:
+                    yield pd.DataFrame(made, columns=[*self.out, "pmf"])
+                    made = []
+            for c, rows in held.items():
+                self._store(c, self._stored(c) | rows)
+            held, many = {}, 0
         self.known.update((n, pickle.dumps(state)))
         if self.ts is not None:
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
             if aside := [k[0] for k in self.early.keys()]:
-                first = self._chunk(open_, min(aside))
+                first = self._stored(min(aside))
                 at = int(first[min(first)][self.ts].timestamp() * 1000)
                 self.handle.registerTimer(max(at, times.getCurrentWatermarkInMs()) + 1)
-        return pd.DataFrame(made, columns=[*self.out, "pmf"])
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         names = list(dict.fromkeys([*self.out, self.idx, *self.used]))
-        yield self._go((row for batch in rows for row in batch[names].to_dict("records")), False, timerValues)
+        yield from self._go((row for batch in rows for row in batch[names].to_dict("records")), False, timerValues)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         """What is missing is given up."""
-        yield self._go(iter(()), True, timerValues)
+        yield from self._go(iter(()), True, timerValues)
 
     def close(self) -> None:
         pass

@@ -1,6 +1,7 @@
 """Learners and joins on streams: rows in any order, over restarts, and what is given up."""
 
 import datetime as dt
+import pickle
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,3 +74,40 @@ def test_rewards_within_an_hour(spark, tmp_path, after, reward):
     q.option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start().awaitTermination(120)
     got = {r.id: r.reward for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got[1] == reward
+
+
+def test_rows_of_an_environment_are_not_held_at_once():
+    """Fifty thousand rows in one call come out in pieces, and those that wait are in the state; the order and the result stay."""
+    from banditframe.operators.learning import Learner
+    from banditframe.streaming.live import _Online
+
+    class Value:
+        at = None
+
+        def exists(self):
+            return self.at is not None
+
+        def get(self):
+            return self.at
+
+        def update(self, v):
+            self.at = v
+
+    class Map(dict):
+        containsKey, getValue, updateValue, removeKey = dict.__contains__, dict.__getitem__, dict.__setitem__, dict.pop
+
+    counts = Learner(zero=int, update=lambda s, r: s + 1, merge=lambda a, b: a + b, predict=lambda s, r: [float(s)])
+    one = _Online(counts, "idx", [], ["idx"], None)
+    one.HELD, one.PIECE, one.known, one.early = 1000, 500, Value(), Map()
+    aside, rows = [], [{"idx": (k * 7919) % 50_000} for k in range(50_000)]
+
+    def fresh():
+        for k, row in enumerate(rows):
+            if k % 10_000 == 9_999:
+                aside.append(sum(len(pickle.loads(v[0])) for v in one.early.values()))
+            yield row
+
+    made = list(one._go(fresh(), False, None))
+    got = [v for t in made for v in zip(t["idx"], t["pmf"])]
+    assert aside[0] > 8_000 and aside[2] > 28_000 and max(map(len, made)) <= 628 and not one.early
+    assert got == [(k, [float(k)]) for k in range(50_000)]
