@@ -35,12 +35,12 @@ def dense(df: DataFrame, m: str, y: str = "y") -> DataFrame:
 def indexed(df: DataFrame, m: str, id_: str) -> tuple[DataFrame, DataFrame]:
     """Maps as sparse vectors over the union of their keys, of any number: the dictionary (key, f), numbered by key over a range
     partitioning, and (id, x: size, indices, values) for each row. Cells meet the dictionary in a join, so no task or row holds it. Zeros
-    and nulls are left out; ids are not repeated."""
-    cells = cut(df.select(id_, F.explode(m).alias("key", "v")).filter("v <> 0").withColumn("v", F.col("v").cast("double")))
-    known = cut(with_index(cells.select("key").distinct(), [], ["key"], "f"))
+    and nulls are left out; ids are not repeated. df is computed once: a row without cells is kept as one without a key."""
+    cells = cut(df.select(id_, F.explode_outer(m).alias("key", "v")).withColumn("v", F.col("v").cast("double")))
+    known = cut(with_index(cells.filter("v <> 0").select("key").distinct(), [], ["key"], "f"))
     n = known.count()
-    lists = cells.join(known, "key").groupBy(id_).agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("c"))
-    full = df.select(id_).join(lists, id_, "left").withColumn("c", F.coalesce("c", F.array().cast(dict(lists.dtypes)["c"])))
+    found = cells.join(known, (cells["key"] == known["key"]) & (cells["v"] != 0), "left")
+    full = found.groupBy(id_).agg(F.array_sort(F.collect_list(F.when(F.col("f").isNotNull(), F.struct("f", "v")))).alias("c"))
     return known, full.select(id_, F.struct(F.lit(n).cast("long").alias("size"), F.col("c")["f"].alias("indices"), F.col("c")["v"].alias("values")).alias("x"))
 
 

@@ -238,3 +238,10 @@ def test_scaled_numbers_are_divided_and_rounded_as_in_sql(spark):
     assert [str(x) for x in got] == ["-0.0", "0.0", "0.0", "-0.0", "-0.0001", "1.0001", "2.5e+20", "nan", "None"]
     df = spark.createDataFrame([(0, k, float(k)) for k in (0, 5, 49)], "env_id int, idx long, context double")
     assert vals(fit.scale(df, "min", "minmax")) == [0.0, 5 / 49, 1.0] and 5 / 49 != 5 * (1 / 49)
+
+
+def test_sparse_vectors_compute_their_maps_once(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, None)], "id long, w string").groupBy("id").agg(F.map_from_entries(F.collect_list(F.when(F.col("w").isNotNull(), F.struct("w", F.lit(1.0))))).alias("m"))
+    _, out = profile.indexed(df, "m", "id")
+    assert "ExistingRDD" not in plan(out) and "LocalTableScan" not in plan(out)
+    assert {r["id"]: r["x"]["indices"] for r in out.collect()} == {1: [0, 1], 2: []}
